@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rowmark.functions.identity import POSITION
@@ -20,11 +19,8 @@ def with_row_index(df: DataFrame) -> DataFrame:
     sorts. Files count in path order. Only the row count of each file (Parquet) or split
     (CSV, JSON) is brought together; the rows themselves are not shuffled.
     """
-    try:
-        df.select("_metadata.row_index")
-    except AnalysisException:
-        return _indexed_splits(df)
-    return _indexed_files(df)
+    known = df.select("_metadata").schema["_metadata"].dataType.fieldNames()
+    return _indexed_files(df) if "row_index" in known else _indexed_splits(df)
 
 
 def _indexed_files(df: DataFrame) -> DataFrame:
@@ -84,7 +80,7 @@ def _pin_splits(spark: SparkSession) -> None:
 def _split_bound(df: DataFrame) -> int:
     """No scan of `df` has more splits than this."""
     spark = df.sparkSession
-    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     largest = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     return len(df.inputFiles()) + max(total // largest + 1, int(spark.conf.get(_PIECES_PIN)))
 

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from rowmark.functions.identity import POSITION
 from rowmark.operators.annotate import ANNOTATION_SCHEMA
 from rowmark.operators.merge import import_new, log_order
-from rowmark.sources.bundles import append_annotations, read_annotations
+from rowmark.sources.bundles import append_annotations, read_log
 
 
 def annotation_feed(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -47,9 +47,8 @@ def merge_feed(feed: DataFrame, bundle_path: str, checkpoint: str) -> StreamingQ
         # Held for the two uses below, so that positions are the same in both.
         placed = batch.withColumn(POSITION, F.monotonically_increasing_id()).persist()
         try:
-            log = read_annotations(spark, bundle_path)
             # A rerun must not meet its own first attempt.
-            log = log.filter(~F.col("_metadata.file_path").contains(f"/batch-{name}/"))
+            log = read_log(spark, bundle_path, without_batch=name)
             append_annotations(
                 import_new(log, placed).orderBy(*log_order()), bundle_path, name
             )
