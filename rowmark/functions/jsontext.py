@@ -2,44 +2,35 @@
 
 Row hashes are taken over JSON text, so that text has to be the same for the same
 value whatever Spark's own number or timestamp rendering looks like. Spark prints
-``1.23456789E7`` where JSON writers in other languages print ``12345678.9``;
-`json_text` settles such points once and builds everything else on ``to_json``.
+``1.23456789E7`` where JSON writers in other languages print ``12345678.9``. Values are
+brought into a form that ``to_json`` renders canonically, one call for the whole row; only
+rows with such numbers are put together piece by piece.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from functools import reduce
 from itertools import groupby
+from operator import and_
 
 from pyspark.sql import Column, functions as F, types as T
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FLOATING = (T.FloatType, T.DoubleType)
+TIMESTAMPS = (T.TimestampType, T.TimestampNTZType)
 NESTED = (T.StructType, T.ArrayType, T.MapType, T.VariantType)
 
-# Values whose to_json text is already the canonical one.
-_AS_IS = (T.StringType, T.BooleanType, *INTEGRAL)
-
 Field = tuple[str, Column, T.DataType]
 
 
-def quoted(c: Column) -> Column:
-    """A string column as a quoted JSON string."""
-    text = F.to_json(F.array(c))
-    return _lower_hex(F.substr(text, F.lit(2), F.length(text) - 2))
+# --- numbers and times -----------------------------------------------------------------
 
 
-def _lower_hex(text: Column) -> Column:
-    # Control characters are written \u001F by Spark and \u001f by most JSON writers.
-    # An escape counts only after an even run of backslashes. Such text is rare, so the
-    # replacements sit behind a cheap check.
-    fixed = text
-    for digit in "ABCDEF":
-        fixed = F.regexp_replace(
-            fixed, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}"
-        )
-    return F.when(text.contains("\\u00"), fixed).otherwise(text)
+def _ordinary_double(c: Column) -> Column:
+    """Doubles that Spark already prints in plain notation."""
+    return (c == 0) | ((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7))
 
 
 def double_text(c: Column, style: str = "json") -> Column:
@@ -50,124 +41,174 @@ def double_text(c: Column, style: str = "json") -> Column:
     """
     d = c.cast("double")
     text = d.cast("string")
-    sign = F.when(text.startswith("-"), "-").otherwise("")
-    mantissa = F.substring_index(text, "E", 1)
-    exponent = F.substring_index(text, "E", -1).cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"[-.]", "")
-
-    whole = F.concat(F.rpad(digits, exponent + 1, "0"), F.lit(".0"))
-    split = F.concat(
-        F.substr(digits, F.lit(1), exponent + 1), F.lit("."), F.substr(digits, exponent + 2)
-    )
-    large = F.when(F.length(digits) <= exponent + 1, whole).otherwise(split)
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    short = F.concat(
-        F.substr(digits, F.lit(1), F.lit(1)),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substr(digits, F.lit(2)))).otherwise(""),
-    )
+    # All digits a double prints in the plain range fit 16 places before and 22 after the point.
+    digits = text.try_cast("decimal(38,22)").cast("string")
+    plain = F.regexp_replace(digits, r"(\.\d*[1-9]|\.0)0*$", "$1")
+    scientific = F.regexp_replace(F.regexp_replace(text, r"\.0E", "E"), "E", "e")
     if style == "python":
-        lowest = -4
-        power = F.concat(
-            F.when(exponent < 0, "-").otherwise("+"),
-            F.when(F.abs(exponent) < 10, "0").otherwise(""),
-            F.abs(exponent).cast("string"),
-        )
-        words = {"nan": "nan", "inf": "inf", "-inf": "-inf"}
+        smallest, quote = 1e-4, ""
+        scientific = F.regexp_replace(scientific, r"e(-?)(\d)$", "e$10$2")
+        scientific = F.regexp_replace(scientific, r"e(\d)", "e+$1")
+        words = {"NaN": "nan", "Infinity": "inf", "-Infinity": "-inf"}
     else:
-        lowest = -5
-        power = exponent.cast("string")
-        words = {"nan": '"NaN"', "inf": '"Infinity"', "-inf": '"-Infinity"'}
-
-    scientific = (
-        F.when((exponent >= 0) & (exponent < 16), large)
-        .when((exponent < 0) & (exponent >= lowest), small)
-        .otherwise(F.concat(short, F.lit("e"), power))
-    )
-    return (
-        F.when(F.isnan(d), words["nan"])
-        .when(d == float("inf"), words["inf"])
-        .when(d == float("-inf"), words["-inf"])
-        .when(text.contains("E"), F.concat(sign, scientific))
-        .otherwise(text)
-    )
+        smallest, quote = 1e-5, '"'
+        words = {"NaN": "NaN", "Infinity": "Infinity", "-Infinity": "-Infinity"}
+    rendered = F.when(_ordinary_double(d), text)
+    for name, word in words.items():
+        rendered = rendered.when(text == name, quote + word + quote)
+    in_range = (F.abs(d) >= smallest) & (F.abs(d) < 1e16)
+    return rendered.when(in_range, plain).otherwise(scientific)
 
 
 def _timestamp_text(c: Column, dtype: T.DataType, separator: str) -> Column:
-    fraction = F.date_format(c, "SSSSSS")
-    text = F.concat(
-        F.date_format(c, f"yyyy-MM-dd'{separator}'HH:mm:ss"),
-        F.when(fraction != "000000", F.concat(F.lit("."), fraction)).otherwise(""),
+    zone = "xxx" if isinstance(dtype, T.TimestampType) else ""
+    stem = f"yyyy-MM-dd'{separator}'HH:mm:ss"
+    whole = F.date_trunc("second", c) == c
+    return F.when(whole, F.date_format(c, stem + zone)).otherwise(
+        F.date_format(c, f"{stem}.SSSSSS{zone}")
     )
-    if isinstance(dtype, T.TimestampType):
-        text = F.concat(text, F.date_format(c, "xxx"))
-    return text
 
 
-def _ordinary(c: Column) -> Column:
-    """Doubles that Spark already prints in plain notation."""
-    return c.isNull() | (c == 0) | ((F.abs(c) >= 1e-3) & (F.abs(c) < 1e7))
+# --- values that to_json renders canonically -------------------------------------------
 
 
-def _spark_object(fields: Sequence[Field]) -> Column:
-    values = [
-        (c.cast("double") if isinstance(t, T.FloatType) else c).alias(name)
-        for name, c, t in fields
-    ]
-    return _lower_hex(F.to_json(F.struct(*values), {"ignoreNullFields": "false"}))
+def _entries(c: Column, sort_keys: bool) -> Column:
+    """Entries of a map as (k, v) structs with text keys."""
+    keys = F.transform(F.map_keys(c), lambda k: F.struct(k.cast("string").alias("k"), k.alias("key")))
+    if sort_keys:
+        keys = F.array_sort(keys)
+    return F.transform(
+        keys, lambda e: F.struct(e["k"].alias("k"), F.element_at(c, e["key"]).alias("v"))
+    )
 
 
-def object_text(
-    fields: Sequence[Field], sort_keys: bool = True, indent: int = 0, level: int = 0
-) -> Column:
-    """A JSON object from (name, column, type) fields.
+def _renderable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.StructType):
+        return all(_renderable(f.dataType) for f in dtype.fields)
+    if isinstance(dtype, T.ArrayType):
+        return _renderable(dtype.elementType)
+    if isinstance(dtype, T.MapType):
+        return _renderable(dtype.valueType)
+    # Decimals with more places can come out as 1E-7.
+    return not isinstance(dtype, T.DecimalType) or dtype.scale <= 6
+
+
+def _value(c: Column, dtype: T.DataType, sort_keys: bool) -> Column:
+    if isinstance(dtype, T.FloatType):
+        return c.cast("double")
+    if isinstance(dtype, TIMESTAMPS):
+        return _timestamp_text(c, dtype, "T")
+    if isinstance(dtype, T.StructType):
+        fields = sorted(dtype.fields, key=lambda f: f.name) if sort_keys else dtype.fields
+        parts = [_value(c.getField(f.name), f.dataType, sort_keys).alias(f.name) for f in fields]
+        return F.when(c.isNotNull(), F.struct(*parts))
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(c, lambda x: _value(x, dtype.elementType, sort_keys))
+    if isinstance(dtype, T.MapType):
+        return F.map_from_entries(
+            F.transform(
+                _entries(c, sort_keys),
+                lambda e: F.struct(e["k"], _value(e["v"], dtype.valueType, sort_keys)),
+            )
+        )
+    if isinstance(dtype, (T.StringType, T.BooleanType, T.DoubleType, T.DecimalType, T.BinaryType,
+                          T.VariantType, T.NullType, *INTEGRAL)):
+        return c
+    return c.cast("string")
 
-    One ``to_json`` call does the whole row whenever its values allow that; otherwise
-    neighbouring plain fields share one call and the others are rendered one by one.
-    """
+
+def _ordinary(c: Column, dtype: T.DataType) -> Column | None:
+    """Whether all doubles within a value are ordinary; None if it holds no doubles."""
+    inner = None
+    if isinstance(dtype, FLOATING):
+        inner = _ordinary_double(c)
+    elif isinstance(dtype, T.StructType):
+        tests = [_ordinary(c.getField(f.name), f.dataType) for f in dtype.fields]
+        tests = [test for test in tests if test is not None]
+        inner = reduce(and_, tests) if tests else None
+    elif isinstance(dtype, T.ArrayType):
+        if _ordinary(F.lit(None), dtype.elementType) is not None:
+            inner = F.forall(c, lambda x: _ordinary(x, dtype.elementType))
+    elif isinstance(dtype, T.MapType):
+        if _ordinary(F.lit(None), dtype.valueType) is not None:
+            inner = F.forall(F.map_values(c), lambda x: _ordinary(x, dtype.valueType))
+    return None if inner is None else c.isNull() | inner
+
+
+# --- JSON text -------------------------------------------------------------------------
+
+
+def _lower_hex(text: Column) -> Column:
+    # Control characters are written \u001F by Spark and \u001f by most JSON writers.
+    # An escape counts only after an even run of backslashes. Such text is rare, so the
+    # replacements sit behind a cheap check.
+    fixed = text
+    for digit in "ABCDEF":
+        fixed = F.regexp_replace(
+            fixed, rf"(?<!\\)((?:\\\\)*)\\u00([01]){digit}", rf"$1\\u00$2{digit.lower()}"
+        )
+    return F.when(text.contains("\\u00"), fixed).otherwise(text)
+
+
+def _quoted(c: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]\z", "")
+
+
+def _at_once(fields: Sequence[Field], sort_keys: bool) -> Column:
+    values = [_value(c, dtype, sort_keys).alias(name) for name, c, dtype in fields]
+    return F.to_json(F.struct(*values), {"ignoreNullFields": "false"})
+
+
+def object_text(fields: Sequence[Field], sort_keys: bool = True) -> Column:
+    """A JSON object from (name, column, type) fields."""
     if sort_keys:
         fields = sorted(fields, key=lambda f: f[0])
     if not fields:
         return F.lit("{}")
-    if not indent:
-        doubles = [c for _, c, t in fields if isinstance(t, FLOATING)]
-        if all(isinstance(t, _AS_IS + FLOATING) for _, _, t in fields):
-            at_once = _spark_object(fields)
-            if not doubles:
-                return at_once
-            plain = _ordinary(doubles[0])
-            for c in doubles[1:]:
-                plain = plain & _ordinary(c)
-            return F.when(plain, at_once).otherwise(_joined_object(fields, sort_keys, 0, level))
-    return _joined_object(fields, sort_keys, indent, level)
-
-
-def _joined_object(fields: Sequence[Field], sort_keys: bool, indent: int, level: int) -> Column:
-    parts: list[Column] = []
-    for as_is, run in groupby(fields, key=lambda f: isinstance(f[2], _AS_IS)):
-        if as_is and not indent:
-            text = _spark_object(list(run))
-            parts.append(F.substr(text, F.lit(2), F.length(text) - 2))
-            continue
-        for name, c, dtype in run:
-            key = json.dumps(name, ensure_ascii=False) + (": " if indent else ":")
-            parts.append(F.concat(F.lit(key), json_text(c, dtype, sort_keys, indent, level + 1)))
-    return _wrapped("{", parts, "}", indent, level)
-
-
-def _wrapped(opening: str, parts: list[Column], closing: str, indent: int, level: int) -> Column:
-    inner = "\n" + " " * indent * (level + 1) if indent else ""
-    outer = "\n" + " " * indent * level if indent else ""
-    return F.concat(
-        F.lit(opening + inner), F.concat_ws("," + inner, *parts), F.lit(outer + closing)
-    )
-
-
-def json_text(
+    if not all(_renderable(dtype) for _, _, dtype in fields):
+        return _lower_hex(_pieces(fields, sort_keys))
+    tests = [test for _, c, dtype in fields if (test := _ordinary(c, dtype)) is not None]
+    text = _at_once(fields, sort_keys)
+    if tests:
+        text = F.when(reduce(and_, tests), text).otherwise(_pieces(fields, sort_keys))
+    return _lower_hex(text)
+
+
+def _pieces(fields: Sequence[Field], sort_keys: bool) -> Column:
+    """The same object with neighbouring fields in one call where their values allow it."""
+
+    def simple(dtype: T.DataType) -> bool:
+        return _renderable(dtype) and _ordinary(F.lit(None), dtype) is None
+
+    parts = []
+    for at_once, run in groupby(fields, key=lambda f: simple(f[2])):
+        if at_once:
+            parts.append(F.regexp_replace(_at_once(list(run), sort_keys), r"^\{|\}\z", ""))
+        else:
+            parts += [
+                F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), _text(c, dtype, sort_keys))
+                for name, c, dtype in run
+            ]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def json_text(c: Column, dtype: T.DataType, sort_keys: bool = True, indent: int = 0) -> Column:
+    """JSON text of any value, optionally indented; SQL null is the word ``null``."""
+    if indent or not isinstance(dtype, T.StructType):
+        return _lower_hex(_text(c, dtype, sort_keys, indent))
+    fields = [(f.name, c.getField(f.name), f.dataType) for f in dtype.fields]
+    return F.when(c.isNotNull(), object_text(fields, sort_keys)).otherwise("null")
+
+
+def _text(
     c: Column, dtype: T.DataType, sort_keys: bool = True, indent: int = 0, level: int = 0
 ) -> Column:
-    """JSON text of any value; SQL null is the word ``null``."""
     inner = "\n" + " " * indent * (level + 1) if indent else ""
     outer = "\n" + " " * indent * level if indent else ""
+    colon = ": " if indent else ":"
+
+    def within(x: Column, t: T.DataType) -> Column:
+        return _text(x, t, sort_keys, indent, level + 1)
 
     def joined(items: Column, opening: str, closing: str) -> Column:
         return F.when(F.size(items) == 0, opening + closing).otherwise(
@@ -176,49 +217,36 @@ def json_text(
             )
         )
 
-    if isinstance(dtype, T.StringType):
-        text = quoted(c)
-    elif isinstance(dtype, FLOATING):
+    if isinstance(dtype, FLOATING):
         text = double_text(c)
     elif isinstance(dtype, T.StructType):
-        fields = [(f.name, c.getField(f.name), f.dataType) for f in dtype.fields]
-        text = object_text(fields, sort_keys, indent, level)
+        fields = sorted(dtype.fields, key=lambda f: f.name) if sort_keys else dtype.fields
+        parts = [
+            F.concat(
+                F.lit(json.dumps(f.name, ensure_ascii=False) + colon),
+                within(c.getField(f.name), f.dataType),
+            )
+            for f in fields
+        ]
+        text = F.when(c.isNotNull(), joined(F.array(*parts), "{", "}"))
     elif isinstance(dtype, T.ArrayType):
-        items = F.transform(
-            c, lambda x: json_text(x, dtype.elementType, sort_keys, indent, level + 1)
-        )
-        text = joined(items, "[", "]")
+        text = joined(F.transform(c, lambda x: within(x, dtype.elementType)), "[", "]")
     elif isinstance(dtype, T.MapType):
-        entries = F.transform(
-            F.map_keys(c),
-            lambda k: F.struct(k.cast("string").alias("k"), F.element_at(c, k).alias("v")),
-        )
-        if sort_keys:
-            entries = F.array_sort(
-                entries,
-                lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0),
-            )
         items = F.transform(
-            entries,
-            lambda e: F.concat(
-                quoted(e["k"]),
-                F.lit(": " if indent else ":"),
-                json_text(e["v"], dtype.valueType, sort_keys, indent, level + 1),
-            ),
+            _entries(c, sort_keys),
+            lambda e: F.concat(_quoted(e["k"]), F.lit(colon), within(e["v"], dtype.valueType)),
         )
         text = joined(items, "{", "}")
     elif isinstance(dtype, T.VariantType):
         text = F.to_json(c, {"pretty": "true"} if indent else None)
-    elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        text = F.concat(F.lit('"'), _timestamp_text(c, dtype, "T"), F.lit('"'))
+    elif isinstance(dtype, T.NullType):
+        return F.lit("null")
     elif isinstance(dtype, (T.BooleanType, T.DecimalType, *INTEGRAL)):
         text = c.cast("string")
     elif isinstance(dtype, T.BinaryType):
-        text = F.concat(F.lit('"'), F.base64(c), F.lit('"'))
-    elif isinstance(dtype, T.NullType):
-        return F.lit("null")
+        text = _quoted(F.base64(c))
     else:
-        text = quoted(c.cast("string"))
+        text = F.when(c.isNotNull(), _quoted(_value(c, dtype, sort_keys)))
     return F.coalesce(text, F.lit("null"))
 
 
@@ -230,7 +258,7 @@ def display_text(c: Column, dtype: T.DataType) -> Column:
         return F.when(c, "True").when(~c, "False")
     if isinstance(dtype, FLOATING):
         return double_text(c, "python")
-    if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dtype, TIMESTAMPS):
         return _timestamp_text(c, dtype, " ")
     if isinstance(dtype, NESTED):
         return F.when(c.isNotNull(), json_text(c, dtype, sort_keys=False))
