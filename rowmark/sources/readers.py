@@ -33,7 +33,7 @@ def source_type(spark: SparkSession, source: str, declared: str | None = None) -
             valid = ", ".join(sorted(SOURCE_TYPES))
             raise ValueError(f"Unsupported source type '{declared}'. Valid: {valid}")
         return kind
-    if not exists(spark, source):
+    if source.startswith("hf:") or not exists(spark, source):
         return "hf"
     suffix = PurePosixPath(source).suffix.lower()
     if suffix not in SUFFIXES:
