@@ -1,0 +1,60 @@
+import json
+
+import pytest
+from test_bundles import annotation, bundle, log_ids  # noqa: F401
+
+import rowmark as rm
+
+
+def write(folder, name, *records):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(json.dumps(r) + "\n" for r in records))
+
+
+def test_feed_is_merged_exactly(spark, tmp_path, bundle):  # noqa: F811
+    target = bundle("t", annotation(1, "x"))
+    feed, progress = tmp_path / "feed", str(tmp_path / "progress")
+    write(feed, "1.json", annotation(1, "x"), annotation(2, "x"), annotation(2, "x"))
+    write(feed, "2.json", annotation(3, "x"), annotation(4, "x", annotation_id=""), annotation(5, "x", annotation_id=""))
+    rm.merge_feed(rm.annotation_feed(spark, str(feed)), target, progress).awaitTermination()
+    assert sorted(log_ids(spark, target)) == ["", "", "a1-x", "a2-x", "a3-x"]
+    write(feed, "3.json", annotation(2, "x"), annotation(6, "x"), annotation(7, "x", annotation_id=None))
+    rm.merge_feed(rm.annotation_feed(spark, str(feed)), target, progress).awaitTermination()
+    assert sorted(filter(None, log_ids(spark, target))) == ["a1-x", "a2-x", "a3-x", "a6-x"]
+    assert log_ids(spark, target).count(None) == 1
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path, bundle):  # noqa: F811
+    target = bundle("t", annotation(1, "x"))
+    feed = tmp_path / "feed"
+    write(feed, "1.json", annotation(1, "x"), annotation(2, "x"), annotation(4, "x", annotation_id=""))
+    for progress in ("p1", "p2"):  # a lost checkpoint: the first batch comes again
+        rm.merge_feed(rm.annotation_feed(spark, str(feed)), target, str(tmp_path / progress)).awaitTermination()
+    assert sorted(log_ids(spark, target)) == ["", "a1-x", "a2-x"]
+
+
+def test_bad_line_stops_the_feed(spark, tmp_path, bundle):  # noqa: F811
+    target = bundle("t", annotation(1, "x"))
+    (tmp_path / "feed").mkdir()
+    (tmp_path / "feed" / "1.json").write_text('{"annotation_id": \n')
+    query = rm.merge_feed(rm.annotation_feed(spark, str(tmp_path / "feed")), target, str(tmp_path / "p"))
+    with pytest.raises(Exception):
+        query.awaitTermination()
+    assert log_ids(spark, target) == ["a1-x"]
+
+
+def test_recent_repeats(spark, tmp_path):
+    feed = tmp_path / "feed"
+    write(feed, "1.json", annotation(1, "x"), annotation(1, "x"), annotation(2, "x"))
+    query = (
+        rm.recent_repeats_dropped(rm.annotation_feed(spark, str(feed)), "10 minutes")
+        .select("annotation_id")
+        .writeStream.format("memory")
+        .queryName("recent")
+        .outputMode("append")
+        .option("checkpointLocation", str(tmp_path / "p"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    assert sorted(r.annotation_id for r in spark.table("recent").collect()) == ["a1-x", "a2-x"]
