@@ -248,7 +248,10 @@ def merge_label_sets(target: LabelSet, source: LabelSet) -> LabelSet:
 
 def label_set_changed(before: LabelSet, after: LabelSet) -> bool:
     """A merge only ever adds, so comparing sizes is enough."""
-    return any(
-        getattr(before, part).count() != getattr(after, part).count()
-        for part in ("tasks", "labels", "keys")
-    )
+
+    def entries(label_set: LabelSet) -> int:
+        parts = (label_set.tasks, label_set.labels, label_set.keys)
+        tasks, labels, keys = (part.select("task_type") for part in parts)
+        return tasks.unionAll(labels).unionAll(keys).count()
+
+    return entries(before) != entries(after)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from rowmark.functions.identity import POSITION, column, data_columns
 from rowmark.functions.jsontext import json_text
-from rowmark.operators.checkpoints import checkpoint_folder
+from rowmark.checkpoints import checkpoint_folder
 
 # Rows on a page and in a sample.
 PAGE_SIZE = 200

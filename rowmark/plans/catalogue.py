@@ -331,7 +331,7 @@ def view_rank(spark, sf):
 
 @query
 def page(spark, sf):
-    return rm.page(indexed(spark, sf, "customer"), 200, 200, "c_acctbal", True).drop(rm.POSITION)
+    return rm.page(indexed(spark, sf, "orders"), 400, 200, "o_totalprice").drop(rm.POSITION)
 
 
 @query

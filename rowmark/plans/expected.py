@@ -230,7 +230,7 @@ SQL: dict[str, str] = {
         FROM (SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(floor(c_acctbal / 1000) AS BIGINT) END AS band
               FROM customer)""",
     "page": """
-        SELECT * FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 200 OFFSET 200""",
+        SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 200 OFFSET 400""",
     "page_after": """
         SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 200 OFFSET 200""",
     "page_at_row": """

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowmark.operators.checkpoints import checkpoint_folder
+from rowmark.checkpoints import checkpoint_folder
 
 # Positions of the second part of a two-part log start here.
 SECOND_PART = 10**12

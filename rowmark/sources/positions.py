@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from rowmark.checkpoints import checkpoint_folder
 from rowmark.functions.identity import POSITION
 
-# Above this many files or splits the offset table is joined without a broadcast.
+# Beyond this many files or splits the offset table is joined without a broadcast.
 MAX_BROADCAST_PIECES = 1_000_000
 
 _PIECES_PIN = "spark.sql.files.minPartitionNum"
@@ -17,73 +18,51 @@ def with_row_index(df: DataFrame) -> DataFrame:
 
     Call it right after reading, before any filter: positions then survive filters and
     sorts. Files count in path order. Only the row count of each file (Parquet) or split
-    (CSV, JSON) is brought together; the rows themselves are not shuffled.
+    (CSV, JSON) is brought together, once and right here; the rows are not shuffled.
     """
     known = df.select("_metadata").schema["_metadata"].dataType.fieldNames()
-    return _indexed_files(df) if "row_index" in known else _indexed_splits(df)
-
-
-def _indexed_files(df: DataFrame) -> DataFrame:
-    files = len(df.inputFiles())
+    if "row_index" not in known:
+        return _indexed_splits(df)
     in_file = F.col("_metadata.row_index")
-    if files <= 1:
+    if len(df.inputFiles()) <= 1:
         return df.select("*", in_file.alias(POSITION))
-    counts = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").count()
-    rows_before = F.sum("count").over(
-        Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = counts.select("_file", F.coalesce(rows_before, F.lit(0)).alias("_before"))
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), in_file.alias("_in_file"))
-    return (
-        placed.join(_broadcast_within(offsets, files), "_file")
-        .withColumn(POSITION, F.col("_before") + F.col("_in_file"))
-        .drop("_file", "_before", "_in_file")
-    )
+    return _placed(df, {"_file": F.col("_metadata.file_path")}, in_file)
 
 
 def _indexed_splits(df: DataFrame) -> DataFrame:
     """CSV and JSON know no row number, so rows are numbered within each scan split.
 
     `monotonically_increasing_id` counts rows of a task in order; the first id of a split
-    turns it into a place within the split. Both reads of the files must be cut into the
-    same splits, so the cut is pinned first: left alone it follows the executor count.
+    turns it into a place within the split. Every later read of the files must be cut into
+    the same splits, so the cut is pinned: left alone it follows the executor count.
     """
-    spark = df.sparkSession
-    _pin_splits(spark)
-    placed = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"),
-    )
-    splits = placed.groupBy("_file", "_start").agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first")
+    _pin_splits(df.sparkSession)
+    split = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
+    return _placed(df, split, F.monotonically_increasing_id())
+
+
+def _placed(df: DataFrame, piece: dict[str, Column], number: Column) -> DataFrame:
+    """Positions from a row number that counts on within each piece of the source."""
+    placed = df.select("*", *(c.alias(name) for name, c in piece.items()), number.alias("_number"))
+    pieces = placed.groupBy(*piece).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("_number").alias("_first")
     )
     rows_before = F.sum("_rows").over(
-        Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = splits.select(
-        "_file", "_start", (F.coalesce(rows_before, F.lit(0)) - F.col("_first")).alias("_shift")
+        Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
     )
+    shift = F.coalesce(rows_before, F.lit(0)) - F.col("_first")
+    # One short row per piece, counted once and kept.
+    checkpoint_folder(df.sparkSession)
+    offsets = pieces.select(*piece, shift.alias("_shift")).checkpoint()
+    if offsets.count() <= MAX_BROADCAST_PIECES:
+        offsets = F.broadcast(offsets)
     return (
-        placed.join(_broadcast_within(offsets, _split_bound(df)), ["_file", "_start"])
-        .withColumn(POSITION, F.col("_shift") + F.col("_id"))
-        .drop("_file", "_start", "_id", "_shift")
+        placed.join(offsets, list(piece))
+        .withColumn(POSITION, F.col("_shift") + F.col("_number"))
+        .drop(*piece, "_number", "_shift")
     )
 
 
 def _pin_splits(spark: SparkSession) -> None:
     if spark.conf.get(_PIECES_PIN, None) is None:
         spark.conf.set(_PIECES_PIN, str(spark.sparkContext.defaultParallelism))
-
-
-def _split_bound(df: DataFrame) -> int:
-    """No scan of `df` has more splits than this."""
-    spark = df.sparkSession
-    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    largest = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    return len(df.inputFiles()) + max(total // largest + 1, int(spark.conf.get(_PIECES_PIN)))
-
-
-def _broadcast_within(offsets: DataFrame, pieces: int) -> DataFrame:
-    return F.broadcast(offsets) if pieces <= MAX_BROADCAST_PIECES else offsets
