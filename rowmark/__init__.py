@@ -28,6 +28,8 @@ from rowmark.operators.labels import (
     merge_label_sets,
     new_label_set,
     resolve_labels,
+    with_labels,
+    with_task,
 )
 from rowmark.operators.merge import (
     conflict_count,
@@ -56,7 +58,7 @@ from rowmark.operators.view import (
     select_visible,
     sort_rows,
 )
-from rowmark.sources.archives import read_bundle_archives
+from rowmark.sources.archives import archive_documents, read_bundle_archives
 from rowmark.sources.bundles import (
     append_annotations,
     create_bundle,
@@ -65,6 +67,7 @@ from rowmark.sources.bundles import (
     open_bundle,
     read_annotations,
     read_label_set,
+    summarize_bundle,
     validate_bundle,
     write_label_set,
 )
@@ -72,6 +75,7 @@ from rowmark.sources.fingerprints import dataset_fingerprint, file_fingerprint
 from rowmark.sources.positions import with_row_index
 from rowmark.sources.readers import (
     dataset_meta,
+    inspect,
     read_csv,
     read_dataset,
     read_jsonl,

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from rowmark.functions.text import label_key, trimmed
-from rowmark.operators.sizes import broadcast_if_small
+from rowmark.operators.sizes import settled
 
 # Codes, first labels and task of a new label set.
 CODES = ("1", "2", "3", "4", "5", "6", "7", "8", "9")
@@ -164,7 +164,7 @@ def resolve_labels(rows: DataFrame, vocab: DataFrame, position: str) -> DataFram
     An unknown label keeps its first spelling among `rows`, by `position`. An empty label
     is an error.
     """
-    spelling = broadcast_if_small(
+    spelling = settled(
         _spellings(rows, vocab, position).select("task_type", "_key", F.col("label").alias("_label"))
     )
     keyed = rows.withColumn("_key", label_key(F.col("label")))
@@ -246,6 +246,33 @@ def merge_label_sets(target: LabelSet, source: LabelSet) -> LabelSet:
     )
 
 
+def with_task(label_set: LabelSet, task: str) -> LabelSet:
+    """The label set with another active task; a task not seen before starts without labels."""
+    if not task.strip():
+        raise ValueError("Task type cannot be empty.")
+    named = label_set.tasks.sparkSession.createDataFrame([(task.strip(),)], "task_type STRING")
+    return replace(
+        label_set, active_task=task.strip(), tasks=label_set.tasks.union(named).distinct()
+    )
+
+
+def with_labels(label_set: LabelSet, added: DataFrame) -> LabelSet:
+    """The label set with new labels behind its own, each with a free code while there are any.
+
+    `added` has task_type, pos and label, as `added_labels` returns them.
+    """
+    known = label_set.labels.select("task_type", label_key(F.col("label")).alias("_key"))
+    fresh = label_vocab(added).withColumn("_key", label_key(F.col("label")))
+    fresh = _after(fresh.join(known, ["task_type", "_key"], "left_anti"), label_set.labels)
+    taken = label_set.keys.select("task_type", "key", "pos", "label")
+    return LabelSet(
+        label_set.active_task,
+        label_set.tasks.union(fresh.select("task_type")).distinct(),
+        label_set.labels.unionByName(fresh),
+        taken.unionByName(label_codes(fresh, taken)),
+    )
+
+
 def label_set_changed(before: LabelSet, after: LabelSet) -> bool:
     """A merge only ever adds, so comparing sizes is enough."""
 

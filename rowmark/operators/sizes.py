@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rowmark.checkpoints import checkpoint_folder
+
 BROADCAST_ROWS = 100_000
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a narrow frame for broadcast if it has at most `rows` rows, else leave it as is.
+def settled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Compute a narrow frame once, and mark it for broadcast if it has at most `rows` rows.
 
-    Runs a count that stops at the bound. Beyond it Spark joins by shuffle, where adaptive
-    execution splits hot keys.
+    Beyond that Spark joins it by shuffle, where adaptive execution splits hot keys.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    checkpoint_folder(df.sparkSession)
+    kept = df.checkpoint()
+    return F.broadcast(kept) if kept.count() <= rows else kept

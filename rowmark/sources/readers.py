@@ -7,7 +7,8 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowmark.functions.identity import column, data_columns
+from rowmark.functions.identity import column, data_columns, row_records
+from rowmark.operators.view import SAMPLE_SIZE, sample_rows
 from rowmark.sources.files import exists, glob
 
 # Accepted source type names.
@@ -173,3 +174,18 @@ def dataset_meta(
         F.lit(row_id_field).cast("string").alias("row_id_field"),
         F.lit(json.dumps(list(key_fields))).alias("key_fields"),
     )
+
+
+def inspect(
+    df: DataFrame,
+    meta: DataFrame,
+    n: int = SAMPLE_SIZE,
+    id_field: str | None = None,
+    key_fields: tuple[str, ...] = (),
+) -> dict[str, DataFrame]:
+    """A dataset at a glance: its meta row, its columns, and records of its first rows."""
+    return {
+        "meta": meta,
+        "schema": schema_listing(df),
+        "sample_rows": row_records(sample_rows(df, n), id_field, key_fields),
+    }

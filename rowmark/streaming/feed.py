@@ -11,14 +11,18 @@ from rowmark.operators.merge import import_new, log_order
 from rowmark.sources.bundles import append_annotations, read_log
 
 
-def annotation_feed(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Annotation files as they arrive in a folder; a bad line stops the stream."""
-    return (
-        spark.readStream.schema(ANNOTATION_SCHEMA)
-        .option("mode", "FAILFAST")
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
-    )
+def annotation_feed(
+    spark: SparkSession, folder: str, files_per_batch: int | None = None
+) -> DataFrame:
+    """Annotation files as they arrive in a folder; a bad line stops the stream.
+
+    Each micro-batch of `merge_feed` reads the ids of the whole log once, so batches are not
+    cut small unless `files_per_batch` asks for it.
+    """
+    reader = spark.readStream.schema(ANNOTATION_SCHEMA).option("mode", "FAILFAST")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(folder)
 
 
 def recent_repeats_dropped(feed: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -257,3 +257,36 @@ def test_archive_without_a_bundle(spark, tmp_path):
     pack(tmp_path / "bad.tar.gz", {"manifest.json": "{}"})
     with pytest.raises(Exception, match="No valid annotation bundle"):
         rm.read_bundle_archives(spark, str(tmp_path)).collect()
+
+
+def test_import_of_a_packed_bundle(spark, bundle, tmp_path):
+    target = bundle("t", annotation(1, "high-quality"))
+    packed = members("b/", annotation(1, "high-quality"), annotation(2, "good"), annotation(2, "good"))
+    packed["b/manifest.json"] = json.dumps({"bundle_id": "z", "dataset": {"fingerprint": "sha256:f1"}}, indent=2)
+    packed["b/label_set.json"] = json.dumps({"task_type": "preference", "labels": ["good"]}, indent=2)
+    pack(tmp_path / "s.tar.gz", packed)
+    report = rm.import_bundle(spark, target, str(tmp_path / "s.tar.gz")).first()
+    assert (report.source_count, report.imported_count, report.duplicate_count) == (3, 1, 2)
+    assert log_ids(spark, target) == ["a1-high-quality", "a2-good"]
+    assert task_labels(rm.read_label_set(spark, target), "preference") == ["high-quality", "low-quality", "good"]
+    packed["b/manifest.json"] = json.dumps({"dataset": {"fingerprint": "sha256:f2"}})
+    pack(tmp_path / "other.tar.gz", packed)
+    with pytest.raises(ValueError, match="source=sha256:f2"):
+        rm.import_bundle(spark, target, str(tmp_path / "other.tar.gz"))
+    with pytest.raises(ValueError, match="does not exist"):
+        rm.import_bundle(spark, target, str(tmp_path / "none.tar.gz"))
+
+
+def test_summary_of_a_bundle(spark, bundle):
+    path = bundle(
+        "b", annotation(1, "high-quality"), annotation(2, "low-quality"), annotation(2, "high-quality"),
+        annotation(1, "high-quality"), annotation(9, "entity-person", "classification", "bob"),
+    )
+    got = {(r.section, r.name): r.value for r in rm.summarize_bundle(spark, path, annotator="ALICE").collect()}
+    assert got[("counts", "total_records")] == "5" and got[("counts", "filtered_records")] == "4"
+    assert got[("counts", "duplicate_annotation_ids")] == got[("counts", "row_label_conflicts")] == "1"
+    assert got[("by_label", "high-quality")] == "3" and ("by_label", "entity-person") not in got
+    assert got[("manifest", "dataset.fingerprint")] == "sha256:f1" and got[("filters", "annotator")] == "ALICE"
+    assert got[("labels.preference", "0")] == got[("hotkeys.preference", "1")] == "high-quality"
+    assert json.loads(got[("sample_records", "1")]) == annotation(2, "low-quality")
+    assert rm.summarize_bundle(spark, path, limit=0).filter("section = 'sample_records'").count() == 0

@@ -145,3 +145,17 @@ def test_merge_keeps_tasks_apart(spark):
     assert coded(merged.keys.filter("task_type = 'preference'")) == {"1": "a", "2": "b", "3": "c"}
     # A task only one side knows is taken over as it is.
     assert coded(merged.keys.filter("task_type = 'classification'")) == {"7": "p"}
+
+
+def test_switching_tasks_and_adding_labels(spark, labels):
+    start = rm.new_label_set(spark, labels=["good", "bad"])
+    more = rm.with_labels(start, labels(" needs-review ", "GOOD", "Needs-Review"))
+    assert named(more.labels, "preference") == ["good", "bad", "needs-review"]
+    assert coded(more.keys) == {"1": "good", "2": "bad", "3": "needs-review"}
+    other = rm.with_task(more, " classification ")
+    assert other.active_task == "classification" and named(other.labels, "classification") == []
+    other = rm.with_labels(other, labels("entity-person", task="classification"))
+    assert coded(other.keys.filter("task_type = 'classification'")) == {"1": "entity-person"}
+    assert named(other.labels, "preference") == named(more.labels)
+    with pytest.raises(ValueError, match="Task type cannot be empty"):
+        rm.with_task(more, " ")

@@ -196,3 +196,11 @@ def test_dataset_fingerprint(spark):
     ]
     prints = {c.first().fingerprint for c in changed}
     assert len(prints) == 5 and base not in prints
+
+
+def test_inspect(spark, sample_csv):
+    df = rm.with_row_index(rm.read_dataset(spark, sample_csv))
+    meta = rm.dataset_meta(df, "csv", sample_csv, rm.file_fingerprint(spark, sample_csv))
+    report = rm.inspect(df, meta, 2, key_fields=("name",))
+    assert report["meta"].first().row_count == 3 and report["schema"].count() == 3
+    assert values(report["sample_rows"], "row_id") == ["1", "2"]
