@@ -64,15 +64,17 @@ def read_csv(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str | None = None,
-    multiline: bool = True,
+    multiline: bool | None = None,
 ) -> DataFrame:
     """CSV with a header row.
 
     Inferred types are text, bigint, double and boolean; dates stay text. Inference is a
     pass of its own over the files, so pass `schema` for large data. Quoted values may
-    span lines, which keeps a file in one task: with `multiline=False` (no line breaks
-    inside values) large files are split.
+    span lines, which keeps a file in one task, so files are split only if no value does:
+    left open, `multiline` is found out by a pass over the lines.
     """
+    if multiline is None:
+        multiline = _values_span_lines(spark, path)
     reader = (
         spark.read.option("header", True)
         .option("multiLine", multiline)
@@ -89,6 +91,12 @@ def read_csv(
     )
 
 
+def _values_span_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a value may go on in the next line: its first line then has an unpaired quote."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).filter(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def _csv_type(dtype: T.DataType) -> T.DataType:
     if isinstance(dtype, (T.IntegerType, T.LongType)):
         return T.LongType()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import rowmark as rm
 from rowmark.sources import positions
-from rowmark.sources.readers import source_type
+from rowmark.sources.readers import _values_span_lines, source_type
 
 
 @pytest.fixture
@@ -137,7 +137,7 @@ def test_positions_over_files_and_splits(spark, tmp_path, small_splits, monkeypa
         df = rm.read_jsonl(spark, folder, "id BIGINT, t STRING")
     else:
         writer.csv(folder)
-        df = rm.read_csv(spark, folder, "id BIGINT, t STRING", multiline=fmt == "csv")
+        df = rm.read_csv(spark, folder, "id BIGINT, t STRING", multiline=True if fmt == "csv" else None)
     indexed = rm.with_row_index(df)
     assert indexed.filter(F.col("id") != F.col(rm.POSITION)).count() == 0
     assert indexed.select(rm.POSITION).distinct().count() == 20000
@@ -204,3 +204,12 @@ def test_inspect(spark, sample_csv):
     report = rm.inspect(df, meta, 2, key_fields=("name",))
     assert report["meta"].first().row_count == 3 and report["schema"].count() == 3
     assert values(report["sample_rows"], "row_id") == ["1", "2"]
+
+
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [('a,b\n1,"x ""y"" z"\n', False), ('a,b\n1,"x\ny"\n', True), ('a,b\n1,5" pipe\n', True), ("a\n", False)],
+)
+def test_csv_files_are_split_unless_values_span_lines(spark, tmp_path, text, spans):
+    (tmp_path / "a.csv").write_text(text)
+    assert _values_span_lines(spark, str(tmp_path / "a.csv")) is spans
