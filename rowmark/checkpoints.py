@@ -1,8 +1,9 @@
-"""Where checkpoints go: the cluster's shared folder."""
+"""Where checkpoints and intermediate tables go: the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +21,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="rowmark-checkpoints-")
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new name for a folder beside the checkpoints."""
+    return f"{checkpoint_folder(spark)}/rowmark-{uuid.uuid4()}"

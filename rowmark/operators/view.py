@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from rowmark.checkpoints import shared_folder
 from rowmark.functions.identity import POSITION, column, data_columns
 from rowmark.functions.jsontext import json_text
 from rowmark.checkpoints import checkpoint_folder
@@ -103,31 +107,6 @@ def page_after(
     return page(df.filter(behind), 0, limit, sort, descending)
 
 
-def ranked_view(df: DataFrame, sort: str | None = None, descending: bool = False) -> DataFrame:
-    """Add each row's place in the view, so that any page is a range filter.
-
-    A distributed sort on (column, position) spreads even a value that fills a third of
-    the table. Its partitions are fixed by a checkpoint; their row counts, one small
-    number per partition, then turn places within partitions into places in the view.
-    """
-    spark = df.sparkSession
-    checkpoint_folder(spark)
-    fixed = sort_rows(df, sort, descending).withColumn("_id", F.monotonically_increasing_id())
-    fixed = fixed.checkpoint().withColumn("_part", F.shiftright("_id", 33))
-    counts = fixed.groupBy("_part").count()
-    rows_before = F.sum("count").over(
-        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    starts = counts.select("_part", F.coalesce(rows_before, F.lit(0)).alias("_before"))
-    # One row per shuffle partition, so the broadcast does not grow with the table.
-    in_part = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return (
-        fixed.join(F.broadcast(starts), "_part")
-        .withColumn(VIEW_RANK, F.col("_before") + in_part)
-        .drop("_part", "_id", "_before")
-    )
-
-
 def page_start(position: int, rows: int, size: int = PAGE_SIZE) -> int:
     """First row of the page that holds `position`, after clamping it to the view."""
     return min(max(position, 0), max(rows - 1, 0)) // size * size
@@ -140,14 +119,72 @@ def page_at(
     sort: str | None = None,
     descending: bool = False,
 ) -> DataFrame:
-    """The page that holds place `position` of the view.
+    """The page that holds place `position` of the view; counts the rows first."""
+    return page(df, page_start(position, df.count(), size), size, sort, descending)
+
 
-    On a `ranked_view` this is a range filter; otherwise the rows are counted first.
+@dataclass(frozen=True)
+class RankedView:
+    """A view stored in its order, so that a page at any depth is a range filter.
+
+    `_id` rises along the view; `starts` has, for each stored part, its first id, the rows
+    before it and its own rows: one entry per partition of the sort.
+    """
+
+    table: DataFrame
+    starts: tuple[tuple[int, int, int], ...]
+
+    def count(self) -> int:
+        return sum(rows for _, _, rows in self.starts)
+
+    def page(self, offset: int = 0, limit: int = PAGE_SIZE) -> DataFrame:
+        """Rows [offset, offset + limit); the range of ids is pushed down to the stored parts."""
+        first, end = max(offset, 0), max(offset, 0) + limit
+        ranges = [
+            F.col("_id").between(
+                start + max(first - before, 0), start + min(end - before, rows) - 1
+            )
+            for start, before, rows in self.starts
+            if before < end and first < before + rows
+        ]
+        return self.table.filter(reduce(or_, ranges) if ranges else F.lit(False)).drop("_id")
+
+    def page_at(self, position: int, size: int = PAGE_SIZE) -> DataFrame:
+        """The page that holds place `position`."""
+        return self.page(page_start(position, self.count(), size), size)
+
+    def with_rank(self) -> DataFrame:
+        """All rows with their place in the view."""
+        shifts = [(start >> 33, before - start) for start, before, _ in self.starts]
+        parts = self.table.sparkSession.createDataFrame(shifts, "_part BIGINT, _shift BIGINT")
+        return (
+            self.table.withColumn("_part", F.shiftright("_id", 33))
+            .join(F.broadcast(parts), "_part")
+            .withColumn(VIEW_RANK, F.col("_id") + F.col("_shift"))
+            .drop("_part", "_id", "_shift")
+        )
+
+
+def ranked_view(
+    df: DataFrame, sort: str | None = None, descending: bool = False, folder: str | None = None
+) -> RankedView:
+    """Sort a view once and store it as Parquet, in the shared folder unless told otherwise.
+
+    A distributed sort on (column, position) spreads even a value that fills a third of
+    the table. Select the columns to show before calling this.
     """
-    start = page_start(position, df.count(), size)
-    if VIEW_RANK in df.columns:
-        return df.filter(F.col(VIEW_RANK).between(start, start + size - 1)).drop(VIEW_RANK)
-    return page(df, start, size, sort, descending)
+    spark = df.sparkSession
+    folder = folder or shared_folder(spark)
+    ordered = sort_rows(df, sort, descending)
+    ordered.withColumn("_id", F.monotonically_increasing_id()).write.parquet(folder)
+    table = spark.read.parquet(folder)
+    # Ids count on within a partition of the sort and jump to the next multiple of 2**33.
+    counts = table.groupBy(F.shiftright("_id", 33).alias("part")).count().collect()
+    starts, before = [], 0
+    for part, rows in sorted((row["part"], row["count"]) for row in counts):
+        starts.append((part << 33, before, rows))
+        before += rows
+    return RankedView(table, tuple(starts))
 
 
 def sample_rows(df: DataFrame, n: int = SAMPLE_SIZE) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import rowmark as rm
+from rowmark.checkpoints import shared_folder
 from rowmark.plans import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,21 +46,21 @@ def curation_page(spark, sf):
 @query
 def scan_csv(spark, sf):
     """Documents written as CSV and read back: quoted line breaks survive."""
-    folder = t.scratch(spark)
+    folder = shared_folder(spark)
     t.table(spark, sf, "documents").write.option("header", True).option("escape", '"').csv(folder)
     return rm.read_dataset(spark, folder, "csv")
 
 
 @query
 def scan_jsonl(spark, sf):
-    folder = t.scratch(spark)
+    folder = shared_folder(spark)
     t.table(spark, sf, "conversations").write.json(folder)
     return rm.read_dataset(spark, folder, "ndjson")
 
 
 @query
 def scan_split(spark, sf):
-    root = t.scratch(spark)
+    root = shared_folder(spark)
     customers = t.table(spark, sf, "customer")
     for split, test in (("train", "c_nationkey < 20"), ("validation", "c_nationkey >= 20")):
         customers.filter(test).write.parquet(f"{root}/customers/data/{split}")
@@ -78,7 +79,7 @@ def row_index(spark, sf):
 @query
 def row_index_parts(spark, sf):
     """Positions over many Parquet files."""
-    folder = t.scratch(spark)
+    folder = shared_folder(spark)
     t.table(spark, sf, "orders").repartitionByRange(6, "o_orderkey").sortWithinPartitions(
         "o_orderkey"
     ).write.parquet(folder)
@@ -90,7 +91,7 @@ def row_index_parts(spark, sf):
 @query
 def row_index_csv(spark, sf):
     """Positions over many CSV files whose values span lines."""
-    folder = t.scratch(spark)
+    folder = shared_folder(spark)
     t.table(spark, sf, "documents").repartitionByRange(6, "doc_id").sortWithinPartitions(
         "doc_id"
     ).write.option("header", True).option("escape", '"').csv(folder)
@@ -102,7 +103,7 @@ def row_index_csv(spark, sf):
 @query
 def row_index_jsonl(spark, sf):
     """Positions over JSON-lines files."""
-    folder = t.scratch(spark)
+    folder = shared_folder(spark)
     t.table(spark, sf, "events").repartitionByRange(3, "event_id").sortWithinPartitions(
         "event_id"
     ).write.json(folder)
@@ -323,9 +324,8 @@ def view_rank(spark, sf):
     """Every row's place in a view sorted on a column with nulls and many ties."""
     customers = indexed(spark, sf, "customer")
     known = F.when(F.col("c_mktsegment") != "BUILDING", F.floor(F.col("c_acctbal") / 1000))
-    view = rm.ranked_view(
-        customers.select(rm.POSITION, "c_custkey", known.alias("band")), "band", descending=True
-    )
+    rows = customers.select(rm.POSITION, "c_custkey", known.alias("band"))
+    view = rm.ranked_view(rows, "band", descending=True).with_rank()
     return view.select("c_custkey", "band", F.col("_view_rank").alias("place"))
 
 
@@ -354,7 +354,7 @@ def page_at_row(spark, sf):
 @query
 def page_at_rank(spark, sf):
     rows = rm.filter_rows(indexed(spark, sf, "orders"), "o_orderstatus == F")
-    return rm.page_at(rm.ranked_view(rows, "o_totalprice"), 777, 200).drop(rm.POSITION)
+    return rm.ranked_view(rows, "o_totalprice").page_at(777, 200).drop(rm.POSITION)
 
 
 @query
@@ -467,7 +467,7 @@ def label_conflict_count(spark, sf):
 @query
 def export_snapshot(spark, sf):
     """Log written to a bundle, exported, and read back from the export in log order."""
-    root = t.scratch(spark)
+    root = shared_folder(spark)
     rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1"})
     rm.append_annotations(t.full_records(t.event_log(spark, sf)).orderBy("pos"), f"{root}/b")
     rm.export_snapshot(spark, f"{root}/b", f"{root}/copy")
@@ -480,7 +480,7 @@ def export_snapshot(spark, sf):
 @query
 def import_bundle(spark, sf):
     """Two bundles on storage merged; the report of the merge."""
-    root = t.scratch(spark)
+    root = shared_folder(spark)
     for name, log in (("a", t.event_log(spark, sf)), ("b", t.incoming_log(spark, sf))):
         rm.create_bundle(spark, f"{root}/{name}", {"fingerprint": "sha256:f1"})
         rm.append_annotations(t.full_records(log).orderBy("pos"), f"{root}/{name}")
@@ -495,7 +495,7 @@ def import_bundle(spark, sf):
 @query
 def merge_feed(spark, sf):
     """The order log arriving as files, merged into a bundle that holds the event log."""
-    root = t.scratch(spark)
+    root = shared_folder(spark)
     rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1"})
     rm.append_annotations(t.full_records(t.event_log(spark, sf)).orderBy("pos"), f"{root}/b")
     incoming = t.full_records(t.incoming_log(spark, sf)).drop("pos")

@@ -5,12 +5,8 @@ Each frame has its counterpart in SQL in `expected.py`.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowmark.checkpoints import checkpoint_folder
-
 # Positions of the second part of a two-part log start here.
 SECOND_PART = 10**12
 
@@ -19,11 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder on the storage that all executors share."""
-    return f"{checkpoint_folder(spark)}/rowmark-{uuid.uuid4()}"
-
-
 def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One annotation per event: users label what they met; two event types have no row id."""
     day = F.date_format("ts", "yyyy-MM-dd")

@@ -14,8 +14,6 @@ ONE_ROW = {
     "annotation_count", "import_report", "label_conflict_count", "import_bundle", "time_range",
     "conflicts_filtered", "record_counts", "bundle_summary",
 }
-# One row per partition of the sorted view.
-RANKED = {"view_rank", "page_at_rank"}
 # Written to storage inside the query; their inner plans are covered by the queries they use.
 WRITING = {"import_bundle", "merge_feed", "export_snapshot"}
 
@@ -43,11 +41,11 @@ def test_no_cross_joins(plans):
 
 def test_nothing_whole_goes_through_one_task(plans):
     for name, plan in plans.items():
-        if name not in ONE_ROW | RANKED:
+        if name not in ONE_ROW:
             assert "Exchange SinglePartition" not in plan, name
         for line in plan.splitlines():
-            # Windows run over a task's labels or codes, or over the sizes of partitions.
-            if re.search(r"[-+] Window ", line) and name not in RANKED:
+            # Windows run over a task's labels or codes.
+            if re.search(r"[-+] Window ", line):
                 assert "task_type" in line and name in ("label_codes", "label_code_merge"), name
 
 
@@ -58,7 +56,7 @@ def test_windows_keep_nine_rows_before_the_shuffle(plans):
 def test_only_checked_broadcasts(plans):
     hinted = {name for name, plan in plans.items() if "BroadcastExchange" in plan}
     assert hinted == {
-        "row_index_parts", "row_index_csv", "row_index_jsonl", "resolve_labels", *RANKED,
+        "row_index_parts", "row_index_csv", "row_index_jsonl", "resolve_labels", "view_rank",
     }
 
 

@@ -72,13 +72,23 @@ def test_ranked_view(spark, descending):
         F.col("id").alias(rm.POSITION),
         F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 100).alias("v"),
     )
-    ranked = rm.ranked_view(df, "v", descending)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranked = rm.ranked_view(df, "v", descending)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     expected = order(rm.sort_rows(df, "v", descending))
-    assert order(ranked.orderBy(VIEW_RANK)) == expected
-    assert values(ranked.orderBy(VIEW_RANK), VIEW_RANK) == list(range(5000))
-    page = rm.page_at(ranked, 1234, 100)
-    assert sorted(order(page)) == sorted(expected[1200:1300])
+    placed = ranked.with_rank().orderBy(VIEW_RANK)
+    assert order(placed) == expected and values(placed, VIEW_RANK) == list(range(5000))
+    assert ranked.count() == 5000 and len(ranked.starts) > 1
+    assert sorted(order(ranked.page_at(1234, 100))) == sorted(expected[1200:1300])
     assert order(rm.page_at(df, 1234, 100, "v", descending)) == expected[1200:1300]
+    for offset, limit in ((0, 5000), (1000, 3000), (4990, 50), (5000, 10), (10, 0), (0, -3)):
+        assert sorted(order(ranked.page(offset, limit))) == sorted(expected[offset : offset + max(limit, 0)])
+    plan = ranked.page_at(4321, 10).select("v")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(_id" in plan and "Exchange" not in plan and "Join" not in plan
+    nothing = rm.ranked_view(df.filter("v < 0"), "v")
+    assert nothing.count() == nothing.page_at(5).count() == nothing.with_rank().count() == 0
     assert order(rm.page_at(df.filter("v < 0"), 5)) == []
 
 
