@@ -83,8 +83,8 @@ def row_key(df: DataFrame) -> Column:
 def conflict_groups(annotations: DataFrame, key: Column | None = None) -> DataFrame:
     """Groups of task, row and row hash that carry more than one label.
 
-    Repeats of the same label collapse first, so the groups themselves stay small however
-    often one row was labelled.
+    Lowest and highest label tell whether there is more than one, and each task sends on
+    one row per group however often a row was labelled.
     """
     labelled = annotations.filter("task_type <> '' AND label <> ''").select(
         "task_type",
@@ -93,10 +93,9 @@ def conflict_groups(annotations: DataFrame, key: Column | None = None) -> DataFr
         "label",
     )
     return (
-        labelled.distinct()
-        .groupBy("task_type", "row_key", "row_hash")
-        .agg(F.count(F.lit(1)).alias("label_count"))
-        .filter("label_count > 1")
+        labelled.groupBy("task_type", "row_key", "row_hash")
+        .agg(F.min("label").alias("lowest_label"), F.max("label").alias("highest_label"))
+        .filter("lowest_label <> highest_label")
     )
 
 

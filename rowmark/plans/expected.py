@@ -293,7 +293,8 @@ SQL: dict[str, str] = {
              HAVING count(DISTINCT label) > 1)) AS conflict_count""",
     "label_conflicts": f"""
         WITH {_EVENT_LOG}
-        SELECT task_type, {_ROW_KEY} AS row_key, row_hash, count(DISTINCT label) AS label_count
+        SELECT task_type, {_ROW_KEY} AS row_key, row_hash, min(label) AS lowest_label,
+          max(label) AS highest_label
         FROM event_log GROUP BY ALL HAVING count(DISTINCT label) > 1""",
     "label_conflict_count": f"""
         WITH {_INCOMING_LOG}
