@@ -18,6 +18,10 @@ from rowmark.checkpoints import checkpoint_folder
 # Rows on a page and in a sample.
 PAGE_SIZE = 200
 SAMPLE_SIZE = 5
+
+# Rows up to which a page is taken by top-k, in one task at the end.
+TOP_ROWS = 100_000
+
 VIEW_RANK = "_view_rank"
 
 
@@ -78,12 +82,14 @@ def page(
 ) -> DataFrame:
     """Rows [offset, offset + limit) of the view.
 
-    Each task keeps its best offset + limit rows, so this is for pages near the top;
-    `page_after` follows on from a shown row at any depth, `ranked_view` serves pages at
-    arbitrary depth.
+    Near the top this is a top-k, for which each task keeps its best offset + limit rows.
+    Deeper pages are cut from a stored view: keep a `ranked_view` to show several, or
+    follow on from a shown row with `page_after`.
     """
     if limit <= 0:
         return df.limit(0)
+    if offset + limit > TOP_ROWS:
+        return ranked_view(df, sort, descending).page(offset, limit)
     return sort_rows(df, sort, descending).offset(max(offset, 0)).limit(limit)
 
 
@@ -147,7 +153,8 @@ class RankedView:
             for start, before, rows in self.starts
             if before < end and first < before + rows
         ]
-        return self.table.filter(reduce(or_, ranges) if ranges else F.lit(False)).drop("_id")
+        kept = self.table.filter(reduce(or_, ranges) if ranges else F.lit(False))
+        return kept.orderBy("_id").drop("_id")
 
     def page_at(self, position: int, size: int = PAGE_SIZE) -> DataFrame:
         """The page that holds place `position`."""

@@ -192,6 +192,8 @@ def test_export(spark, bundle, tmp_path):
     assert rm.open_bundle(spark, out).manifest == rm.open_bundle(spark, source).manifest
     with pytest.raises(ValueError, match="already exists"):
         rm.export_snapshot(spark, source, out)
+    with pytest.raises(ValueError, match="outside the bundle"):
+        rm.export_snapshot(spark, source, f"{source}/", overwrite=True)
     assert rm.export_snapshot(spark, source, out, overwrite=True).first().annotation_count == 2
 
 
