@@ -48,10 +48,13 @@ _WORDS = re.compile(
     re.VERBOSE | re.DOTALL,
 )
 
-# Text that reads as a number: blanks around, optional sign, `_` between digits, exponent.
-_NUMBER = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+(_\d+)*)?\s*$"
-_INFINITE = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-_NOT_A_NUMBER = r"(?i)^\s*[+-]?nan\s*$"
+# Text that reads as a number: blanks around, optional sign and exponent, `_` between digits.
+# All patterns run in linear time whatever the text.
+_BLANKS = r"[\s\x1c-\x1f]*"
+_NUMBER = rf"(?U)^{_BLANKS}([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){_BLANKS}\z"
+_STRAY_UNDERSCORE = r"(?<![0-9])_|_(?![0-9])"
+_INFINITE = rf"(?iU)^{_BLANKS}[+-]?inf(?:inity)?{_BLANKS}\z"
+_NOT_A_NUMBER = rf"(?iU)^{_BLANKS}[+-]?nan{_BLANKS}\z"
 
 
 class Clause(NamedTuple):
@@ -352,9 +355,9 @@ def _python_float(value: str) -> float | None:
 
 def text_number(c: Column) -> Column:
     """The number a text reads as, else null (also for the text nan)."""
-    return F.when(
-        F.regexp_like(c, F.lit(_NUMBER)), F.regexp_replace(c, "_", "").try_cast("double")
-    ).when(
+    number = F.regexp_extract(F.replace(c, F.lit("_"), F.lit("")), _NUMBER, 1)
+    grouped_well = ~c.contains("_") | ~F.regexp_like(c, F.lit(_STRAY_UNDERSCORE))
+    return F.when((number != "") & grouped_well, number.try_cast("double")).when(
         F.regexp_like(c, F.lit(_INFINITE)),
         F.when(F.instr(c, "-") > 0, float("-inf")).otherwise(float("inf")),
     )

@@ -4,6 +4,7 @@ import math
 
 import pytest
 from conftest import values
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import rowmark as rm
@@ -179,7 +180,9 @@ LITERALS = {
 }
 COLUMNS = {
     "STRING": [None, "", "5", " 5 ", "5\n", "1d", "1_000", "nan", "-NaN", "inf", "-Infinity", "abc", "10",
-               "9", "1e5", "0x10", "é", "5.", ".5", "_5", "5_", "1__0", "+7", "True", "1e", "  "],
+               "9", "1e5", "0x10", "é", "5.", ".5", "_5", "5_", "1__0", "+7", "True", "1e", "  ",
+               "1_.5", "1._5", "1_e5", "1e_5", "1e1_0", "1_000.000_1", "-.5e-3", ".", "+", "1e400", "--1",
+               "9" * 400, "5 5", "inf_", "1_000_", "\u00a05", "\x1f5\u2003", "\u3000nan", "-inf\x1c", "5\x00", "5\n\n"],
     "BIGINT": [None, 0, 1, 2, 3, 5, -3, 9007199254740992, 9007199254740993, 2**63 - 1],
     "DOUBLE": [None, 0.0, 1.0, 2.5, 5.0, float("nan"), math.inf, -math.inf, 9007199254740992.0,
                9007199254740994.0, 1e20],
@@ -247,3 +250,27 @@ def test_filters_reach_the_scan(stored, text, mode, pushed):
     line = next(part for part in plan.splitlines() if "PushedFilters" in part)
     for test in pushed:
         assert test in line
+
+
+def test_long_texts_are_read_in_linear_time(make):
+    texts = ["1" * 200_000 + "x", "1_" * 100_000 + "1", "_" * 200_000, "1." * 100_000, "5" * 200_000, "\\" * 200_000]
+    df = make([(t,) for t in texts], "c STRING")
+    got = rm.filter_rows(df, "c > '7'", "coerce")
+    assert sorted(values(got, rm.POSITION)) == [i for i, t in enumerate(texts) if loosely(">", t, "7")]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(
+    ["a", "b", "and", "OR", "&&", "||", "(", ")", "==", "=", "!=", ">", "contains", "'x y'", '"', "'", "\\", "5",
+     "null", "!", "&", " ", "\n"]), max_size=12))
+def test_any_text_is_read_or_refused(words):
+    text = " ".join(words)
+    try:
+        items = filter_clauses(text)
+    except ValueError as error:
+        assert str(error) == BAD_CLAUSE
+        return
+    assert items.count("(") == items.count(")")
+    clauses = sum(isinstance(i, Clause) for i in items)
+    assert items.count("and") + items.count("or") == max(clauses - 1, 0)
+    assert bool(items) == bool(text.strip())

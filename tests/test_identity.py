@@ -43,6 +43,7 @@ def test_hash_equals_plain_python(spark):
         (0, "a", True, 1e15, "z"),
         (7, "b", True, -0.0, "{}"),
         (7, "b", True, 100.0, "}"),
+        (8, "\\" * 200_001 + "\x1f", True, 1e9, "\x1a" * 10),
     ]
     df = spark.createDataFrame(rows, "n BIGINT, s STRING, b BOOLEAN, d DOUBLE, o STRING")
     got = values(df.coalesce(1).select(rm.row_hash(df).alias("h")), "h")
