@@ -50,7 +50,7 @@ _WORDS = re.compile(
 
 # Text that reads as a number: blanks around, optional sign and exponent, `_` between digits.
 # All patterns run in linear time whatever the text.
-_BLANKS = r"[\s\x1c-\x1f]*"
+_BLANKS = r"\s*"
 _NUMBER = rf"(?U)^{_BLANKS}([+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?){_BLANKS}\z"
 _STRAY_UNDERSCORE = r"(?<![0-9])_|_(?![0-9])"
 _INFINITE = rf"(?iU)^{_BLANKS}[+-]?inf(?:inity)?{_BLANKS}\z"
