@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rowmark.functions.identity import column, data_columns, row_records
+from rowmark.functions.text import trimmed
 from rowmark.operators.view import SAMPLE_SIZE, sample_rows
 from rowmark.sources.files import exists, glob
 
@@ -119,7 +120,7 @@ def read_jsonl(
     df = reader.json(path)
     first_lines = (
         spark.read.text(path)
-        .filter(F.trim("value") != "")
+        .filter(trimmed(F.col("value")) != "")
         .limit(100)
         .select(F.json_object_keys("value").alias("names"))
         .collect()

@@ -3,6 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 import rowmark as rm
+from rowmark.functions.text import BLANKS, trimmed
 
 
 def test_preview(spark):
@@ -34,3 +35,10 @@ def test_slug(spark):
 def test_label_key(spark):
     df = spark.createDataFrame([(" \tGood\n",)], "w STRING")
     assert df.select(rm.label_key(F.col("w"))).first()[0] == "good"
+
+
+def test_trimming_equals_python(spark):
+    words = [chr(n) + "x" + chr(n) for n in range(1, 0x3100) if chr(n).isspace()]
+    df = spark.createDataFrame([(w,) for w in words], "w STRING")
+    assert {r[0] for r in df.select(trimmed(F.col("w"))).collect()} == {"x"}
+    assert set(BLANKS) == {w[0] for w in words}
