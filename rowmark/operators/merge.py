@@ -111,18 +111,17 @@ def import_report(
     target = target.select(*narrow)
     source = source.select(position, *narrow)
     merged = target.unionByName(import_new(target, source, position).select(*narrow))
-    without_id = F.count_if(F.coalesce(F.col("annotation_id") == "", F.lit(False)))
 
-    def counted(df: DataFrame, name: str, number: Column | None = None) -> DataFrame:
-        number = F.count(F.lit(1)) if number is None else number
-        return df.agg(number.alias("n")).select(F.lit(name).alias("name"), "n")
+    def counted(df: DataFrame, name: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
 
     # Imported records are the first ones of new ids and those with an empty id.
+    of_source = source.agg(
+        F.count(F.lit(1)).alias("all"), F.count_if(F.col("annotation_id") == "").alias("without_id")
+    ).selectExpr("stack(2, 'source_count', all, 'imported_count', without_id) AS (name, n)")
     counts = (
-        counted(source, "source_count")
-        .unionAll(counted(target, "existing_count"))
+        of_source.unionAll(counted(target, "existing_count"))
         .unionAll(counted(_first_positions(target, source, position), "imported_count"))
-        .unionAll(counted(source, "imported_count", without_id))
         .unionAll(conflict_count(merged).select(F.lit("conflict_count"), "conflict_count"))
     )
 

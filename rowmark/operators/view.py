@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from rowmark.checkpoints import shared_folder
 from rowmark.functions.identity import POSITION, column, data_columns
 from rowmark.functions.jsontext import json_text
-from rowmark.checkpoints import checkpoint_folder
 
 # Rows on a page and in a sample.
 PAGE_SIZE = 200

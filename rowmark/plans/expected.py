@@ -369,7 +369,8 @@ SQL: dict[str, str] = {
           GROUP BY task_type""",
     # text functions
     "cell_preview": """
-        SELECT doc_id, CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS text,
+        SELECT doc_id,
+          CASE WHEN length(text) > 120 THEN substr(text, 1, 117) || '...' ELSE text END AS text,
           CAST(n_chars AS VARCHAR) AS n_chars FROM documents""",
     "cell_text": f"""
         WITH {_BALANCES}
