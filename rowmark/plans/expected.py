@@ -227,7 +227,8 @@ SQL: dict[str, str] = {
     "view_rank": """
         SELECT c_custkey, band,
           row_number() OVER (ORDER BY band DESC NULLS LAST, c_custkey) - 1 AS place
-        FROM (SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(floor(c_acctbal / 1000) AS BIGINT) END AS band
+        FROM (SELECT c_custkey, CASE WHEN c_mktsegment <> 'BUILDING'
+                THEN CAST(floor(c_acctbal / 1000) AS BIGINT) END AS band
               FROM customer)""",
     "page": """
         SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 200 OFFSET 400""",
