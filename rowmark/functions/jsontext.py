@@ -61,12 +61,18 @@ def double_text(c: Column, style: str = "json") -> Column:
 
 
 def _timestamp_text(c: Column, dtype: T.DataType, separator: str) -> Column:
-    zone = "xxx" if isinstance(dtype, T.TimestampType) else ""
-    stem = f"yyyy-MM-dd'{separator}'HH:mm:ss"
-    whole = F.date_trunc("second", c) == c
-    return F.when(whole, F.date_format(c, stem + zone)).otherwise(
-        F.date_format(c, f"{stem}.SSSSSS{zone}")
-    )
+    """ISO text with six fraction digits, or none when they are all zero."""
+    if isinstance(dtype, T.TimestampType):
+        stem = f"yyyy-MM-dd'{separator}'HH:mm:ss"
+        whole = F.date_trunc("second", c) == c
+        return F.when(whole, F.date_format(c, stem + "xxx")).otherwise(
+            F.date_format(c, f"{stem}.SSSSSSxxx")
+        )
+    # date_format would take the value for a time of the session's zone, which may skip it.
+    text = c.cast("string")
+    point = F.instr(text, ".")
+    text = F.when(point > 0, F.rpad(text, point + 6, "0")).otherwise(text)
+    return text if separator == " " else F.replace(text, F.lit(" "), F.lit(separator))
 
 
 # --- values that to_json renders canonically -------------------------------------------

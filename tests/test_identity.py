@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import json
 import random
@@ -122,3 +123,17 @@ def test_row_records(make):
     assert narrow.row_hash == python_hash({"text": "hello"})
     with pytest.raises(ValueError, match="position"):
         rm.row_records(df.drop(rm.POSITION))
+
+
+def test_zoneless_times_do_not_follow_the_session_zone(spark):
+    times = ["2024-03-10 02:30:00", "2024-03-10 02:30:00.5", "2024-11-03 01:30:00.000007", "0001-01-01 00:00:00"]
+    df = spark.createDataFrame([(t,) for t in times], "t STRING").coalesce(1).select(F.col("t").cast("timestamp_ntz"))
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = values(df.select(rm.canonical_json(df).alias("j")), "j")
+        shown = values(df.select(rm.cell_text(df, "t").alias("s")), "s")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    expected = [str(datetime.datetime.fromisoformat(t)) for t in times]
+    assert shown == expected
+    assert got == [json.dumps({"t": t.replace(" ", "T")}, separators=(",", ":")) for t in expected]
