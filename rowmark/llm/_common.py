@@ -138,3 +138,47 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 WHITE = byte_set((0x20, 0x20), (0x09, 0x0D))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
+
+
+def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes, computed over about PIECE_BYTES at a time."""
+    out, i = np.empty(len(begin), np.uint64), 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + PIECE_BYTES)))
+        low, high = begin[i], end[j - 1]
+        out[i:j] = range_hashes(data[low:high], begin[i:j] - low, end[i:j] - low, which)
+        i = j
+    return out
+
+
+def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n consecutive word hashes; one less than n shorter than `words`."""
+    count = max(0, len(words) - n + 1)
+    h = np.zeros(count, np.uint64)
+    for j in range(n):
+        h = (h + words[j : j + count]) * np.uint64(0x9E3779B97F4A7C15 + 2 * j)
+        h ^= h >> np.uint64(29)
+    return mixed(h)
+
+
+
+
+def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
+    """For each window of `width` hashes, the position of its smallest (the leftmost of equals)."""
+    count = len(hashes) - width + 1
+    if count <= 0:
+        return np.zeros(0, np.int64)
+    out = np.empty(count, np.int64)
+    block = 1 << 22
+    mask = np.uint64((1 << 24) - 1)
+    for low in range(0, count, block):
+        high = min(count, low + block)
+        part = hashes[low : high + width - 1]
+        packed = (part & ~mask) | np.arange(len(part), dtype=np.uint64)
+        span = 1
+        while span < width:  # packed[i] is the least of span values from i on
+            step = min(span, width - span)
+            packed = np.minimum(packed[:-step], packed[step:])
+            span += step
+        out[low:high] = (packed[: high - low] & mask).astype(np.int64) + low
+    return out
