@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmark.llm import bpe, decontamination, exact_dedup, sharding, url_filter
+from rowmark.llm import bpe, decontamination, exact_dedup, sharding, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op5_bpe": bpe.op5_bpe,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
     "op10_url_filter": url_filter.op10_url_filter,
