@@ -169,7 +169,7 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
     if count <= 0:
         return np.zeros(0, np.int64)
     out = np.empty(count, np.int64)
-    block = 1 << 22
+    block = 1 << 17
     mask = np.uint64((1 << 24) - 1)
     for low in range(0, count, block):
         high = min(count, low + block)

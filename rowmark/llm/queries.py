@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmark.llm import bpe, decontamination, exact_dedup, sharding, toxicity, url_filter
+from rowmark.llm import bpe, decontamination, exact_dedup, sharding, substring_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -14,10 +14,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
+    "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_benchmark_decontamination": decontamination.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }
