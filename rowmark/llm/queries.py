@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmark.llm import bpe, decontamination, exact_dedup, near_dedup, sharding, substring_dedup, suffix_dedup, toxicity, url_filter
+from rowmark.llm import bpe, decontamination, exact_dedup, html_text, near_dedup, sharding, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_near_dedup": near_dedup.op3_near_dedup,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op5_bpe": bpe.op5_bpe,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_benchmark_decontamination": decontamination.op7_benchmark_decontamination,
