@@ -30,6 +30,8 @@ from rowmark.llm.url_filter import host_of
 TEMPLATE_PAGES = 5
 #: Share of the varying text that the content node of a host without article element must hold.
 CONTENT_SHARE = 0.7
+#: Levels of a wrapper; elements nested deeper count to the node at that level.
+DEPTH = 100
 _SALTS = 32
 
 # Elements and class words of the HTML language and of common page designs.
@@ -191,7 +193,7 @@ def blocks(page: str) -> list[Block]:
         never = top.never or (tag in _NEVER and not inside_header) or (bool(attributes) and not inside_header and _never(attributes))
         if tag in ("html", "body"):
             never = False
-        path = top.path if inline else (*top.path, _label(tag, attributes))
+        path = top.path if inline or len(top.path) >= DEPTH else (*top.path, _label(tag, attributes))
         stack.append(
             _Open(tag, path, never, level, top.headings_only or inside_header, top.heading or tag in _HEADINGS, top.link or tag == "a")
         )
@@ -276,16 +278,16 @@ def tree_of(found: list[Block]) -> Node:
     return root
 
 
-def matching(a: Node, b: Node) -> tuple[int, list[tuple[str, str]]]:
-    """Simple tree matching below two matched nodes: its size, and the matched pairs of children.
+def matching(a: Node, b: Node) -> tuple[float, list[tuple[str, str]]]:
+    """Simple tree matching of two nodes: its size, and the matched pairs of children.
 
-    Children match in order if their labels are equal, or for less if their elements are.
+    Children match in order if their labels are equal, or for half if only their elements are.
     """
     left, right = list(a.children), list(b.children)
     if left == right:
-        return a.size(), [(x, x) for x in left]
+        return 1 + sum(matching(a.children[x], b.children[x])[0] for x in left), [(x, x) for x in left]
     weight = [[_likeness(a, b, x, y) for y in right] for x in left]
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+    best = [[0.0] * (len(right) + 1) for _ in range(len(left) + 1)]
     for i in range(1, len(left) + 1):
         for j in range(1, len(right) + 1):
             best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight[i - 1][j - 1])
@@ -301,10 +303,10 @@ def matching(a: Node, b: Node) -> tuple[int, list[tuple[str, str]]]:
     return best[-1][-1] + 1, pairs[::-1]
 
 
-def _likeness(a: Node, b: Node, x: str, y: str) -> int:
+def _likeness(a: Node, b: Node, x: str, y: str) -> float:
     if x.partition(".")[0] != y.partition(".")[0] or (x != y and (x in b.children or y in a.children)):
         return 0
-    return (2 if x == y else 1) * matching(a.children[x], b.children[y])[0]
+    return (1 if x == y else 0.5) * matching(a.children[x], b.children[y])[0]
 
 
 def absorb(wrapper: Node, other: Node) -> Node:

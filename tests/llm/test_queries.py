@@ -1,0 +1,67 @@
+"""Registered queries against their SQL, and the pipeline against brute force."""
+
+import hashlib
+import os
+import re
+
+import corpus_pipeline
+import duckdb
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from rowmark.llm.queries import QUERIES, SQL
+from rowmark.llm.toxicity import toxicity
+from conftest_llm import EDGES
+from test_decontamination import brute as contaminated
+from test_exact_dedup import brute as exact
+from test_near_dedup import brute as near
+
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query(spark, name):
+    df = QUERIES[name](spark, SF)
+    rows = df.collect()
+    assert rows
+    if name in SQL:
+        con = duckdb.connect()
+        for table in ("documents", "benchmark", "pages", "labels"):
+            con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+        expected = con.execute(SQL[name])
+        names = [c[0] for c in expected.description]
+        assert sorted(names) == sorted(df.columns)
+        assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(expected.fetchall())
+
+
+def test_pipeline_against_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
+    fine = {r.doc_id for r in toxicity(docs, labels).where("predicted = 0").collect()}
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect() if r.doc_id in fine]
+    for judge in (exact, near):
+        stays = {r[0] for r in judge(rows) if r[3]}
+        rows = [r for r in rows if r[0] in stays]
+    stays = {r[0] for r in contaminated(rows, items) if not r[5]}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for doc_id, text in rows:
+        if doc_id in stays:
+            ids = library.encode(text, add_special_tokens=False).ids
+            want.add((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()))
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_odd_rows(spark, documents, stage):
+    docs = documents(EDGES)
+    out = corpus_pipeline.STAGES[stage][1](spark, docs, SF)
+    if stage < len(corpus_pipeline.STAGES) - 1:
+        assert out.columns == docs.columns
+    rows = out.collect()
+    if stage == 1:
+        texts = [re.sub(r"\s+", " ", r.text or "") for r in rows]
+        assert len(rows) == 5 and len(set(texts)) == 5
+    else:
+        assert rows

@@ -1,0 +1,77 @@
+import hashlib
+import random
+from collections import Counter
+
+import numpy as np
+from conftest_llm import EDGES, prose
+from hypothesis import given, settings, strategies as st
+
+from rowmark.llm.suffix_dedup import as_characters, common_lengths, multikey_order, repeated_bytes, repeated_windows
+
+
+def brute(rows, window):
+    texts = [(i, (t or "").encode()) for i, t in rows]
+    seen = Counter(t[k : k + window] for _, t in texts for k in range(len(t) - window + 1))
+    out = []
+    for i, t in texts:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - window + 1):
+            if seen[t[k : k + window]] > 1:
+                gone[k : k + window] = True
+        spans = int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum())
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        out.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def rows_with_repeats(seed=4):
+    rng = random.Random(seed)
+    shared = [prose(i, 12, 30) for i in range(3)]
+    rows = [(i, t) for i, t in EDGES if i != 6] + [(6, "word " * 300)]
+    for i in range(120):
+        rows.append((100 + i, prose(1000 + i, rng.randrange(3, 25)) + rng.choice(["", "\0", "é"]) + rng.choice(shared) + prose(2000 + i, 5)))
+    rows += [(400, rows[-1][1]), (401, "\0" * 120), (402, shared[0] * 3)]
+    return rows
+
+
+def test_against_brute_force_with_hot_anchors(documents):
+    rows = rows_with_repeats()
+    got = repeated_bytes(documents(rows).repartition(3), 40, 8, bucket_bytes=900)
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 40)
+
+
+def test_default_window_and_empty_table(documents):
+    rows = [(1, prose(1, 90)), (2, "start " + prose(1, 90) + " end"), (3, prose(2, 90)), (None, None)]
+    assert sorted(map(tuple, repeated_bytes(documents(rows)).collect()), key=str) == brute(rows, 200)
+    assert repeated_bytes(documents([])).collect() == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=30).map(lambda b: bytes(x % 3 for x in b)), min_size=1, max_size=20))
+def test_multikey_order(strings):
+    rows = as_characters(strings)
+    lengths = np.array([len(s) for s in strings])
+    order = multikey_order(np.c_[rows, lengths.astype(np.uint64)])
+    assert [strings[i] for i in order] == sorted(strings)
+    shared = common_lengths(rows, order, lengths)
+    for k in range(1, len(order)):
+        a, b = strings[order[k - 1]], strings[order[k]]
+        n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert shared[k] == n
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.binary(min_size=4, max_size=12), st.integers(0, 8)), min_size=1, max_size=12))
+def test_windows_of_anchored_items(items):
+    window, anchor = 12, 4
+    lefts, rights, counts = [], [], []
+    for body, offset in items:
+        left = bytes(b % 2 for b in body[:offset])
+        lefts.append(left)
+        rights.append((b"\1\0\1\1" + bytes(b % 2 for b in body) + b"\0" * 12)[:window])
+        counts.append(len(left) + 1)
+    got = repeated_windows(lefts, rights, np.array(counts), window, anchor)
+    every = [(i, d, lefts[i][:d], rights[i][: window - d]) for i in range(len(items)) for d in range(min(len(lefts[i]), 8) + 1)]
+    times = Counter((d, a, b) for _, d, a, b in every)
+    for i, d, a, b in every:
+        assert got[i, d] == (times[d, a, b] > 1)
