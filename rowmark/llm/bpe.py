@@ -22,8 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rowmark.llm._common import pieces
+
 #: Parts of text whose ids a worker remembers.
 REMEMBERED = 400_000
+#: Fragments are merged together with others of up to the same length; longer ones alone.
+_WIDTHS = (1, 2, 3, 4, 6, 8, 11, 15, 24, 48)
+_NONE = 1 << 40
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: How byte-level vocabularies split text (the public pre-tokenizer pattern, white space spelt out).
 PATTERN = (
@@ -39,21 +44,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(others)}
 
 
-class Remembered(dict):
-    """A table that fills itself, and starts anew when it is full."""
-
-    def __init__(self, make: Callable, size: int):
-        super().__init__()
-        self.make, self.size = make, size
-
-    def __missing__(self, key):
-        value = self.make(key)
-        if len(self) >= self.size:
-            self.clear()
-        self[key] = value
-        return value
-
-
 class ByteBPE:
     """A byte-level BPE vocabulary read from a tokenizer file (JSON)."""
 
@@ -81,50 +71,90 @@ class ByteBPE:
             codes = np.frombuffer(token, np.uint8)
             inside[codes[:-1], codes[1:]] = True
         self.inside = inside
-        self.fragments = Remembered(self._merge, remembered // 2)
-        self.parts = Remembered(self._encode_part, remembered)
+        keys = sorted((left * size + right, rank, made) for (left, right), (rank, made) in self.merges.items())
+        self.size, self.remembered = size, remembered
+        self.pair_keys, self.pair_ranks, self.pair_made = (np.array(c, np.int64) for c in zip(*keys, strict=True))
+        self.byte_ids = np.array(self.of_byte, np.int64)
+        self.decimal = [str(i) for i in range(size)]
+        self.parts: dict[str, str] = {}
         self.pattern = regex.compile(PATTERN)
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
-    def cuts(self, part: bytes) -> list[bytes]:
-        """Fragments between forced boundaries."""
-        codes = np.frombuffer(part, np.uint8)
-        at = np.flatnonzero(~self.inside[codes[:-1], codes[1:]]) + 1
-        if not len(at):
-            return [part]
-        edges = [0, *at.tolist(), len(part)]
-        return [part[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-    def _encode_part(self, part: str) -> str:
-        """Decimal ids of a part, divided by commas."""
-        return ",".join(self.fragments[x] for x in self.cuts(part.encode()))
-
-    def _merge(self, fragment: bytes) -> str:
-        ids = [self.of_byte[b] for b in fragment]
-        ids = self._few(ids) if len(ids) <= 48 else self._many(ids)
-        return ",".join(map(str, ids))
-
-    def _few(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((x for x in map(merges.get, zip(ids, ids[1:], strict=False)) if x), default=None)
-            if best is None:
-                break
-            out, i, last = [], 0, len(ids) - 1
-            while i <= last:
-                if i < last and merges.get((ids[i], ids[i + 1])) == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+    def fragments(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Where fragments begin: at the parts' starts, and at forced boundaries."""
+        begins = np.zeros(len(data), bool)
+        begins[starts] = True
+        begins[1:] |= ~self.inside[data[:-1], data[1:]]
+        return np.flatnonzero(begins)
+
+    def learn(self, parts: list[str]) -> None:
+        """Encode new parts, all fragments of about equal length at once, and remember their ids."""
+        raw = [p.encode() for p in parts]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        starts = np.cumsum(sizes) - sizes
+        data = np.frombuffer(b"".join(raw), np.uint8)
+        begin = self.fragments(data, starts)
+        length = np.diff(np.r_[begin, len(data)])
+        encoded: list[str] = [""] * len(begin)
+        below = 0
+        for width in _WIDTHS:
+            chosen = np.flatnonzero((length > below) & (length <= width))
+            for low in range(0, len(chosen), 20_000):
+                some = chosen[low : low + 20_000]
+                at = begin[some][:, None] + np.arange(width)
+                ids = np.where(np.arange(width) < length[some][:, None], self.byte_ids[data[np.minimum(at, len(data) - 1)]], -1)
+                for i, row in zip(some.tolist(), self._merge_rows(ids).tolist(), strict=True):
+                    encoded[i] = ",".join([self.decimal[x] for x in row if x >= 0])
+            below = width
+        for i in np.flatnonzero(length > below).tolist():
+            piece = data[begin[i] : begin[i] + length[i]]
+            encoded[i] = ",".join(map(str, self._many([self.of_byte[x] for x in piece.tolist()])))
+        first = np.searchsorted(begin, np.r_[starts, len(data)])
+        for part, low, high in zip(parts, first[:-1].tolist(), first[1:].tolist(), strict=True):
+            self.parts[part] = encoded[low] if high == low + 1 else ",".join(encoded[low:high])
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks and merged ids of pairs; the rank is _NONE where a pair does not merge."""
+        keys = left * self.size + right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        found = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
+        return np.where(found, self.pair_ranks[at], _NONE), self.pair_made[at]
+
+    def _merge_rows(self, ids: np.ndarray) -> np.ndarray:
+        """Merge the best pair of every row until none is left; -1 fills the rows up."""
+        out, width = ids.copy(), ids.shape[1]
+        if width == 1:
+            return out
+        rows, columns = np.arange(len(ids)), np.arange(width)
+        ranks, made = self._pairs(ids[:, :-1], ids[:, 1:])
+        while True:
+            best = ranks.argmin(1)
+            line = np.arange(len(ids))
+            live = ranks[line, best] < _NONE
+            if not live.all():
+                out[rows[~live]] = ids[~live]
+                ids, ranks, made, rows, best = ids[live], ranks[live], made[live], rows[live], best[live]
+                line = line[: len(ids)]
+            if not len(ids):
+                return out
+            ids[line, best] = made[line, best]
+            shift = columns + (columns > best[:, None])
+            ids = np.take_along_axis(np.c_[ids, np.full(len(ids), -1)], shift, 1)
+            shift = columns[:-1] + (columns[:-1] > best[:, None])
+            ranks = np.take_along_axis(np.c_[ranks, np.full(len(ids), _NONE)], shift, 1)
+            made = np.take_along_axis(np.c_[made, np.zeros(len(ids), np.int64)], shift, 1)
+            right = np.where(best + 1 < width, ids[line, np.minimum(best + 1, width - 1)], -1)
+            here = np.minimum(best, width - 2)
+            rank, product = self._pairs(ids[line, best], right)
+            ranks[line, here], made[line, here] = rank, product
+            before = np.flatnonzero(best > 0)
+            at = best[before] - 1
+            ranks[before, at], made[before, at] = self._pairs(ids[before, at], ids[before, best[before]])
 
     def _many(self, ids: list[int]) -> list[int]:
-        """The same with a heap of pairs and a linked list, for long fragments."""
+        """Merge one long fragment with a heap of pairs and a linked list."""
         n = len(ids)
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = []
@@ -150,16 +180,25 @@ class ByteBPE:
                 offer(before[i])
         return [x for x in ids if x >= 0]
 
-    def encode(self, text: str) -> tuple[str, int]:
-        """Decimal ids joined by commas, and how many there are."""
-        found = []
-        for i, stretch in enumerate(self.split_special.split(text) if self.special else [text]):
-            if i % 2:
-                found.append(str(self.special[stretch]))
-            else:
-                found += map(self.parts.__getitem__, self.pattern.findall(stretch))
-        ids = ",".join(found)
-        return ids, ids.count(",") + 1 if ids else 0
+    def encode(self, texts: list[str]) -> list[str]:
+        """Decimal ids of each text, joined by commas."""
+        if len(self.parts) > self.remembered:
+            self.parts = {}
+        cut = []
+        for text in texts:
+            parts = []
+            for i, stretch in enumerate(self.split_special.split(text) if self.special else [text]):
+                if i % 2:
+                    self.parts[stretch] = self.decimal[self.special[stretch]]
+                    parts.append(stretch)
+                else:
+                    parts += self.pattern.findall(stretch)
+            cut.append(parts)
+        new = set().union(*cut) - self.parts.keys()
+        if new:
+            self.learn(sorted(new))
+        known = self.parts.__getitem__
+        return [",".join(map(known, parts)) for parts in cut]
 
     def decode(self, ids: np.ndarray) -> str:
         lengths = self.lengths[ids]
@@ -183,12 +222,11 @@ _RESULT = pa.schema(
 def _digests(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
+        for batch in pieces(batches):
             rows: list[list] = [batch.column("doc_id").to_pylist(), [], [], []]
-            for text in batch.column("text"):
-                ids, n = bpe.encode(text.as_py() or "")
-                numbers = np.fromstring(ids, np.int64, sep=",") if n else np.zeros(0, np.int64)
-                rows[1].append(n)
+            for ids in bpe.encode([t or "" for t in batch.column("text").to_pylist()]):
+                numbers = np.fromstring(ids, np.int64, sep=",") if ids else np.zeros(0, np.int64)
+                rows[1].append(len(numbers))
                 rows[2].append(hashlib.sha256(ids.encode()).hexdigest())
                 rows[3].append(hashlib.sha256(bpe.decode(numbers).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _RESULT, strict=True)], schema=_RESULT)
@@ -212,8 +250,9 @@ def encode_documents(documents: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
-        for batch in batches:
-            ids = [[int(x) for x in bpe.encode(t.as_py() or "")[0].split(",") if x] for t in batch.column("text")]
+        for batch in pieces(batches):
+            encoded = bpe.encode([t or "" for t in batch.column("text").to_pylist()])
+            ids = [[int(x) for x in e.split(",") if x] for e in encoded]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"]
             )
