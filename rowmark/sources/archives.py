@@ -34,7 +34,7 @@ _Line = tuple[str, str, str, int, str]
 def _member_path(name: str) -> str:
     path = posixpath.normpath(name)
     if path.startswith(("/", "../")) or path == "..":
-        raise ValueError(f"Blocked unsafe tar member path: {name}")
+        raise ValueError(f"The archive has a member outside its own folder: {name}")
     return path
 
 
@@ -43,7 +43,7 @@ def _bundle_folder(names: set[str]) -> str:
     folders = {posixpath.dirname(name) for name in names}
     whole = [f for f in folders if all(posixpath.join(f, part) in names for part in PARTS)]
     if not whole:
-        raise ValueError("No valid annotation bundle found in archive.")
+        raise ValueError("No folder of the archive holds a whole bundle.")
     return min(whole, key=lambda f: (f.count("/") + bool(f), f))
 
 
@@ -109,3 +109,10 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return read_bundle_archives(spark, path).withColumnRenamed("line_no", POSITION).drop(
         "archive", "bundle_dir"
     )
+
+
+def archive_log_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of one archive's log as they are (`value`), placed by their number."""
+    return _lines(spark, path, PARTS[2]).select(
+        F.col("line_no").alias(POSITION), F.col("line").alias("value")
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -34,6 +35,18 @@ def make_directory(spark: SparkSession, path: str) -> None:
     _system(spark, path).mkdirs(_path(spark, path))
 
 
+def create_new(spark: SparkSession, path: str) -> bool:
+    """Create an empty file unless it exists; of several writers one succeeds."""
+    system = _system(spark, path)
+    try:
+        system.create(_path(spark, path), False).close()
+    except Py4JJavaError:
+        if system.exists(_path(spark, path)):
+            return False
+        raise
+    return True
+
+
 def rename(spark: SparkSession, old: str, new: str) -> bool:
     return _system(spark, old).rename(_path(spark, old), _path(spark, new))
 

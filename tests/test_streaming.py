@@ -1,9 +1,12 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from test_bundles import annotation, bundle, log_ids  # noqa: F401
 
 import rowmark as rm
+from rowmark.sources import files
+from rowmark.sources.bundles import append_lines
 
 
 def write(folder, name, *records):
@@ -58,3 +61,49 @@ def test_recent_repeats(spark, tmp_path):
     )
     query.awaitTermination()
     assert sorted(r.annotation_id for r in spark.table("recent").collect()) == ["a1-x", "a2-x"]
+
+
+def run(spark, folder, target, progress):
+    rm.merge_feed(rm.annotation_feed(spark, str(folder)), target, str(progress)).awaitTermination()
+
+
+def test_two_feeds_into_one_bundle_and_appends_between(spark, tmp_path, bundle):  # noqa: F811
+    target = bundle("t", annotation(1, "x"))
+    write(tmp_path / "f1", "1.json", annotation(2, "x"))
+    write(tmp_path / "f2", "1.json", annotation(3, "x"))
+    run(spark, tmp_path / "f1", target, tmp_path / "p1")
+    more = spark.createDataFrame([(json.dumps(annotation(4, "x")),)], "value STRING")
+    assert append_lines(more, target)
+    run(spark, tmp_path / "f2", target, tmp_path / "p2")
+    assert log_ids(spark, target) == ["a1-x", "a2-x", "a4-x", "a3-x"]
+
+
+def test_of_one_id_the_first_file_wins(spark, tmp_path, bundle):  # noqa: F811
+    target = bundle("t")
+    write(tmp_path / "f", "1.json", annotation(1, "x", note="first"))
+    write(tmp_path / "f", "2.json", annotation(1, "x", note="second"), *[annotation(n, "x") for n in range(2, 400)])
+    run(spark, tmp_path / "f", target, tmp_path / "p")
+    records = rm.read_annotations(spark, target)
+    assert records.count() == 399
+    assert [r.note for r in records.filter("annotation_id = 'a1-x'").collect()] == ["first"]
+
+
+def test_simultaneous_appends_both_arrive(spark, bundle):  # noqa: F811
+    target = bundle("t")
+    lines = [spark.createDataFrame([(json.dumps(annotation(n, "x")),)], "value STRING") for n in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        assert all(pool.map(lambda df: append_lines(df, target), lines))
+    assert sorted(log_ids(spark, target)) == [f"a{n}-x" for n in range(6)]
+
+
+def test_uncommitted_batches_are_not_read(spark, bundle):  # noqa: F811
+    target = bundle("t", annotation(1, "x"))
+    log = files.child_names(spark, f"{target}/annotations.jsonl/_commits")
+    assert log == ["000000000000.claim", "000000000000.done"]
+    files.create_new(spark, f"{target}/annotations.jsonl/_commits/000000000001.claim")
+    files.make_directory(spark, f"{target}/annotations.jsonl/batch-000000000001")
+    files.write_small_text(spark, f"{target}/annotations.jsonl/batch-000000000001/part-00000.json", "half a li")
+    assert log_ids(spark, target) == ["a1-x"]
+    assert append_lines(spark.createDataFrame([(json.dumps(annotation(2, "x")),)], "value STRING"), target, "token")
+    assert not append_lines(spark.createDataFrame([(json.dumps(annotation(2, "x")),)], "value STRING"), target, "token")
+    assert log_ids(spark, target) == ["a1-x", "a2-x"]
