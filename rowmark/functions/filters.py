@@ -104,25 +104,31 @@ def _clause(words: list[str]) -> Clause:
     return Clause(words[0], "==" if operator == "=" else operator, _literal(words[2]))
 
 
+# Words that stand for a value, and how numbers are written in a filter.
+_CONSTANTS = {"none": None, "null": None, "true": True, "false": False}
+_WRITTEN_NUMBER = re.compile(r"(?P<whole>[+-]?\d+)(?P<places>\.\d+)?")
+
+
+def _quoted(word: str) -> str:
+    """The text between quotes, with the escapes of a Python string where they are valid."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", SyntaxWarning)
+            text = ast.literal_eval(word)
+    except (SyntaxError, ValueError):
+        return word[1:-1]
+    if isinstance(text, str):
+        return text
+    raise ValueError(BAD_CLAUSE)
+
+
 def _literal(word: str) -> Any:
-    named = {"none": None, "null": None, "true": True, "false": False}
-    if word.lower() in named:
-        return named[word.lower()]
-    if len(word) >= 2 and word[0] == word[-1] and word[0] in "'\"":
-        try:
-            with warnings.catch_warnings():
-                warnings.simplefilter("ignore", SyntaxWarning)
-                value = ast.literal_eval(word)
-        except (SyntaxError, ValueError):
-            return word[1:-1]
-        if not isinstance(value, str):
-            raise ValueError(BAD_CLAUSE)
-        return value
-    if re.match(r"^[+-]?\d+$", word):
-        return int(word)
-    if re.match(r"^[+-]?\d+\.\d+$", word):
-        return float(word)
-    return word
+    """A constant, a quoted text, a number, or else the word itself."""
+    if len(word) > 1 and word[0] in "'\"" and word.endswith(word[0]):
+        return _quoted(word)
+    if number := _WRITTEN_NUMBER.fullmatch(word):
+        return float(word) if number["places"] else int(word)
+    return _CONSTANTS.get(word.lower(), word)
 
 
 def filter_column(df: DataFrame, text: str | None, mode: str = "typed") -> Column | None:

@@ -19,6 +19,14 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused_name(df: DataFrame, name: str) -> str:
+    """A working column name that differs from all columns of a frame, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def data_columns(df: DataFrame) -> list[str]:
     """The dataset's own columns, without the position column."""
     return [name for name in df.columns if name != POSITION]
@@ -44,12 +52,19 @@ def row_id(df: DataFrame, id_field: str | None = None) -> Column:
 
 
 def key_fields(df: DataFrame, fields: Iterable[str]) -> Column:
-    """The requested fields that exist and are not null, as JSON in request order."""
+    """The requested fields that exist and are not null, as JSON in request order.
+
+    Values are rendered as in the canonical JSON, so the text does not depend on the session.
+    """
     present = set(data_columns(df))
     names = [n for n in dict.fromkeys(fields) if n in present]
     if not names:
         return F.lit("{}")
-    return F.to_json(F.struct(*(column(n) for n in names)))
+    members = []
+    for n in names:
+        whole = object_text([(n, column(n), df.schema[n].dataType)], sort_keys=False)
+        members.append(F.when(column(n).isNotNull(), F.substring(whole, F.lit(2), F.length(whole) - 2)))
+    return F.nullif(F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}")), F.lit(""))
 
 
 def row_records(

@@ -63,11 +63,10 @@ def double_text(c: Column, style: str = "json") -> Column:
 def _timestamp_text(c: Column, dtype: T.DataType, separator: str) -> Column:
     """ISO text with six fraction digits, or none when they are all zero."""
     if isinstance(dtype, T.TimestampType):
-        stem = f"yyyy-MM-dd'{separator}'HH:mm:ss"
-        whole = F.date_trunc("second", c) == c
-        return F.when(whole, F.date_format(c, stem + "xxx")).otherwise(
-            F.date_format(c, f"{stem}.SSSSSSxxx")
-        )
+        # An instant is shown in UTC, whatever the session's zone is.
+        start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+        utc = F.timestamp_add("MICROSECOND", F.unix_micros(c), start)
+        return F.concat(_timestamp_text(utc, T.TimestampNTZType(), separator), F.lit("+00:00"))
     # date_format would take the value for a time of the session's zone, which may skip it.
     text = c.cast("string")
     point = F.instr(text, ".")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,7 +35,9 @@ def utc_now(df: DataFrame) -> Column:
 
 
 def annotator_name(name: str | None = None) -> str:
-    return (name or os.environ.get("USER") or "unknown").strip() or "unknown"
+    """The given name, else that of the account, else `unknown`."""
+    named = (n.strip() for n in (name, os.environ.get("USER")) if n)
+    return next(named, "") or "unknown"
 
 
 def known_spelling(vocab: DataFrame, task: str, label: str) -> DataFrame:
@@ -55,15 +58,16 @@ def annotate(
     payload: dict[str, Any] | None = None,
     created_at: str | Column | None = None,
     event_type: str = "create",
-    run_id: str = "",
+    run_id: str | None = None,
     vocab: DataFrame | None = None,
 ) -> DataFrame:
     """One annotation record per row record, holding a snapshot of the row.
 
-    The id is a digest of what is recorded, so a retried task writes the same id; give
-    each annotation run its own `run_id` to annotate the same rows again. With `vocab`
+    The id is a digest of what is recorded and of the run, so a retried task writes the same id
+    and annotating the same rows again makes new ones. A fixed `run_id` makes a run repeatable. With `vocab`
     a fixed label takes the spelling its task already uses.
     """
+    run_id = str(uuid.uuid4()) if run_id is None else run_id
     if isinstance(label, str) and not label.strip():
         raise ValueError("Label cannot be empty.")
     task_type = F.lit(task) if isinstance(task, str) else task

@@ -12,6 +12,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from rowmark.functions.identity import column, unused_name
 from rowmark.functions.text import label_key, trimmed
 from rowmark.operators.sizes import settled
 
@@ -41,11 +42,10 @@ class LabelSet:
 def new_label_set(
     spark: SparkSession, task: str = DEFAULT_TASK, labels: Sequence[str] = DEFAULT_LABELS
 ) -> LabelSet:
-    """A label set with one task; its first nine labels get the codes 1..9."""
-    chosen = [name.strip() for name in labels if name.strip()][: len(CODES)]
-    chosen = chosen or list(DEFAULT_LABELS)
-    rows = [(task, pos, label) for pos, label in enumerate(chosen)]
-    keyed = [(task, CODES[pos], pos, label) for task, pos, label in rows]
+    """A label set with one task; all labels stay, and its first nine get the codes 1..9."""
+    spelt = dict.fromkeys(filter(None, map(str.strip, labels)))
+    rows = [(task, pos, label) for pos, label in enumerate(spelt or DEFAULT_LABELS)]
+    keyed = [(task, code, pos, label) for code, (_, pos, label) in zip(CODES, rows, strict=False)]
     return LabelSet(
         task,
         spark.createDataFrame([(task,)], "task_type STRING"),
@@ -164,17 +164,18 @@ def resolve_labels(rows: DataFrame, vocab: DataFrame, position: str) -> DataFram
     An unknown label keeps its first spelling among `rows`, by `position`. An empty label
     is an error.
     """
+    key, spelt = unused_name(rows, "_key"), unused_name(rows, "_label")
     spelling = settled(
-        _spellings(rows, vocab, position).select("task_type", "_key", F.col("label").alias("_label"))
+        _spellings(rows, vocab, position).select("task_type", F.col("_key").alias(key), F.col("label").alias(spelt))
     )
-    keyed = rows.withColumn("_key", label_key(F.col("label")))
+    keyed = rows.withColumn(key, label_key(F.col("label")))
     resolved = F.when(
-        F.coalesce("_key", F.lit("")) == "", F.raise_error(F.lit("Label cannot be empty."))
-    ).otherwise(F.col("_label"))
+        F.coalesce(key, F.lit("")) == "", F.raise_error(F.lit("Label cannot be empty."))
+    ).otherwise(F.col(spelt))
     return (
-        keyed.join(spelling, ["task_type", "_key"], "left")
+        keyed.join(spelling, ["task_type", key], "left")
         .withColumn("label", resolved)
-        .select(*rows.columns)
+        .select(*(column(name) for name in rows.columns))
     )
 
 

@@ -11,16 +11,13 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowmark.checkpoints import shared_folder
-from rowmark.functions.identity import POSITION, column, data_columns
+from rowmark.functions.identity import POSITION, column, data_columns, unused_name
 from rowmark.functions.jsontext import json_text
 
 # Rows on a page and in a sample.
 PAGE_SIZE = 200
 SAMPLE_SIZE = 5
 
-# Rows up to which a page is taken by top-k, in one task at the end.
-TOP_ROWS = 100_000
-
 VIEW_RANK = "_view_rank"
 
 
@@ -81,15 +78,19 @@ def page(
 ) -> DataFrame:
     """Rows [offset, offset + limit) of the view.
 
-    Near the top this is a top-k, for which each task keeps its best offset + limit rows.
-    Deeper pages are cut from a stored view: keep a `ranked_view` to show several, or
-    follow on from a shown row with `page_after`.
+    A top-k over sort column and position alone finds the rows of the page; only those are then
+    read whole. The narrow top-k grows with the offset: to show many pages from deep inside a
+    large view keep a `ranked_view`, or follow on from a shown row with `page_after`.
     """
     if limit <= 0:
         return df.limit(0)
-    if offset + limit > TOP_ROWS:
-        return ranked_view(df, sort, descending).page(offset, limit)
-    return sort_rows(df, sort, descending).offset(max(offset, 0)).limit(limit)
+    first = max(offset, 0)
+    if POSITION not in df.columns:
+        return sort_rows(df, sort, descending).offset(first).limit(limit)
+    wanted = unused_name(df, "_wanted")
+    narrow = df.select(column(POSITION), *([column(sort)] if sort in data_columns(df) else []))
+    places = sort_rows(narrow, sort, descending).offset(first).limit(limit).select(column(POSITION).alias(wanted))
+    return sort_rows(df.join(places, column(POSITION) == F.col(wanted), "left_semi"), sort, descending)
 
 
 def page_after(
@@ -132,12 +133,13 @@ def page_at(
 class RankedView:
     """A view stored in its order, so that a page at any depth is a range filter.
 
-    `_id` rises along the view; `starts` has, for each stored part, its first id, the rows
-    before it and its own rows: one entry per partition of the sort.
+    The column `order` rises along the view; `starts` has, for each stored part, its first
+    value, the rows before it and its own rows: one entry per partition of the sort.
     """
 
     table: DataFrame
     starts: tuple[tuple[int, int, int], ...]
+    order: str
 
     def count(self) -> int:
         return sum(rows for _, _, rows in self.starts)
@@ -146,14 +148,14 @@ class RankedView:
         """Rows [offset, offset + limit); the range of ids is pushed down to the stored parts."""
         first, end = max(offset, 0), max(offset, 0) + limit
         ranges = [
-            F.col("_id").between(
+            column(self.order).between(
                 start + max(first - before, 0), start + min(end - before, rows) - 1
             )
             for start, before, rows in self.starts
             if before < end and first < before + rows
         ]
         kept = self.table.filter(reduce(or_, ranges) if ranges else F.lit(False))
-        return kept.orderBy("_id").drop("_id")
+        return kept.orderBy(column(self.order)).drop(self.order)
 
     def page_at(self, position: int, size: int = PAGE_SIZE) -> DataFrame:
         """The page that holds place `position`."""
@@ -161,13 +163,14 @@ class RankedView:
 
     def with_rank(self) -> DataFrame:
         """All rows with their place in the view."""
+        part, shift = unused_name(self.table, "_part"), unused_name(self.table, "_shift")
         shifts = [(start >> 33, before - start) for start, before, _ in self.starts]
-        parts = self.table.sparkSession.createDataFrame(shifts, "_part BIGINT, _shift BIGINT")
+        parts = self.table.sparkSession.createDataFrame(shifts, f"{part} BIGINT, {shift} BIGINT")
         return (
-            self.table.withColumn("_part", F.shiftright("_id", 33))
-            .join(F.broadcast(parts), "_part")
-            .withColumn(VIEW_RANK, F.col("_id") + F.col("_shift"))
-            .drop("_part", "_id", "_shift")
+            self.table.withColumn(part, F.shiftright(self.order, 33))
+            .join(parts, part)
+            .withColumn(VIEW_RANK, column(self.order) + F.col(shift))
+            .drop(part, self.order, shift)
         )
 
 
@@ -182,15 +185,16 @@ def ranked_view(
     spark = df.sparkSession
     folder = folder or shared_folder(spark)
     ordered = sort_rows(df, sort, descending)
-    ordered.withColumn("_id", F.monotonically_increasing_id()).write.parquet(folder)
+    place = unused_name(df, "_place_in_view")
+    ordered.withColumn(place, F.monotonically_increasing_id()).write.parquet(folder)
     table = spark.read.parquet(folder)
     # Ids count on within a partition of the sort and jump to the next multiple of 2**33.
-    counts = table.groupBy(F.shiftright("_id", 33).alias("part")).count().collect()
+    counts = table.groupBy(F.shiftright(place, 33).alias("part")).count().collect()
     starts, before = [], 0
     for part, rows in sorted((row["part"], row["count"]) for row in counts):
         starts.append((part << 33, before, rows))
         before += rows
-    return RankedView(table, tuple(starts))
+    return RankedView(table, tuple(starts), place)
 
 
 def sample_rows(df: DataFrame, n: int = SAMPLE_SIZE) -> DataFrame:

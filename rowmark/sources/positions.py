@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowmark.checkpoints import checkpoint_folder
-from rowmark.functions.identity import POSITION
-
-# Beyond this many files or splits the offset table is joined without a broadcast.
-MAX_BROADCAST_PIECES = 1_000_000
+from rowmark.functions.identity import POSITION, unused_name
 
 _PIECES_PIN = "spark.sql.files.minPartitionNum"
 
@@ -18,7 +15,8 @@ def with_row_index(df: DataFrame) -> DataFrame:
 
     Call it right after reading, before any filter: positions then survive filters and
     sorts. Files count in path order. Only the row count of each file (Parquet) or split
-    (CSV, JSON) is brought together, once and right here; the rows are not shuffled.
+    (CSV, JSON) is brought together, once and right here; the rows are not shuffled while the
+    offsets are small enough for a broadcast by Spark's size check.
     """
     known = df.select("_metadata").schema["_metadata"].dataType.fieldNames()
     if "row_index" not in known:
@@ -34,7 +32,8 @@ def _indexed_splits(df: DataFrame) -> DataFrame:
 
     `monotonically_increasing_id` counts rows of a task in order; the first id of a split
     turns it into a place within the split. Every later read of the files must be cut into
-    the same splits, so the cut is pinned: left alone it follows the executor count.
+    the same splits, so the cut is pinned for the session, unless it is set already: left alone
+    it follows the executor count.
     """
     _pin_splits(df.sparkSession)
     split = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
@@ -42,24 +41,27 @@ def _indexed_splits(df: DataFrame) -> DataFrame:
 
 
 def _placed(df: DataFrame, piece: dict[str, Column], number: Column) -> DataFrame:
-    """Positions from a row number that counts on within each piece of the source."""
-    placed = df.select("*", *(c.alias(name) for name, c in piece.items()), number.alias("_number"))
-    pieces = placed.groupBy(*piece).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("_number").alias("_first")
-    )
-    rows_before = F.sum("_rows").over(
-        Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    shift = F.coalesce(rows_before, F.lit(0)) - F.col("_first")
+    """Positions from a row number that counts on within each piece of the source.
+
+    Pieces count in the order of their folder, then of the number in a part file's name, then of
+    the name. Spark broadcasts the offsets if they are small enough by its own size check.
+    """
+    names = {name: unused_name(df, name) for name in piece}
+    row, shift = unused_name(df, "_number"), unused_name(df, "_shift")
+    placed = df.select("*", *(c.alias(names[n]) for n, c in piece.items()), number.alias(row))
+    keys = list(names.values())
+    pieces = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(row).alias("_first"))
+    file = F.col(names["_file"])
+    part = F.regexp_extract(file, r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    order = [F.regexp_replace(file, r"[^/]*$", ""), part, *keys]
+    rows_before = F.sum("_rows").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     # One short row per piece, counted once and kept.
     checkpoint_folder(df.sparkSession)
-    offsets = pieces.select(*piece, shift.alias("_shift")).checkpoint()
-    if offsets.count() <= MAX_BROADCAST_PIECES:
-        offsets = F.broadcast(offsets)
+    offsets = pieces.select(*keys, (F.coalesce(rows_before, F.lit(0)) - F.col("_first")).alias(shift)).checkpoint()
     return (
-        placed.join(offsets, list(piece))
-        .withColumn(POSITION, F.col("_shift") + F.col("_number"))
-        .drop(*piece, "_number", "_shift")
+        placed.join(offsets, keys)
+        .withColumn(POSITION, F.col(shift) + F.col(row))
+        .drop(*keys, row, shift)
     )
 
 

@@ -28,19 +28,23 @@ _NO_VALUE = "\u0001no value\u0001"
 
 
 def source_type(spark: SparkSession, source: str, declared: str | None = None) -> str:
-    """The reader for a source: the declared type, else by suffix, else a dataset name."""
+    """Which reader a source goes to.
+
+    A declared type counts; of other sources, files and folders go by their suffix and
+    everything that is not found on storage is the name of a published dataset.
+    """
     if declared is not None:
-        kind = SOURCE_TYPES.get(declared.strip().lower())
-        if kind is None:
-            valid = ", ".join(sorted(SOURCE_TYPES))
-            raise ValueError(f"Unsupported source type '{declared}'. Valid: {valid}")
-        return kind
-    if source.startswith("hf:") or not exists(spark, source):
+        name = declared.strip().lower()
+        if name in SOURCE_TYPES:
+            return SOURCE_TYPES[name]
+        raise ValueError(f"There is no reader called {declared!r}; there are {', '.join(SOURCE_TYPES)}.")
+    named = source.startswith("hf:")
+    if named or not exists(spark, source):
         return "hf"
-    suffix = PurePosixPath(source).suffix.lower()
-    if suffix not in SUFFIXES:
-        raise ValueError(f"Cannot infer reader from extension '{suffix}'. Declare the type.")
-    return SUFFIXES[suffix]
+    for suffix, kind in SUFFIXES.items():
+        if source.lower().endswith(suffix):
+            return kind
+    raise ValueError(f"The suffix {PurePosixPath(source).suffix!r} does not tell the format of {source}: pass its type.")
 
 
 def read_dataset(
@@ -112,22 +116,32 @@ def read_jsonl(
     """JSON lines; nested values keep their structure, a malformed line fails the read.
 
     Inference reads all lines (pass `schema` for large data). Columns come in the order in
-    which the first lines name them.
+    which the lines of all files, in path order, name them first.
     """
     reader = spark.read.option("mode", "FAILFAST")
     if schema is not None:
         return reader.schema(schema).json(path)
     df = reader.json(path)
-    first_lines = (
+    names = _names_in_order(spark, path)
+    return df.select(*(column(n) for n in names if n in df.columns))
+
+
+def _names_in_order(spark: SparkSession, path: str) -> list[str]:
+    """All keys of the lines, as the files in path order name them first.
+
+    Lines with the same keys in the same order are one row before anything is compared.
+    """
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    layouts = (
         spark.read.text(path)
         .filter(trimmed(F.col("value")) != "")
-        .limit(100)
-        .select(F.json_object_keys("value").alias("names"))
-        .collect()
+        .select(F.json_object_keys("value").alias("names"), place.alias("place"))
+        .groupBy("names")
+        .agg(F.min("place").alias("place"))
     )
-    order = {name: None for row in first_lines for name in row.names or []}
-    names = [n for n in order if n in df.columns] + [n for n in df.columns if n not in order]
-    return df.select(*(column(n) for n in names))
+    keys = layouts.select("place", F.posexplode("names").alias("pos", "name"))
+    first = keys.groupBy("name").agg(F.min(F.struct("place", "pos")).alias("first"))
+    return [row["name"] for row in first.orderBy("first").select("name").collect()]
 
 
 def read_split(

@@ -11,7 +11,7 @@ from rowmark.operators.annotate import ANNOTATION_FIELDS, ANNOTATION_SCHEMA, ann
 
 @pytest.fixture
 def records(make):
-    df = make([("r0", "text-r0"), ("r1", "text-r1"), ("r1", "text-r1")], "id STRING, text STRING")
+    df = make([("r0", "first entry"), ("r1", "second entry"), ("r1", "second entry")], "id STRING, text STRING")
     return rm.row_records(df, "id", ["id"])
 
 
@@ -26,7 +26,7 @@ def test_record_fields(spark, records):
     assert (row.label, row.task_type, row.annotator, row.note) == ("high-quality", "preference", "alice", "n")
     assert (row.schema_version, row.event_type, row.updated_at) == ("1.0", "create", None)
     assert json.loads(row.payload.toJson()) == {"a": [1]}
-    assert json.loads(row.row_data.toJson()) == {"id": "r0", "text": "text-r0"}
+    assert json.loads(row.row_data.toJson()) == {"id": "r0", "text": "first entry"}
     assert json.loads(row.row_ref.key_fields.toJson()) == {"id": "r0"} and row.row_ref.row_index == 0
     assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", row.created_at)
 
@@ -36,10 +36,17 @@ def test_ids_are_stable_and_apart(records):
         made = rm.annotate(records, "a", "b1", "f", annotator="alice", **options)
         return values(made.orderBy("row_ref.row_index"), "annotation_id")
 
-    first = ids()
-    assert len(set(first)) == 3 and ids() == first
+    first = ids(run_id="one")
+    assert len(set(first)) == 3 and ids(run_id="one") == first
     assert not set(first) & set(ids(run_id="again"))
-    assert not set(first) & set(ids(task="other"))
+    assert not set(first) & set(ids(run_id="one", task="other"))
+
+
+def test_each_run_has_ids_of_its_own(records):
+    def ids():
+        return set(values(rm.annotate(records, "a", "b1", "f", annotator="alice"), "annotation_id"))
+
+    assert not ids() & ids()
 
 
 def test_time_is_utc_whatever_the_session_zone(spark, records):

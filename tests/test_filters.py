@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 import rowmark as rm
 from rowmark.functions.filters import BAD_CLAUSE, Clause, filter_clauses
 
-ROWS = [(0.9, "x", "beta"), (0.6, "x", "alpha"), (0.6, "y", "alpha"), (0.6, "y", "beta")]
+ROWS = [(3.5, "top", "cedar"), (1.25, "top", "maple"), (1.25, "low", "maple"), (1.25, "low", "cedar")]
 
 
 @pytest.fixture
 def scored(make):
-    return make(ROWS, "score DOUBLE, category STRING, text STRING")
+    return make(ROWS, "weight DOUBLE, shelf STRING, note STRING")
 
 
 def kept(df, text, mode="typed"):
@@ -24,15 +24,15 @@ def kept(df, text, mode="typed"):
 
 @pytest.mark.parametrize("mode", ["typed", "coerce"])
 def test_and_binds_tighter_than_or(scored, mode):
-    assert kept(scored, "score >= 0.7 && category == 'x' || text contains 'alpha'", mode) == [0, 1, 2]
-    assert kept(scored, "text contains 'alpha' or score >= 0.7 and category == 'x'", mode) == [0, 1, 2]
+    assert kept(scored, "weight >= 2.5 && shelf == 'top' || note contains 'maple'", mode) == [0, 1, 2]
+    assert kept(scored, "note contains 'maple' or weight >= 2.5 and shelf == 'top'", mode) == [0, 1, 2]
 
 
 @pytest.mark.parametrize("mode", ["typed", "coerce"])
 def test_brackets(scored, mode):
-    assert kept(scored, "(score > 0.7 and category == 'x') || text contains 'alpha'", mode) == [0, 1, 2]
-    assert kept(scored, "score > 0.7 and (category == 'x' || text contains 'alpha')", mode) == [0]
-    assert kept(scored, "((score>0.5)) AND ((text startswith 'be') Or (category=y))", mode) == [0, 2, 3]
+    assert kept(scored, "(weight > 2.5 and shelf == 'top') || note contains 'maple'", mode) == [0, 1, 2]
+    assert kept(scored, "weight > 2.5 and (shelf == 'top' || note contains 'maple')", mode) == [0]
+    assert kept(scored, "((weight>1.0)) AND ((note startswith 'ce') Or (shelf=low))", mode) == [0, 2, 3]
 
 
 def test_clauses_in_order():
@@ -80,8 +80,8 @@ def test_blank_keeps_all(scored, text):
 
 
 def test_unknown_columns_are_listed_once(scored):
-    with pytest.raises(ValueError, match=r"Unknown column\(s\): xyz, Score$"):
-        rm.filter_rows(scored, "xyz == 1 or Score == 2 or xyz == 3 or score == 1.0")
+    with pytest.raises(ValueError, match=r"Unknown column\(s\): xyz, Weight$"):
+        rm.filter_rows(scored, "xyz == 1 or Weight == 2 or xyz == 3 or weight == 1.0")
     with pytest.raises(ValueError, match="Unknown"):
         rm.filter_rows(scored, f"{rm.POSITION} == 1")
 
@@ -92,14 +92,14 @@ def test_dotted_names(make):
 
 
 def test_extended_filter(scored):
-    text = rm.extended_filter("score > 0.7 or category == y", "text", "al'pha")
-    assert text == 'score > 0.7 or category == y and text contains "al\'pha"'
-    assert kept(scored, rm.extended_filter("score > 0.7 or category == y", "text", "alpha")) == [0, 2]
+    text = rm.extended_filter("weight > 2.5 or shelf == low", "note", "ma'ple")
+    assert text == 'weight > 2.5 or shelf == low and note contains "ma\'ple"'
+    assert kept(scored, rm.extended_filter("weight > 2.5 or shelf == low", "note", "maple")) == [0, 2]
     assert rm.extended_filter(None, "text", "a") == "text contains 'a'"
 
 
 def test_count(scored):
-    assert rm.filtered_count(scored, "category == x").first().row_count == 2
+    assert rm.filtered_count(scored, "shelf == top").first().row_count == 2
 
 
 # --- typed mode ------------------------------------------------------------------------
@@ -238,11 +238,11 @@ def stored(spark, scored, tmp_path):
 @pytest.mark.parametrize(
     ("text", "mode", "pushed"),
     [
-        ("score >= 0.6 and text contains 'beta'", "typed", ["GreaterThanOrEqual(score,0.6)", "StringContains(text,beta)"]),
-        ("n > 2.5 or text startswith 'a'", "typed", ["Or(GreaterThanOrEqual(n,3),StringStartsWith(text,a))"]),
-        ("text endswith 'a' and category == x", "typed", ["StringEndsWith(text,a)", "EqualTo(category,x)"]),
-        ("n >= 1 and text contains 'beta'", "coerce", ["GreaterThanOrEqual(n,1)", "StringContains(text,beta)"]),
-        ("category == null", "coerce", ["IsNull(category)"]),
+        ("weight >= 1.5 and note contains 'cedar'", "typed", ["GreaterThanOrEqual(weight,1.5)", "StringContains(note,cedar)"]),
+        ("n > 2.5 or note startswith 'm'", "typed", ["Or(GreaterThanOrEqual(n,3),StringStartsWith(note,m))"]),
+        ("note endswith 'r' and shelf == top", "typed", ["StringEndsWith(note,r)", "EqualTo(shelf,top)"]),
+        ("n >= 1 and note contains 'cedar'", "coerce", ["GreaterThanOrEqual(n,1)", "StringContains(note,cedar)"]),
+        ("shelf == null", "coerce", ["IsNull(shelf)"]),
     ],
 )
 def test_filters_reach_the_scan(stored, text, mode, pushed):

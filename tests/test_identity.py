@@ -137,3 +137,17 @@ def test_zoneless_times_do_not_follow_the_session_zone(spark):
     expected = [str(datetime.datetime.fromisoformat(t)) for t in times]
     assert shown == expected
     assert got == [json.dumps({"t": t.replace(" ", "T")}, separators=(",", ":")) for t in expected]
+
+
+def test_nothing_depends_on_the_session_zone(spark):
+    rows = spark.sql(
+        f"SELECT 0L AS {rm.POSITION}, TIMESTAMP'2024-03-31 02:30:00.5Z' AS at, TIMESTAMP'1960-01-01 00:00:00Z' AS old, "
+        "array(TIMESTAMP'2024-10-27 00:30:00Z') AS many, 1.5E8D AS big"
+    )
+    old, seen = spark.conf.get("spark.sql.session.timeZone"), set()
+    for zone in ("UTC", "Asia/Tokyo", "Europe/Berlin"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        seen.add(tuple(rows.select(rm.row_hash(rows), rm.canonical_json(rows), rm.key_fields(rows, ["at", "big", "many"])).first()))
+    spark.conf.set("spark.sql.session.timeZone", old)
+    assert len(seen) == 1
+    assert seen.pop()[2] == '{"at":"2024-03-31T02:30:00.500000+00:00","big":150000000.0,"many":["2024-10-27T00:30:00+00:00"]}'

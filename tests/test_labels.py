@@ -127,7 +127,8 @@ def test_new_label_set(spark):
     assert named(fresh.labels) == ["high-quality", "low-quality", "needs-review", "skip"]
     assert coded(fresh.keys) == dict(zip("1234", named(fresh.labels)))
     assert named(rm.new_label_set(spark, labels=[" ", ""]).labels) == named(fresh.labels)
-    assert len(named(rm.new_label_set(spark, labels=[f" l{i} " for i in range(12)]).labels)) == 9
+    assert len(named(rm.new_label_set(spark, labels=[f" l{i} " for i in range(12)]).labels)) == 12
+    assert len(coded(rm.new_label_set(spark, labels=[f"l{i}" for i in range(12)]).keys)) == 9
 
 
 def test_merge_keeps_tasks_apart(spark):

@@ -3,7 +3,6 @@ from conftest import values
 from pyspark.sql import functions as F
 
 import rowmark as rm
-from rowmark.operators import view
 from rowmark.operators.view import VIEW_RANK, page_start
 
 
@@ -87,28 +86,29 @@ def test_ranked_view(spark, descending):
     for offset, limit in ((0, 5000), (1000, 3000), (4990, 50), (5000, 10), (10, 0), (0, -3)):
         assert order(ranked.page(offset, limit)) == expected[offset : offset + max(limit, 0)]
     plan = ranked.page_at(4321, 10).select("v")._jdf.queryExecution().executedPlan().toString()
-    assert "GreaterThanOrEqual(_id" in plan and "Join" not in plan
+    assert "GreaterThanOrEqual(_place_in_view" in plan and "Join" not in plan
     nothing = rm.ranked_view(df.filter("v < 0"), "v")
     assert nothing.count() == nothing.page_at(5).count() == nothing.with_rank().count() == 0
     assert order(rm.page_at(df.filter("v < 0"), 5)) == []
 
 
-def test_pages_take_the_top_instead_of_sorting_everything(rows):
-    plan = rm.page(rows, 200, 200, "n")._jdf.queryExecution().executedPlan().toString()
-    assert "TakeOrderedAndProject(limit=400, offset=200" in plan and "Exchange" not in plan
+@pytest.mark.parametrize("offset", [0, 200, 150_000])
+def test_pages_choose_their_rows_by_a_narrow_top(rows, offset):
+    plan = rm.page(rows, offset, 200, "n")._jdf.queryExecution().executedPlan().toString()
+    top = next(line for line in plan.splitlines() if "TakeOrderedAndProject" in line)
+    assert f"limit={offset + 200}" in top and "s#" not in top and "LeftSemi" in plan
 
 
 def test_hash_is_taken_after_paging(rows):
     plan = rm.row_records(rm.page(rows, 0, 5, "n"))._jdf.queryExecution().executedPlan().toString()
-    first, below = plan.split("\n", 1)
-    assert first.startswith("TakeOrderedAndProject(limit=5") and "row_hash" in first
-    assert "row_hash" not in below
+    above, below = plan.split("LeftSemi", 1)
+    assert "sha2(" in above and "sha2(" not in below
 
 
-@pytest.mark.parametrize("sort", ["n", None])
-def test_deep_pages_do_not_use_top_k(rows, monkeypatch, sort):
-    expected = [order(rm.page(rows, 2, 3, sort)), order(rm.page_at(rows, 5, 4, sort))]
-    monkeypatch.setattr(view, "TOP_ROWS", 3)
-    deep = rm.page(rows, 2, 3, sort)
-    assert "TakeOrdered" not in deep._jdf.queryExecution().executedPlan().toString()
-    assert [order(deep), order(rm.page_at(rows, 5, 4, sort))] == expected
+def test_deep_pages_equal_those_of_a_stored_view(spark):
+    df = spark.range(0, 120_000, 1, 5).select(
+        F.col("id").alias(rm.POSITION), (F.col("id") % 7).alias("v"), F.col("id").alias("_id"), F.lit("f").alias("_file")
+    )
+    page = rm.page(df, 101_000, 50, "v", True)
+    assert page.columns == df.columns
+    assert page.collect() == rm.ranked_view(df, "v", True).page(101_000, 50).collect()
