@@ -60,6 +60,7 @@ from rowmark.operators.view import (
 )
 from rowmark.sources.archives import archive_documents, read_bundle_archives
 from rowmark.sources.bundles import (
+    annotate_bundle,
     append_annotations,
     create_bundle,
     export_snapshot,

@@ -105,6 +105,8 @@ def label_keys(keys: DataFrame) -> DataFrame:
 def _after(extra: DataFrame, labels: DataFrame) -> DataFrame:
     """`extra` with positions moved behind the positions used in `labels`, task by task."""
     used = labels.groupBy("task_type").agg((F.max("pos") + 1).alias("_used"))
+    # One row per label before the join: there are only a few tasks to join on.
+    extra = extra.groupBy("task_type", "label").agg(F.min("pos").alias("pos"))
     return extra.join(used, "task_type", "left").select(
         "task_type", (F.coalesce("_used", F.lit(0)) + F.col("pos")).alias("pos"), "label"
     )

@@ -124,11 +124,10 @@ def dataset_fingerprint(spark, sf):
 
 @query
 def dataset_meta(spark, sf):
-    orders = t.table(spark, sf, "orders")
     customers = t.table(spark, sf, "customer")
     return rm.dataset_meta(
-        orders, "hf", "orders", rm.dataset_fingerprint(customers, "customers"),
-        split="train", row_id_field="o_orderkey", key_fields=("o_custkey", "o_orderdate"),
+        customers, "hf", "customers", rm.dataset_fingerprint(customers, "customers"),
+        split="train", row_id_field="c_custkey", key_fields=("c_nationkey", "c_name"),
     )
 
 
@@ -498,15 +497,11 @@ def merge_feed(spark, sf):
     root = shared_folder(spark)
     rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1"})
     rm.append_annotations(t.full_records(t.event_log(spark, sf)).orderBy("pos"), f"{root}/b")
-    incoming = t.full_records(t.incoming_log(spark, sf)).drop("pos")
-    incoming.coalesce(4).write.json(f"{root}/feed")
-    feed = rm.annotation_feed(spark, f"{root}/feed", files_per_batch=3)
-    rm.merge_feed(feed, f"{root}/b", f"{root}/progress").awaitTermination()
-    return (
-        rm.read_annotations(spark, f"{root}/b")
-        .groupBy("annotation_id")
-        .agg(F.count(F.lit(1)).alias("records"))
-    )
+    incoming = t.full_records(t.incoming_log(spark, sf))
+    incoming = incoming.repartitionByRange(4, "pos").sortWithinPartitions("pos").drop("pos")
+    incoming.write.json(f"{root}/feed")
+    rm.merge_feed(rm.annotation_feed(spark, f"{root}/feed"), f"{root}/b", f"{root}/progress").awaitTermination()
+    return t.flat(rm.read_annotations(spark, f"{root}/b").withColumn("pos", F.lit(0))).drop("pos")
 
 
 # --- summary ---------------------------------------------------------------------------

@@ -158,12 +158,12 @@ SQL: dict[str, str] = {
     + _FINGERPRINT.format(row=_DOCUMENT_JSON, name="documents", split='"train"')
     + " AS fingerprint FROM documents",
     "dataset_meta": f"""
-        SELECT 'hf' AS source_type, 'orders' AS source_uri, 'train' AS split,
+        SELECT 'hf' AS source_type, 'customers' AS source_uri, 'train' AS split,
           (SELECT {_FINGERPRINT.format(row=_CUSTOMER_JSON, name="customers", split="null")} FROM customer)
             AS fingerprint,
-          count(*) AS row_count, 'o_orderkey' AS row_id_field,
-          '["o_custkey", "o_orderdate"]' AS key_fields
-        FROM orders""",
+          count(*) AS row_count, 'c_custkey' AS row_id_field,
+          '["c_nationkey", "c_name"]' AS key_fields
+        FROM customer""",
     # projection and identity
     "project_visible": "SELECT o_totalprice, o_orderkey FROM orders",
     "hide_columns": "SELECT * EXCLUDE (l_tax, l_shipdate, l_linestatus) FROM lineitem",
@@ -282,7 +282,8 @@ SQL: dict[str, str] = {
         WITH {_INCOMING_LOG} SELECT {_FLAT} FROM first_seen WHERE nth = 1 OR annotation_id = ''""",
     "import_merge": f"""
         WITH {_INCOMING_LOG}
-        SELECT {_FLAT} FROM event_log UNION ALL SELECT {_FLAT} FROM new_records""",
+        SELECT * EXCLUDE (pos) FROM (
+          SELECT {_FLAT} FROM event_log UNION ALL SELECT {_FLAT} FROM new_records)""",
     "import_report": f"""
         WITH {_INCOMING_LOG}
         , merged AS (SELECT * FROM event_log UNION ALL SELECT * EXCLUDE (nth) FROM new_records)
@@ -319,9 +320,8 @@ SQL: dict[str, str] = {
           (SELECT count(*) FROM merged) AS written_count""",
     "merge_feed": f"""
         WITH {_INCOMING_LOG}
-        SELECT annotation_id, count(*) AS records
-        FROM (SELECT annotation_id FROM event_log UNION ALL SELECT annotation_id FROM new_records)
-        GROUP BY ALL""",
+        SELECT * EXCLUDE (pos) FROM (
+          SELECT {_FLAT} FROM event_log UNION ALL SELECT {_FLAT} FROM new_records)""",
     # summary
     "facet_filter": f"""
         WITH {_EVENT_LOG}

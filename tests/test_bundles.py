@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import rowmark as rm
 from rowmark.operators.annotate import ANNOTATION_SCHEMA
 from rowmark.sources import files
-from rowmark.sources.bundles import read_log_lines
+from rowmark.sources.bundles import annotate_bundle, read_log_lines
 
 FINGERPRINT = {"source_type": "csv", "source_uri": "x.csv", "fingerprint": "sha256:f1", "key_fields": ["id"]}
 
@@ -306,3 +306,24 @@ def test_imported_lines_are_not_touched(spark, tmp_path, bundle):
     assert rm.import_bundle(spark, target, source).first().imported_count == 2
     stored = [r.value for r in read_log_lines(spark, target).orderBy(rm.POSITION).collect()]
     assert stored[1:] == lines
+
+
+def test_annotating_into_a_bundle_registers_labels(spark, make, bundle):
+    path = bundle("t")
+    df = make([("r0", "a"), ("r1", "b"), ("r2", "c")], "id STRING, kind STRING")
+    records = rm.row_records(df, "id", ["id"])
+    annotate_bundle(spark, path, records, " HIGH-quality ")
+    by_row = F.when(F.col("row_index") == 1, " Fresh").otherwise("fresh ")
+    annotate_bundle(spark, path, records, by_row, annotator="bo")
+    annotate_bundle(spark, path, records, "fresh", task="other")
+    assert sorted(values(rm.read_annotations(spark, path), "label")) == ["fresh"] * 6 + ["high-quality"] * 3
+    labels = rm.read_label_set(spark, path)
+    assert task_labels(labels, "preference") == ["high-quality", "low-quality", "fresh"]
+    assert task_labels(labels, "other") == ["fresh"]
+    assert {(r.task_type, r.key, r.label) for r in labels.keys.collect()} >= {("preference", "3", "fresh"), ("other", "1", "fresh")}
+
+
+def test_spellings_collapse_when_a_merged_set_is_read_again(spark, bundle):
+    target = bundle("t", labels=("Good", "bad"))
+    rm.import_bundle(spark, target, bundle("s", labels=("good", "new")))
+    assert task_labels(rm.read_label_set(spark, target), "preference") == ["Good", "bad", "new"]
