@@ -9,7 +9,9 @@ windows can only be equal if their anchors are. Far fewer rows than windows are
 - an anchor with several contents is branching: contents that occur twice repeat with all their
   windows, and of each content one segment is opened to compare single windows.
 
-All counts are pre-aggregated, all joins are on keys whose heavy values Spark can split.
+Segments of a text with equal content are one row, so that a text of one repeated line is a few
+rows. Counts are pre-aggregated, and written before they are joined: then both sides of a join
+come straight from their shuffles and Spark can split heavy keys.
 """
 
 from __future__ import annotations
@@ -93,16 +95,24 @@ def _cut(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             found = cutter(batch.column("text"))
-            rows = pa.array(found.owner)
+            order = np.lexsort((found.content, found.anchor, found.owner))
+            owner, anchor, content = found.owner[order], found.anchor[order], found.content[order]
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (owner[1:] != owner[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+            first = np.flatnonzero(fresh)
+            times = np.diff(np.r_[first, len(order)])
+            places = pack(found.start, found.windows, found.offset)[order]
+            rows = pa.array(owner[first])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_key").take(rows),
                     batch.column("text_key").take(rows),
-                    pa.array(pack(found.start, found.windows, found.offset), pa.int64()),
-                    pa.array(found.anchor.view(np.int64)),
-                    pa.array(found.content.view(np.int64)),
+                    pa.ListArray.from_arrays(pa.array(np.r_[first, len(order)].astype(np.int32)), pa.array(places, pa.int64())),
+                    pa.array(times, pa.int64()),
+                    pa.array(anchor[first].view(np.int64)),
+                    pa.array(content[first].view(np.int64)),
                 ],
-                names=["doc_key", "text_key", "place", "anchor", "content"],
+                names=["doc_key", "text_key", "places", "times", "anchor", "content"],
             )
 
     return work
@@ -111,31 +121,34 @@ def _cut(cutter: Cutter) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def located(rows: DataFrame, cutter: Cutter) -> DataFrame:
     """Per key: places whose windows all repeat (full), places to open, and opened samples of full ones."""
     cut = rows.select(*KEYS, "text").mapInArrow(
-        _cut(cutter), "doc_key long, text_key long, place long, anchor long, content long"
+        _cut(cutter), "doc_key long, text_key long, places array<long>, times long, anchor long, content long"
     )
-    anchors = (
+    anchors = written(
         cut.groupBy("anchor")
-        .agg(F.count("*").alias("times"), F.min("content").alias("low"), F.max("content").alias("high"))
-        .where("times > 1")
+        .agg(F.sum("times").alias("total"), F.min("content").alias("low"), F.max("content").alias("high"))
+        .where("total > 1")
         .select("anchor", (F.col("low") != F.col("high")).alias("branching"))
     )
     repeated = written(cut.join(anchors, "anchor"))
-    place = F.struct(*KEYS, "place")
-    contents = repeated.where("branching").groupBy("anchor", "content").agg(
-        F.count("*").alias("times"), F.min(place).alias("first")
-    )
-    alone = F.col("times") == 1
+    place = F.struct(*KEYS, F.col("places")[0].alias("place"))
+    contents = written(
+        repeated.where("branching")
+        .groupBy("anchor", "content")
+        .agg(F.sum("times").alias("total"), F.min(place).alias("first"))
+    )
+    alone, none = F.col("total") == 1, F.lit(False)
     judged = (
         repeated.where("branching")
         .join(contents, ["anchor", "content"])
-        .select(*KEYS, "place", (~alone).alias("is_full"), alone.alias("is_open"), (~alone & (place == F.col("first"))).alias("is_sample"))
+        .select(*KEYS, "places", (~alone).alias("is_full"), alone.alias("is_open"), (~alone & (place == F.col("first"))).alias("is_sample"))
         .unionByName(
             repeated.where("NOT branching").select(
-                *KEYS, "place", F.lit(True).alias("is_full"), F.lit(False).alias("is_open"), F.lit(False).alias("is_sample")
+                *KEYS, "places", F.lit(True).alias("is_full"), none.alias("is_open"), none.alias("is_sample")
             )
         )
     )
-    chosen = [F.collect_set(F.when(F.col(f"is_{c}"), F.col("place"))).alias(c) for c in ("full", "open", "sample")]
+    taken = {"full": F.col("places"), "open": F.col("places"), "sample": F.slice("places", 1, 1)}
+    chosen = [F.flatten(F.collect_set(F.when(F.col(f"is_{c}"), v))).alias(c) for c, v in taken.items()]
     return judged.groupBy(*KEYS).agg(*chosen)
 
 

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rowmark.llm._common import WHITE, gram_hashes, joined_bytes, pieces, range_hashes, word_hashes, word_ranges
+from rowmark.llm._common import WHITE, gram_hashes, joined_bytes, pieces, range_hashes, word_hashes, word_ranges, written
 from rowmark.llm._repeats import KEYS, Segments, segments, unpack, without_repeats
 
 #: Words in a window, and in an anchor.
@@ -82,7 +82,8 @@ def _compare(window: int):
         edges = texts.mapInArrow(
             _edges(window), "edge long, check long, doc_key long, text_key long, place long, asked boolean"
         )
-        repeated = edges.groupBy("edge", "check").agg(F.count("*").alias("times")).where("times > 1").drop("times")
+        counted = edges.groupBy("edge", "check").agg(F.count("*").alias("times"))
+        repeated = written(counted.where("times > 1").drop("times"))
         found = edges.where("asked").join(repeated, ["edge", "check"])
         return found.select(*KEYS, (F.shiftleft("place", 10) + window).alias("covered"))
 
