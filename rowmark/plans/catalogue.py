@@ -303,6 +303,12 @@ def coerce_lineitem(spark, sf):
     )
 
 
+@query
+def filter_blank(spark, sf):
+    """A blank filter keeps everything."""
+    return rm.filter_rows(indexed(spark, sf, "customer"), " \n").drop(rm.POSITION)
+
+
 # --- sort and page ---------------------------------------------------------------------
 
 
@@ -328,6 +334,13 @@ def view_rank(spark, sf):
     return view.select("c_custkey", "band", F.col("_view_rank").alias("place"))
 
 
+@query
+def page_working_names(spark, sf):
+    """A page of a table whose columns are called like working columns."""
+    named = {"o_orderkey": "_id", "o_custkey": "_file", "o_orderstatus": "_key", "o_totalprice": "_part"}
+    return rm.page(indexed(spark, sf, "orders").withColumnsRenamed(named), 1000, 200, "_part", True).drop(rm.POSITION)
+
+
 @query
 def page(spark, sf):
     return rm.page(indexed(spark, sf, "orders"), 400, 200, "o_totalprice").drop(rm.POSITION)
@@ -491,6 +504,21 @@ def import_bundle(spark, sf):
     )
 
 
+@query
+def annotate_bundle(spark, sf):
+    """All orders annotated with their status: the label set and the records that come of it."""
+    root = shared_folder(spark)
+    rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1"})
+    records = rm.row_records(indexed(spark, sf, "orders"), "o_orderkey")
+    status = F.concat(F.lit(" Status-"), F.variant_get("row_data", "$.o_orderstatus", "string"))
+    rm.annotate_bundle(spark, f"{root}/b", records, status, annotator="alice")
+    keys = rm.read_label_set(spark, f"{root}/b").keys
+    made = rm.read_annotations(spark, f"{root}/b").groupBy("label").count()
+    return keys.select(F.lit("code").alias("part"), "label", F.col("key").alias("value")).unionByName(
+        made.select(F.lit("records").alias("part"), "label", F.col("count").cast("string").alias("value"))
+    )
+
+
 @query
 def merge_feed(spark, sf):
     """The order log arriving as files, merged into a bundle that holds the event log."""

@@ -322,6 +322,22 @@ SQL: dict[str, str] = {
         WITH {_INCOMING_LOG}
         SELECT * EXCLUDE (pos) FROM (
           SELECT {_FLAT} FROM event_log UNION ALL SELECT {_FLAT} FROM new_records)""",
+    "annotate_bundle": """
+        WITH status AS (SELECT 'Status-' || o_orderstatus AS label, count(*) AS n, min(o_orderkey) AS first
+          FROM orders GROUP BY ALL),
+        first_labels AS (SELECT label, row_number() OVER () AS code
+          FROM (SELECT unnest(['high-quality', 'low-quality', 'needs-review', 'skip']) AS label))
+        SELECT 'code' AS part, label, CAST(code AS VARCHAR) AS value FROM first_labels
+        UNION ALL SELECT 'code', label, CAST(4 + row_number() OVER (ORDER BY first) AS VARCHAR) FROM status
+        UNION ALL SELECT 'records', label, CAST(n AS VARCHAR) FROM status""",
+    "filter_blank": "SELECT * FROM customer",
+    "page_working_names": """
+        SELECT o_orderkey AS _id, o_custkey AS _file, o_orderstatus AS _key, o_totalprice AS _part,
+          o_orderdate, o_orderpriority
+        FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 200 OFFSET 1000""",
+    "schema_listing": """
+        SELECT * FROM (VALUES (0, 'event_id', 'bigint'), (1, 'ts', 'timestamp_ntz'), (2, 'user_id', 'bigint'),
+          (3, 'event_type', 'string'), (4, 'value', 'double'), (5, 'props', 'string')) AS t(place, name, dtype)""",
     # summary
     "facet_filter": f"""
         WITH {_EVENT_LOG}
