@@ -267,7 +267,8 @@ def _compare(window: int, anchor: int, bucket_bytes: int):
         opened = texts.agg(F.sum(F.size("open") + F.size("sample"))).first()[0] or 0
         buckets = max(shuffle_parts(spark), opened * window * 2 // bucket_bytes)
         suffixes = texts.mapInArrow(_suffixes(window), _SUFFIX_DDL)
-        dealt = suffixes.repartitionByRange(buckets, "suffix", "left")
+        # equal leading bytes are told apart by a hash: sampled keys stay short, heavy anchors are split
+        dealt = suffixes.repartitionByRange(buckets, F.substring("suffix", 1, anchor), F.xxhash64("suffix", "left"))
         found = written(dealt.mapInArrow(_sort_bucket(window, anchor, min(buckets, 256)), _OUT_DDL))
         edges = found.where("edge IS NOT NULL").select("bucket", "edge").repartition(min(buckets, 256), "bucket")
         met = edges.mapInArrow(_meet(window), "doc_key long, text_key long, covered long")
