@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rowmark.checkpoints import checkpoint_folder
 from rowmark.functions.identity import POSITION
 
 
@@ -106,11 +107,19 @@ def conflict_count(annotations: DataFrame, key: Column | None = None) -> DataFra
 def import_report(
     target: DataFrame, source: DataFrame, position: str = POSITION
 ) -> DataFrame:
-    """One row of counts for a merge, whether or not it is then written."""
-    narrow = ["annotation_id", "task_type", "label", "row_ref", "row_hash"]
-    target = target.select(*narrow)
-    source = source.select(position, *narrow)
-    merged = target.unionByName(import_new(target, source, position).select(*narrow))
+    """One row of counts for a merge, whether or not it is then written.
+
+    Reads both logs right here, once.
+    """
+    def narrow(df: DataFrame, place: Column, is_source: bool) -> DataFrame:
+        named = df.select("annotation_id", "task_type", "label", row_key(df).alias("row_key"), "row_hash", place.alias("place"))
+        return named.withColumn("is_source", F.lit(is_source))
+
+    # Each log is read once, into a narrow copy that all counts are taken from.
+    checkpoint_folder(target.sparkSession)
+    both = narrow(target, F.lit(None).cast("bigint"), False).unionByName(narrow(source, F.col(position), True)).checkpoint()
+    target, source, position = both.filter("NOT is_source"), both.filter("is_source"), "place"
+    merged = target.unionByName(import_new(target, source, position))
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
@@ -122,7 +131,7 @@ def import_report(
     counts = (
         of_source.unionAll(counted(target, "existing_count"))
         .unionAll(counted(_first_positions(target, source, position), "imported_count"))
-        .unionAll(conflict_count(merged).select(F.lit("conflict_count"), "conflict_count"))
+        .unionAll(conflict_count(merged, F.col("row_key")).select(F.lit("conflict_count"), "conflict_count"))
     )
 
     def value(name: str) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from rowmark.checkpoints import shared_folder
 from rowmark.functions.identity import POSITION, column, data_columns, unused_name
 from rowmark.functions.jsontext import json_text
+from rowmark.operators.sizes import BROADCAST_ROWS
 
 # Rows on a page and in a sample.
 PAGE_SIZE = 200
@@ -90,7 +91,10 @@ def page(
     wanted = unused_name(df, "_wanted")
     narrow = df.select(column(POSITION), *([column(sort)] if sort in data_columns(df) else []))
     places = sort_rows(narrow, sort, descending).offset(first).limit(limit).select(column(POSITION).alias(wanted))
-    return sort_rows(df.join(places, column(POSITION) == F.col(wanted), "left_semi"), sort, descending)
+    if limit <= BROADCAST_ROWS:
+        places = F.broadcast(places)  # one number per row of the page
+    shown = df.join(places, column(POSITION) == F.col(wanted), "left_semi")
+    return sort_rows(shown, sort, descending).limit(limit)
 
 
 def page_after(
