@@ -100,11 +100,13 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _never(attributes: dict[str, str]) -> bool:
+def _never(attributes: dict[str, str], by_class: bool) -> bool:
     if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
     if "display:none" in attributes.get("style", "").replace(" ", "").lower():
         return True
+    if not by_class:
+        return False
     words = _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))
     return any(w.lower() in _CLASSES for w in words)
 
@@ -115,7 +117,14 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
 
 
 def blocks(page: str) -> list[Block]:
-    """The texts of a page that may be content, in page order."""
+    """The texts of a page that may be content, in page order.
+
+    If class words rule out everything (they may speak of the layout), they are left out.
+    """
+    return _blocks(page, True) or _blocks(page, False)
+
+
+def _blocks(page: str, by_class: bool) -> list[Block]:
     stack = [_Open("", (), False, 0, False, False, False)]
     out: list[Block] = []
     buffer: list[str] = []
@@ -190,7 +199,7 @@ def blocks(page: str) -> list[Block]:
             elif level < 1 and (tag == "main" or attributes.get("role") == "main"):
                 level = 1
         inside_header = tag == "header" and level == 2
-        never = top.never or (tag in _NEVER and not inside_header) or (bool(attributes) and not inside_header and _never(attributes))
+        never = top.never or (tag in _NEVER and not inside_header) or (bool(attributes) and not inside_header and _never(attributes, by_class))
         if tag in ("html", "body"):
             never = False
         path = top.path if inline or len(top.path) >= DEPTH else (*top.path, _label(tag, attributes))

@@ -21,6 +21,7 @@ def read(page):
         ("<article><ul><li>one<li>two</ul><table><tr><td>c1<td>c2</table></article>", "one two c1 c2"),
         ("<p hidden>no</p><p style='display: none'>no</p><p>yes", "yes"),
         ("a < b and c > d", "a < b and c > d"),
+        ("<div class='with-sidebar'><nav>n</nav><p>all of it</p></div>", "all of it"),
         ("<a href='x>y'>link</a> <unclosed", "link <unclosed"),
         ("", ""),
         ("<script>never closed", ""),
