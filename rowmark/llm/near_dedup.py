@@ -5,11 +5,14 @@
    signature, so a document needs about one round per element and stops as soon as no later
    round can lower any place.
 2. Documents with equal sets are one node. Nodes that agree in a band of the signature meet in a
-   bucket; each bucket links its members to its smallest node, a star instead of all pairs.
+   bucket; each bucket links its members to one hub, a star instead of all pairs.
+   Hubs are the nodes that meet most others, the middles of their groups.
 3. Stars are verified on the full sets (blocks of members against their hub), and components of
-   verified links are found. Members of a bucket that are not connected to its hub are then
-   compared with the members of other components by signature, in blocks, and close pairs are
-   verified on the full sets as well. Components over all verified links are the result.
+   verified links are found. Members of a bucket that are not connected to its hub (strays) are
+   then compared with all members of other components, in blocks: by signature, then by sketches
+   that bound the similarity of the full sets from above. Pairs that pass both are verified on
+   the full sets. Components over all verified links are the result; pairs that fail a bound
+   never become rows.
 
 A pair at the threshold of 0.85 misses all bands with a probability of 2e-8 (28 bands of 5).
 """
@@ -121,13 +124,37 @@ def gram_hashes_rows(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Full sets, and sketches: the members' upper 16 bits, sorted."""
     for batch in pieces(batches):
+        sets = shingle_sets(batch.column("text"))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("node"), pa.array([s.tobytes() for s in shingle_sets(batch.column("text"))], pa.binary())],
-            names=["node", "members"],
+            [
+                batch.column("node"),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+                pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sets], pa.binary()),
+            ],
+            names=["node", "members", "sketch"],
         )
 
 
+def sketch_keys(sketch: bytes) -> np.ndarray:
+    """Distinct numbers for the values of a sketch: equal values are told apart by a count."""
+    values = np.frombuffer(sketch, np.uint16).astype(np.int64)
+    first = np.searchsorted(values, values)
+    return values << 32 | (np.arange(len(values)) - first)
+
+
+def common_at_most(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Upper bounds of the common shingles of one set and others, by their sketch keys.
+
+    Members in common fall on equal values in both, so they are never counted too low.
+    """
+    ends = np.cumsum([len(o) for o in others])
+    every = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+    return np.add.reduceat(hit, np.r_[0, ends[:-1]])
+
+
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[dict[str, list]]:
     """Rows with equal keys, from sorted batches."""
     key, held = None, None
@@ -187,28 +214,80 @@ def _near(floor: float):
     return work
 
 
-def _strays(floor: float, ratio: float):
-    """Close pairs of strays and members of other components within the blocks of buckets."""
+class _Block:
+    """Strays and members of a block of a bucket."""
+
+    def __init__(self, group: dict[str, list]):
+        stray = np.array(group["is_stray"], bool)
+        self.node, self.root, self.n = (np.array(group[c], np.int64) for c in ("node", "root", "n"))
+        self.signature = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, PLACES)
+        self.strays, self.members = np.flatnonzero(stray), np.flatnonzero(~stray)
+        self.band = group["band"][0]
+
+    def close(self, floor: float, ratio: float) -> Iterator[tuple[int, np.ndarray]]:
+        """For each stray the members of other components whose signatures are close.
+
+        A pair that meets in several bands is left to the first of them.
+        """
+        y = self.members
+        for x in self.strays.tolist():
+            n = self.n[x]
+            some = y[(self.root[y] != self.root[x]) & (np.minimum(n, self.n[y]) >= ratio * np.maximum(n, self.n[y]))]
+            if len(some):
+                same = self.signature[some] == self.signature[x]
+                first = same.reshape(len(some), BANDS, ROWS).all(2).argmax(1)
+                some = some[(same.mean(1) >= floor) & (first == self.band)]
+                if len(some):
+                    yield x, some
+
+
+def _needed(floor: float, ratio: float):
+    """The rows of blocks that are part of any close pair."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, ["bucket", "block"]):
-            stray = np.array(group["is_stray"], bool)
-            node, root, n = (np.array(group[c], np.int64) for c in ("node", "root", "n"))
-            signature = np.frombuffer(b"".join(group["signature"]), np.uint16).reshape(-1, PLACES)
-            mine, theirs = np.flatnonzero(stray), np.flatnonzero(~stray)
-            for low in range(0, len(mine), 32):
-                m = mine[low : low + 32]
-                fits = (root[m][:, None] != root[theirs]) & (
-                    np.minimum(n[m][:, None], n[theirs]) >= ratio * np.maximum(n[m][:, None], n[theirs])
-                )
-                i, j = np.nonzero(fits)
-                close = np.zeros(len(i), bool)
-                for part in range(0, len(i), 20_000):
-                    a, b = i[part : part + 20_000], j[part : part + 20_000]
-                    close[part : part + 20_000] = (signature[m[a]] == signature[theirs[b]]).mean(1) >= floor
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[m[i[close]]]), pa.array(node[theirs[j[close]]])], names=["hub", "node"]
-                )
+            block, used = _Block(group), set()
+            for x, some in block.close(floor, ratio):
+                used.add(x)
+                used.update(some.tolist())
+            rows = pa.array(sorted(used), pa.int64())
+            if len(rows):
+                names = ["bucket", "block", "band", "is_stray", "node", "root"]
+                types = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(group[c], t).take(rows) for c, t in zip(names, types, strict=True)], names=names)
+
+    return work
+
+
+def _settle(floor: float, percent: int, best_only: bool):
+    """Close pairs that may be similar enough by the sketches of their full sets.
+
+    On request only the likeliest pair of each stray and component.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ["bucket", "block"]):
+            block, keys = _Block(group), {}
+
+            def key(i: int, sketches: list[bytes] = group["sketch"], held: dict = keys) -> np.ndarray:
+                if i not in held:
+                    held[i] = sketch_keys(sketches[i])
+                return held[i]
+
+            pairs = []
+            for x, some in block.close(floor, percent / 100):
+                both = common_at_most(key(x), [key(i) for i in some.tolist()])
+                either = block.n[x] + block.n[some] - both
+                may = np.flatnonzero(100 * both >= percent * either)
+                if best_only:
+                    order = may[np.argsort(-both[may] / either[may], kind="stable")]
+                    _, first = np.unique(block.root[some[order]], return_index=True)
+                    may = order[first]
+                pairs += [(block.node[x], block.node[i]) for i in some[may].tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())],
+                names=["hub", "node"],
+            )
 
     return work
 
@@ -229,18 +308,26 @@ class NearDuplicates:
         self.nodes = written(self.described.where("n > 0").groupBy("node").agg(first).select("node", "first.*"))
 
     def buckets(self) -> DataFrame:
-        """(bucket, node, hub, size) of all nodes that share a bucket with another one."""
-        members = self.nodes.select("node", F.explode("bands").alias("bucket"))
-        shared = members.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("size")).where("size > 1")
-        return written(members.join(shared, "bucket"))
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
+        """(bucket, band, node, hub, size) of all nodes that share a bucket with another one."""
+        members = self.nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+        sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+        shared = written(members.join(written(sizes.where("size > 1")), "bucket"))
+        # The node that meets most others is in the middle of its group: the best hub.
+        central = written(shared.groupBy("node").agg(F.sum("size").alias("met")))
+        ranked = shared.join(central, "node")
+        hubs = written(ranked.groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub")))
+        return written(ranked.join(hubs, "bucket").select("bucket", "band", "node", "hub", "size"))
+
+    def sets_of(self, buckets: DataFrame) -> DataFrame:
+        """(node, members, sketch) of the nodes that share a bucket with another one."""
+        wanted = self.nodes.select("node", *KEYS).join(buckets.select("node").distinct(), "node")
+        found = wanted.join(self.rows, KEYS).select("node", "text").mapInArrow(_sets, "node long, members binary, sketch binary")
+        return written(found.groupBy("node").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch")))
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """(u, v) of those (hub, node) pairs that are similar enough on their full sets."""
+        sets = sets.select("node", "members")
         pairs = written(pairs)
-        ends = pairs.select("node").unionByName(pairs.select(F.col("hub").alias("node"))).distinct()
-        wanted = self.nodes.select("node", *KEYS).join(ends, "node")
-        found = wanted.join(self.rows, KEYS).select("node", "text")
-        sets = written(found.mapInArrow(_sets, "node long, members binary").groupBy("node").agg(F.first("members").alias("members")))
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
         spokes = salted.join(sets, "node").select("hub", "salt", F.lit(False).alias("is_hub"), "node", "members")
         hubs = (
@@ -263,11 +350,11 @@ class NearDuplicates:
         both = pairs.join(mine, "node").join(hubs, "hub").where(fits)
         return both.select("hub", "node", "signature", "hub_signature").mapInArrow(_near(self.floor), "hub long, node long")
 
-    def strays(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    def strays(self, buckets: DataFrame, roots: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
         """Close pairs of different components in buckets whose members are not all connected."""
         root = F.coalesce("root", "node")
-        rooted = written(buckets.join(roots, "node", "left").select("bucket", "size", "node", root.alias("root"), (F.col("node") == F.col("hub")).alias("is_hub")))
-        mixed_ones = (
+        rooted = written(buckets.join(roots, "node", "left").select("bucket", "band", "size", "node", root.alias("root"), (F.col("node") == F.col("hub")).alias("is_hub")))
+        mixed_ones = written(
             rooted.groupBy("bucket")
             .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("is_hub"), F.col("root"))).alias("main"))
             .where("low <> high")
@@ -278,34 +365,47 @@ class NearDuplicates:
             .join(self.nodes.select("node", "n", "signature"), "node")
             .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         )
-        columns = ["bucket", "block", "is_stray", "node", "root", "n", "signature"]
+        columns = ["bucket", "block", "band", "is_stray", "node", "root", "n", "signature"]
         held = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("is_stray", F.lit(False))
         asking = (
             members.where("root <> main")
             .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .withColumn("is_stray", F.lit(True))
         )
-        dealt = (
-            held.select(*columns).unionByName(asking.select(*columns))
-            .repartition(shuffle_parts(self.spark), "bucket", "block")
-            .sortWithinPartitions("bucket", "block")
+        needed = written(
+            self.by_block(held.select(*columns).unionByName(asking.select(*columns))).mapInArrow(
+                _needed(self.floor, self.percent / 100),
+                "bucket long, block int, band int, is_stray boolean, node long, root long",
+            )
+        )
+        complete = needed.join(self.nodes.select("node", "n", "signature"), "node").join(sets.select("node", "sketch"), "node")
+        found = self.by_block(complete.select(*columns, "sketch")).mapInArrow(
+            _settle(self.floor, self.percent, best_only), "hub long, node long"
         )
-        found = dealt.mapInArrow(_strays(self.floor, self.percent / 100), "hub long, node long")
         return found.select(F.greatest("hub", "node").alias("node"), F.least("hub", "node").alias("hub")).distinct()
 
+    def by_block(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(shuffle_parts(self.spark), "bucket", "block").sortWithinPartitions("bucket", "block")
+
     def result(self) -> DataFrame:
         buckets = self.buckets()
-        links = self.verified(self.stars(buckets))
-        roots = components(links)
-        links = links.unionByName(self.verified(self.strays(buckets, roots)))
+        sets = self.sets_of(buckets)
+        links = self.verified(self.stars(buckets), sets)
         roots = components(links)
+        # First the likeliest pairs, which join most components; then all that are left.
+        for best_only in (True, False):
+            pairs = written(self.strays(buckets, roots, sets, best_only))
+            if pairs.isEmpty():
+                break
+            links = links.unionByName(self.verified(pairs, sets))
+            roots = components(links)
         rows = (
             self.described.select("doc_id", "n", "node")
             .join(roots, "node", "left")
             .withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
         )
         rows = rows.select("doc_id", "n", "root")
-        least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
+        least = written(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
         component = F.coalesce("least", "doc_id")
         return rows.join(least, "root", "left").select(
             "doc_id",
