@@ -3,7 +3,7 @@ import random
 
 import public_tokenizers
 import pytest
-from conftest_llm import EDGES
+from conftest_llm import EDGES, documents, package_on_workers  # noqa: F401
 from tokenizers import Tokenizer
 
 from rowmark.llm.bpe import ByteBPE, encode_documents, token_digests

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from conftest_llm import EDGES, prose
+from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 
 from rowmark.llm.decontamination import contamination
 

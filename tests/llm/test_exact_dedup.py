@@ -3,7 +3,7 @@ import os
 import random
 import re
 
-from conftest_llm import EDGES, prose
+from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 
 from rowmark.llm.exact_dedup import exact_duplicates, fold
 

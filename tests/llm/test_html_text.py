@@ -1,5 +1,7 @@
 import pytest
 
+from conftest_llm import package_on_workers  # noqa: F401
+
 from rowmark.llm.html_text import Node, Reader, absorb, blocks, from_json, main_text, matching, to_json, tree_of
 
 

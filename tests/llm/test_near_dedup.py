@@ -2,7 +2,7 @@ import random
 import re
 
 import numpy as np
-from conftest_llm import EDGES, prose
+from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 
 from rowmark.llm._common import mixed
 from rowmark.llm._components import components

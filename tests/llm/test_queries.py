@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from rowmark.llm.queries import QUERIES, SQL
 from rowmark.llm.toxicity import toxicity
-from conftest_llm import EDGES
+from conftest_llm import EDGES, documents, package_on_workers  # noqa: F401
 from test_decontamination import brute as contaminated
 from test_exact_dedup import brute as exact
 from test_near_dedup import brute as near

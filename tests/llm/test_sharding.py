@@ -3,7 +3,7 @@ import zlib
 from collections import Counter
 
 import pytest
-from conftest_llm import EDGES
+from conftest_llm import EDGES, documents, package_on_workers  # noqa: F401
 from pyspark.sql import functions as F
 
 from rowmark.llm.sharding import rendezvous, shard_documents

@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
-from conftest_llm import EDGES, prose
+from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 from hypothesis import given, settings, strategies as st
 
 from rowmark.llm.suffix_dedup import as_characters, common_lengths, multikey_order, repeated_bytes, repeated_windows

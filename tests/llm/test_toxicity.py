@@ -2,7 +2,7 @@ import itertools
 import zlib
 
 import numpy as np
-from conftest_llm import EDGES, prose
+from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 
 from rowmark.llm.toxicity import Landmarks, Machine, _codes, learn, letters_of, subsequence_kernel, toxicity, words_of
 

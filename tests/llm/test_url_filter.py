@@ -1,3 +1,5 @@
+from conftest_llm import package_on_workers  # noqa: F401
+
 from rowmark.llm.url_filter import RULES, filter_urls, host_edges, personal_rank
 
 ROWS = [
