@@ -10,14 +10,14 @@ from rowmark.llm._common import written
 def _large(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours to its smallest one."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
+    least = written(both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Each node hands its smaller neighbours, and itself, to its smallest one."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("low"))
+    least = written(down.groupBy("u").agg(F.min("v").alias("low")))
     handed = down.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     return handed.unionByName(least.select("u", F.col("low").alias("v")))
 
@@ -26,7 +26,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) with the smallest node of the component as root; nodes without edges are absent.
 
     edges: (u, v). Every round is two shuffled star operations; the edges shrink to one per node
-    in a number of rounds that grows with the logarithm of the graph.
+    in a number of rounds that grows with the logarithm of the graph. Minima are written before
+    they are joined, so that Spark can split the rows of a node with very many neighbours.
     """
     edges = written(edges.where("u <> v").select("u", "v").distinct())
     before = None

@@ -308,7 +308,7 @@ class NearDuplicates:
         self.nodes = written(self.described.where("n > 0").groupBy("node").agg(first).select("node", "first.*"))
 
     def buckets(self) -> DataFrame:
-        """(bucket, band, node, hub, size) of all nodes that share a bucket with another one."""
+        """(bucket, band, node, hub, size, met) of all nodes that share a bucket with another one."""
         members = self.nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
         sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
         shared = written(members.join(written(sizes.where("size > 1")), "bucket"))
@@ -316,7 +316,7 @@ class NearDuplicates:
         central = written(shared.groupBy("node").agg(F.sum("size").alias("met")))
         ranked = shared.join(central, "node")
         hubs = written(ranked.groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub")))
-        return written(ranked.join(hubs, "bucket").select("bucket", "band", "node", "hub", "size"))
+        return written(ranked.join(hubs, "bucket").select("bucket", "band", "node", "hub", "size", "met"))
 
     def sets_of(self, buckets: DataFrame) -> DataFrame:
         """(node, members, sketch) of the nodes that share a bucket with another one."""
@@ -350,6 +350,14 @@ class NearDuplicates:
         both = pairs.join(mine, "node").join(hubs, "hub").where(fits)
         return both.select("hub", "node", "signature", "hub_signature").mapInArrow(_near(self.floor), "hub long, node long")
 
+    def apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
+        """Pairs whose nodes lie in different components."""
+        mine = roots.select("node", F.col("root").alias("mine"))
+        other = roots.select(F.col("node").alias("hub"), F.col("root").alias("other"))
+        both = pairs.join(mine, "node", "left").join(other, "hub", "left")
+        same = F.col("mine").isNotNull() & (F.col("mine") == F.col("other"))
+        return both.where(~F.coalesce(same, F.lit(False))).select("hub", "node")
+
     def strays(self, buckets: DataFrame, roots: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
         """Close pairs of different components in buckets whose members are not all connected."""
         root = F.coalesce("root", "node")
@@ -390,7 +398,12 @@ class NearDuplicates:
     def result(self) -> DataFrame:
         buckets = self.buckets()
         sets = self.sets_of(buckets)
-        links = self.verified(self.stars(buckets), sets)
+        # First each node with its most central hub; then the hubs it is not connected to by that.
+        near = written(self.stars(buckets))
+        met = buckets.where("node = hub").groupBy("hub").agg(F.max("met").alias("met"))
+        best = near.join(written(met), "hub").groupBy("node").agg(F.max(F.struct("met", "hub"))["hub"].alias("hub"))
+        links = self.verified(best.select("hub", "node"), sets)
+        links = links.unionByName(self.verified(self.apart(near, components(links)), sets))
         roots = components(links)
         # First the likeliest pairs, which join most components; then all that are left.
         for best_only in (True, False):
