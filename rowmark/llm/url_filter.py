@@ -110,6 +110,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         .unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
         .groupBy("host")
         .agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust"))
+        .checkpoint()
     )
     trust_of, distrust_of = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     by_host = F.when(distrust_of > trust_of + margin, "block").otherwise("allow")
