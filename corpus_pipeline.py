@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from rowmark.functions.identity import unused_name
 from rowmark.llm._common import written
 from rowmark.llm.bpe import token_digests
 from rowmark.llm.decontamination import contamination
@@ -25,8 +26,9 @@ def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     Ids name documents: rows that share an id stay or go together.
     """
-    ids = ids.select(F.col("doc_id").alias("_staying_id"))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_staying_id")), "left_semi")
+    named = unused_name(docs, "_matched_id")
+    ids = ids.select(F.col("doc_id").alias(named))
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(named)), "left_semi")
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +38,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one row stays, also of rows that repeat an id."""
+    """Of equal texts one row stays, also of rows that repeat an id or have none."""
     judged = written(exact_duplicates(docs))
-    kept = _staying(docs, judged.where("kept"))
-    repeated = judged.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1")
+    digest, named, text = (unused_name(docs, n) for n in ("_digest", "_matched_id", "_matched_text"))
     normal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    again = _staying(kept, repeated).withColumn("_normal", F.sha2(normal, 256)).dropDuplicates(["doc_id", "_normal"])
-    repeated = repeated.select(F.col("doc_id").alias("_staying_id"))
-    once = kept.join(repeated, F.col("doc_id").eqNullSafe(F.col("_staying_id")), "left_anti")
-    return once.unionByName(again.drop("_normal"))
+
+    def matched(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias(named), F.col("text_sha256").alias(text))
+        return rows.join(keys, F.col("doc_id").eqNullSafe(F.col(named)) & (F.col(digest) == F.col(text)), how)
+
+    kept = matched(docs.withColumn(digest, F.sha2(normal, 256)), judged.where("kept"), "left_semi")
+    times = judged.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
+    repeated = written(times.where("times > 1"))
+    again = matched(kept, repeated, "left_semi").dropDuplicates(["doc_id", digest])
+    return matched(kept, repeated, "left_anti").unionByName(again).drop(digest)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
