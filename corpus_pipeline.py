@@ -12,34 +12,33 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowmark.functions.identity import unused_name
 from rowmark.llm._common import written
+from rowmark.llm._repeats import row_keys
 from rowmark.llm.bpe import token_digests
-from rowmark.llm.decontamination import contamination
+from rowmark.llm.decontamination import judged
 from rowmark.llm.exact_dedup import exact_duplicates
-from rowmark.llm.near_dedup import near_duplicates
-from rowmark.llm.toxicity import toxicity
+from rowmark.llm.near_dedup import NearDuplicates
+from rowmark.llm.toxicity import scored
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _staying(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id (null is an id) is among `ids`, with all their columns.
-
-    Ids name documents: rows that share an id stay or go together.
-    """
-    named = unused_name(docs, "_matched_id")
-    ids = ids.select(F.col("doc_id").alias(named))
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col(named)), "left_semi")
+def _matched(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Documents by doc_id (null is an id) and text_key, the hash of the text, with all their columns."""
+    text, named, keyed = (unused_name(docs, n) for n in ("_text_key", "_matched_id", "_matched_text"))
+    keys = keys.select(F.col("doc_id").alias(named), F.col("text_key").alias(keyed))
+    by = F.col("doc_id").eqNullSafe(F.col(named)) & (F.col(text) == F.col(keyed))
+    return docs.withColumn(text, row_keys()[1]).join(keys, by, how).drop(text)
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine, trained on the labels, rejects go."""
-    scored = toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _staying(docs, scored.where("predicted = 0"))
+    """Rows that the toxicity machine, trained on the labels, rejects go."""
+    rows = scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _matched(docs, rows.where("predicted = 0"), "left_semi")
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, also of rows that repeat an id or have none."""
-    judged = written(exact_duplicates(docs))
+    found = written(exact_duplicates(docs))
     digest, named, text = (unused_name(docs, n) for n in ("_digest", "_matched_id", "_matched_text"))
     normal = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
@@ -47,22 +46,27 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         keys = keys.select(F.col("doc_id").alias(named), F.col("text_sha256").alias(text))
         return rows.join(keys, F.col("doc_id").eqNullSafe(F.col(named)) & (F.col(digest) == F.col(text)), how)
 
-    kept = matched(docs.withColumn(digest, F.sha2(normal, 256)), judged.where("kept"), "left_semi")
-    times = judged.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
+    kept = matched(docs.withColumn(digest, F.sha2(normal, 256)), found.where("kept"), "left_semi")
+    times = found.groupBy("doc_id", "text_sha256").agg(F.count("*").alias("times"))
     repeated = written(times.where("times > 1"))
     again = matched(kept, repeated, "left_semi").dropDuplicates(["doc_id", digest])
     return matched(kept, repeated, "left_anti").unionByName(again).drop(digest)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return _staying(docs, near_duplicates(docs).where("kept"))
+    """One row of each group stays, also of rows that repeat an id or have none."""
+    stay = written(NearDuplicates(docs, 85).representatives())
+    copied = F.col("linked") & (F.col("times") > 1)
+    again = _matched(docs, stay.where(copied), "left_semi")
+    text = unused_name(docs, "_text_key")
+    again = again.withColumn(text, row_keys()[1]).dropDuplicates(["doc_id", text]).drop(text)
+    return _matched(docs, stay.where(~copied), "left_semi").unionByName(again)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _staying(docs, found.where("NOT contaminated"))
+    """Rows that hold a benchmark window go."""
+    found = judged(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _matched(docs, found.where("NOT contaminated"), "left_semi")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

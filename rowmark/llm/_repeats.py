@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmark.llm._common import pieces, range_hashes, window_minima, written
 
@@ -66,15 +66,19 @@ def segments(grams: np.ndarray, symbols: np.ndarray, starts: np.ndarray, ends: n
 Cutter = Callable[[pa.Array], Segments]
 
 
+def row_keys() -> tuple[Column, Column]:
+    """What equal rows share, and rows that differ do not: id (null is the least) and hash of the text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def keyed(documents: DataFrame) -> DataFrame:
     """doc_id, text (null is empty) and a key that equal rows share: id and hash of the text."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    doc_id = F.col("doc_id").cast("long")
+    doc_key, text_key = row_keys()
     return documents.select(
-        doc_id.alias("doc_id"),
-        F.coalesce(doc_id, F.lit(-(1 << 63))).alias("doc_key"),
-        F.xxhash64(text).alias("text_key"),
-        text.alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        doc_key.alias("doc_key"),
+        text_key.alias("text_key"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowmark.llm._common import (
     LOWER, byte_set, gram_hashes, joined_bytes, pieces, window_minima, word_hashes, word_ranges,
 )
+from rowmark.llm._repeats import row_keys
 
 #: Words in a window, and in a fingerprint.
 WINDOW, GRAM = 10, 5
@@ -30,10 +31,10 @@ SLICE_BYTES = 8 << 20
 _SEPARATOR = byte_set((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 
 _HITS = pa.schema(
-    [("doc_id", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("text", pa.string()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]
 )
 _RESULT = pa.schema(
-    [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()),
      ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
 )
 
@@ -140,19 +141,19 @@ def _search(handle, first: bool, last: bool) -> Callable[[Iterator[pa.RecordBatc
                 items[doc] += found
             if not last:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), texts, pa.array(spans, _HITS[2].type),
-                     pa.array([sorted(set(x)) for x in items], _HITS[3].type)], schema=_HITS,
+                    [batch.column("doc_id"), batch.column("text_key"), texts, pa.array(spans, _HITS.field("spans").type),
+                     pa.array([sorted(set(x)) for x in items], _HITS.field("items").type)], schema=_HITS,
                 )
                 continue
             counts = np.diff(words.first)
-            rows: list[list] = [batch.column("doc_id").to_pylist(), counts.tolist(), [], [], [], []]
+            rows: list[list] = [batch.column("doc_id").to_pylist(), batch.column("text_key").to_pylist(), counts.tolist(), [], [], [], []]
             for doc in range(n):
                 hit = np.zeros(counts[doc], bool)
                 for span in spans[doc]:
                     hit[span // 16 : span // 16 + span % 16] = True
                 ids = sorted(set(items[doc]))
                 for column, value in zip(
-                    rows[2:],
+                    rows[3:],
                     (int(hit.sum()), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit.any())),
                     strict=True,
                 ):
@@ -173,22 +174,27 @@ def contamination(documents: DataFrame, benchmark: DataFrame, slice_bytes: int =
     are judged each. An empty benchmark hits nothing; an empty table gives no rows. Other
     columns are ignored.
     """
+    return judged(documents, benchmark, slice_bytes).drop("text_key")
+
+
+def judged(documents: DataFrame, benchmark: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The same with text_key, the hash of the text that was judged."""
     spark = documents.sparkSession
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total * 5 // (slice_bytes * 4)))  # a quarter less than the bound on average
-    found = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = documents.select(F.col("doc_id").cast("long"), row_keys()[1].alias("text_key"), F.col("text").cast("string"))
     for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).toArrow()
         index = Index.of(part.column("item_id").to_pylist(), part.column("text").combine_chunks())
         last = k == slices - 1
         found = found.mapInArrow(
             _search(spark.sparkContext.broadcast(index), k == 0, last),
-            "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+            "doc_id long, text_key long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
             if last
-            else "doc_id long, text string, spans array<long>, items array<string>",
+            else "doc_id long, text_key long, text string, spans array<long>, items array<string>",
         )
     return found
 

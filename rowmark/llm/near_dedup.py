@@ -395,7 +395,8 @@ class NearDuplicates:
     def by_block(self, rows: DataFrame) -> DataFrame:
         return rows.repartition(shuffle_parts(self.spark), "bucket", "block").sortWithinPartitions("bucket", "block")
 
-    def result(self) -> DataFrame:
+    def rooted(self) -> DataFrame:
+        """doc_id, text_key, n, root of every row; rows without shingles have no root."""
         buckets = self.buckets()
         sets = self.sets_of(buckets)
         # First each node with its most central hub; then the hubs it is not connected to by that.
@@ -412,12 +413,25 @@ class NearDuplicates:
                 break
             links = links.unionByName(self.verified(pairs, sets))
             roots = components(links)
-        rows = (
-            self.described.select("doc_id", "n", "node")
-            .join(roots, "node", "left")
-            .withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
-        )
-        rows = rows.select("doc_id", "n", "root")
+        rows = self.described.select("doc_id", "text_key", "n", "node").join(roots, "node", "left")
+        return rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
+
+    def representatives(self) -> DataFrame:
+        """doc_id, text_key, times, linked of the rows that stay, with the number of rows that share both.
+
+        Of a component one (doc_id, text_key) stays, that with the smallest id (null ids last); rows
+        without shingles are not linked and stay all.
+        """
+        kind = [F.first("root").alias("root"), F.count("*").alias("times")]
+        keys = written(self.rooted().groupBy("doc_id", "text_key").agg(*kind))
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "times")).alias("first")
+        linked = keys.where("root IS NOT NULL").groupBy("root").agg(first).select("first.*").withColumn("linked", F.lit(True))
+        alone = keys.where("root IS NULL").withColumn("linked", F.lit(False))
+        columns = ["doc_id", "text_key", "times", "linked"]
+        return linked.select(*columns).unionByName(alone.select(*columns))
+
+    def result(self) -> DataFrame:
+        rows = self.rooted().select("doc_id", "n", "root")
         least = written(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")))
         component = F.coalesce("least", "doc_id")
         return rows.join(least, "root", "left").select(

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rowmark.llm._repeats import row_keys
+
 #: At most so many labelled rows are learnt from: those with the smallest hash of their doc_id.
 SAMPLE_ROWS = 12_000
 LANDMARKS, CANDIDATES = 64, 600
@@ -244,7 +246,9 @@ def choose_landmarks(sample: DataFrame, toxic: int, clean: int, count: int = LAN
     return Landmarks([candidates.strings[i] for i in chosen])
 
 
-_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
+_SCORED = pa.schema(
+    [("doc_id", pa.int64()), ("text_key", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())]
+)
 
 
 def learn(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Machine | float:
@@ -284,8 +288,15 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
     classes every score is the share of toxic rows (0.5 without labels). Repeated rows score
     alike; an empty table gives no rows; other columns are ignored.
     """
+    return scored(documents, labels, threshold, sample_rows).drop("text_key")
+
+
+def scored(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The same with text_key, the hash of the text that was scored."""
     machine = learn(documents, labels, sample_rows)
-    rows = documents.select(F.col("doc_id").cast("long"), held_out("doc_id").alias("held_out"), F.col("text").cast("string"))
+    rows = documents.select(
+        F.col("doc_id").cast("long"), row_keys()[1].alias("text_key"), held_out("doc_id").alias("held_out"), F.col("text").cast("string")
+    )
     handle = documents.sparkSession.sparkContext.broadcast(machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,11 +308,11 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = THRESHO
             else:
                 scores = fitted.score(describer(batch.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()),
+                [batch.column("doc_id"), batch.column("text_key"), batch.column("held_out"), pa.array(scores, pa.float64()),
                  pa.array((scores >= threshold).astype(np.int32))], schema=_SCORED,
             )
 
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(score, "doc_id long, text_key long, held_out boolean, score double, predicted int")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 
 from rowmark.llm.queries import QUERIES, SQL
 from rowmark.llm.toxicity import toxicity
-from conftest_llm import EDGES, documents, package_on_workers  # noqa: F401
+from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 from test_decontamination import brute as contaminated
 from test_exact_dedup import brute as exact
 from test_near_dedup import brute as near
@@ -65,3 +65,37 @@ def test_stages_on_odd_rows(spark, documents, stage):
         assert sorted(texts) == sorted({re.sub(r"\s+", " ", text or "") for _, text in EDGES})
     else:
         assert rows
+
+
+def _stage(name):
+    return dict(corpus_pipeline.STAGES)[name]
+
+
+def _texts(df):
+    return sorted(r.text or "" for r in df.collect())
+
+
+def test_rows_with_null_or_repeated_ids_are_judged_apart(spark, documents, tmp_path):
+    clean, toxic = prose(1, 60), prose(2, 60) + " vileword vileword"
+    labelled = [(i, prose(100 + i, 60) + (" vileword" if i % 2 else "")) for i in range(400)]
+    spark.createDataFrame([(i, i % 2) for i, _ in labelled], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([("a", prose(3, 30))], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    mixed_up = [(None, clean), (None, toxic), (500, toxic), (500, clean)]
+    got = _stage("toxicity")(spark, documents([*labelled, *mixed_up]), str(tmp_path))
+    assert _texts(got.where("doc_id IS NULL OR doc_id = 500")) == [clean, clean]
+    leaked = prose(3, 30) + " " + clean
+    rows = [(None, clean), (None, leaked), (7, leaked), (7, clean)]
+    got = _stage("benchmark_decontamination")(spark, documents(rows), str(tmp_path))
+    assert _texts(got) == [clean, clean]
+
+
+def test_one_row_of_each_near_group_stays(spark, documents):
+    base, other, third = (prose(i, 200, 5000) for i in (4, 5, 6))
+    rows = [(None, base), (None, base + " more"), (None, base + " and more"), (None, base)]  # all without an id
+    rows += [(9, other), (9, other + " more"), (9, third), (9, other), (8, third + " more")]  # one id, two groups
+    rows += [(10, ""), (10, ""), (None, " "), (None, None)]
+    got = _stage("near_dedup")(spark, documents(rows).repartition(3), "")
+    texts = _texts(got)
+    assert got.columns == documents([]).columns
+    assert texts[:4] == ["", "", "", " "] and len(texts) == 7
+    assert third + " more" in texts and sum(t.startswith(base) for t in texts) == 1 and sum(t.startswith(other) for t in texts) == 1
