@@ -19,6 +19,9 @@ from rowmark.llm.exact_dedup import exact_duplicates
 from rowmark.llm.near_dedup import NearDuplicates
 from rowmark.llm.toxicity import scored
 
+#: Common shingles of near copies, per cent of all shingles of both; op3_near_dedup has its own figure.
+NEAR_PERCENT = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -55,7 +58,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays, also of rows that repeat an id or have none."""
-    stay = written(NearDuplicates(docs, 85).representatives())
+    stay = written(NearDuplicates(docs, NEAR_PERCENT).representatives())
     copied = F.col("linked") & (F.col("times") > 1)
     again = _matched(docs, stay.where(copied), "left_semi")
     text = unused_name(docs, "_text_key")

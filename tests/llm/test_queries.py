@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import re
 
 import corpus_pipeline
@@ -15,7 +16,7 @@ from rowmark.llm.toxicity import toxicity
 from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 from test_decontamination import brute as contaminated
 from test_exact_dedup import brute as exact
-from test_near_dedup import brute as near
+from test_near_dedup import brute as near, edited
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -99,3 +100,22 @@ def test_one_row_of_each_near_group_stays(spark, documents):
     assert got.columns == documents([]).columns
     assert texts[:4] == ["", "", "", " "] and len(texts) == 7
     assert third + " more" in texts and sum(t.startswith(base) for t in texts) == 1 and sum(t.startswith(other) for t in texts) == 1
+
+
+def test_near_copies_from_80_per_cent_go(spark, documents):
+    rng = random.Random(5)
+    rows = []
+    for i in range(12):
+        base = prose(50 + i, 300, 5000)
+        rows += [(2 * i, base), (2 * i + 1, edited(base, 4 + i % 6, rng))]
+    want = {r[0] for r in near(rows, 80) if r[3]}
+    assert want < {r[0] for r in near(rows, 85) if r[3]}
+    assert {r.doc_id for r in _stage("near_dedup")(spark, documents(rows), "").collect()} == want
+
+
+def test_pipeline_against_brute_force_at_its_own_figure(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "near", lambda rows: near_at(rows, corpus_pipeline.NEAR_PERCENT))
+    test_pipeline_against_brute_force(spark)
+
+
+near_at = near
