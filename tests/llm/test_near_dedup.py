@@ -1,12 +1,14 @@
+import math
 import random
 import re
 
 import numpy as np
+import pyarrow as pa
 from conftest_llm import EDGES, documents, package_on_workers, prose  # noqa: F401
 
 from rowmark.llm._common import mixed
 from rowmark.llm._components import components
-from rowmark.llm.near_dedup import near_duplicates, super_minhash
+from rowmark.llm.near_dedup import BANDS, MARGIN, PLACES, _Block, _near, near_duplicates, super_minhash
 
 
 def shingles(text):
@@ -92,3 +94,23 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100, 101), (7, 7), (200, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(chain, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100, 200: 100}
+
+
+def test_signatures_seldom_drop_a_pair_at_the_threshold():
+    for p in (0.80, 0.85):
+        least = math.ceil((p - MARGIN) * PLACES - 1e-9)
+        assert sum(math.comb(PLACES, k) * p**k * (1 - p) ** (PLACES - k) for k in range(least)) < 1e-7
+    one = np.arange(PLACES, dtype=np.uint16)
+    other = np.where(np.arange(PLACES) < 98, one, one + 1).astype(np.uint16)  # agree in 0.7 of the places
+    columns = {"hub": [1], "node": [2], "signature": [one.tobytes()], "hub_signature": [other.tobytes()]}
+    assert [b.num_rows for b in _near(0.85 - MARGIN)([pa.RecordBatch.from_pydict(columns)])] == [1]
+
+
+def test_first_common_band_is_told_by_band_hashes():
+    signature, bands = np.arange(PLACES, dtype=np.uint16).tobytes(), np.arange(BANDS, dtype=np.int64)
+    other = np.where(bands == 3, bands, bands + 1000)  # the places of band 0 are equal only once folded
+    group = {
+        "is_stray": [True, False], "node": [1, 2], "root": [1, 2], "n": [50, 50], "signature": [signature, signature],
+        "band_keys": [bands.tobytes(), other.tobytes()], "band": [3, 3],
+    }
+    assert [(x, some.tolist()) for x, some in _Block(group).close(0.65, 0.85)] == [(0, [1])]
