@@ -80,6 +80,9 @@ class Block:
     heading: bool
     text: str
     linked: int = 0
+    #: Numbers of the open elements with a class word, and of the article or main element.
+    ruled: tuple[int, ...] = ()
+    area: int | None = None
 
 
 @dataclass(slots=True)
@@ -91,6 +94,8 @@ class _Open:
     headings_only: bool
     heading: bool
     link: bool
+    ruled: tuple[int, ...] = ()
+    area: int | None = None
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -100,13 +105,13 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _never(attributes: dict[str, str], by_class: bool) -> bool:
+def _never(attributes: dict[str, str]) -> bool:
     if attributes.get("role", "").lower() in _ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true":
         return True
-    if "display:none" in attributes.get("style", "").replace(" ", "").lower():
-        return True
-    if not by_class:
-        return False
+    return "display:none" in attributes.get("style", "").replace(" ", "").lower()
+
+
+def _class_word(attributes: dict[str, str]) -> bool:
     words = _WORD.findall(attributes.get("class", "") + " " + attributes.get("id", ""))
     return any(w.lower() in _CLASSES for w in words)
 
@@ -119,14 +124,53 @@ def _label(tag: str, attributes: dict[str, str]) -> str:
 def blocks(page: str) -> list[Block]:
     """The texts of a page that may be content, in page order.
 
-    If class words rule out everything (they may speak of the layout), they are left out.
+    Elements with a class word are left out, unless the word speaks of the layout: an article
+    (or main) element with more text than all such elements without a class word is content,
+    with those on its path; on pages without either, or if only headings of it would be left, an
+    element that holds most of the text.
     """
     return _blocks(page, True) or _blocks(page, False)
 
 
-def _blocks(page: str, by_class: bool) -> list[Block]:
+def _weight(found: list[Block]) -> int:
+    return sum(max(0, len(b.text) - b.linked) for b in found)
+
+
+def _cleared(found: list[Block], areas: dict[int, tuple[Path, tuple[int, ...]]]) -> list[Block]:
+    """Blocks without those under class words that do not speak of the layout."""
+    if not any(b.ruled for b in found):
+        return found
+    fine: set[int] = set()
+    inside: dict[int, list[Block]] = {}
+    for block in found:
+        if block.area is not None and block.ruled == areas[block.area][1]:
+            inside.setdefault(block.area, []).append(block)
+    named = {area: _weight(held) for area, held in inside.items() if areas[area][1]}
+    plain = [b for b in found if not b.ruled]
+    if named:
+        best = max(named, key=lambda x: named[x])
+        if named[best] > _weight([b for b in plain if b.level]):
+            for path, ruled in areas.values():
+                if path == areas[best][0]:
+                    fine.update(ruled)
+    kept = [b for b in found if fine.issuperset(b.ruled)]
+    level = max((b.level for b in kept), default=0)
+    rest = [b for b in kept if b.level == level and not (level and b.heading)]
+    own: dict[tuple[int, ...], list[Block]] = {}
+    for block in found:
+        if block.level == level and not fine.issuperset(block.ruled):
+            own.setdefault(block.ruled, []).append(block)
+    if own and (not level or not _weight(rest)):  # of an article only headings are left
+        best, held = max(own.items(), key=lambda x: _weight(x[1]))
+        if _weight(held) >= CONTENT_SHARE * (_weight(held) + _weight(rest)):
+            fine.update(best)
+    return [b for b in found if fine.issuperset(b.ruled)]
+
+
+def _blocks(page: str, inline_classes: bool) -> list[Block]:
     stack = [_Open("", (), False, 0, False, False, False)]
     out: list[Block] = []
+    areas: dict[int, tuple[Path, tuple[int, ...]]] = {}
     buffer: list[str] = []
     linked = 0
 
@@ -136,7 +180,7 @@ def _blocks(page: str, by_class: bool) -> list[Block]:
             text = _WHITE.sub(" ", "".join(buffer)).strip(" ")
             if text:
                 top = next((x for x in reversed(stack) if x.tag not in _INLINE), stack[0])
-                out.append(Block(top.path, top.level, top.heading, text, linked))
+                out.append(Block(top.path, top.level, top.heading, text, linked, top.ruled, top.area))
             buffer.clear()
         linked = 0
 
@@ -199,15 +243,26 @@ def _blocks(page: str, by_class: bool) -> list[Block]:
             elif level < 1 and (tag == "main" or attributes.get("role") == "main"):
                 level = 1
         inside_header = tag == "header" and level == 2
-        never = top.never or (tag in _NEVER and not inside_header) or (bool(attributes) and not inside_header and _never(attributes, by_class))
+        never = top.never or (tag in _NEVER and not inside_header) or (bool(attributes) and not inside_header and _never(attributes))
+        word = bool(attributes) and not inside_header and _class_word(attributes)
+        if inline and inline_classes:
+            never = never or word
         if tag in ("html", "body"):
-            never = False
+            never = word = False
         path = top.path if inline or len(top.path) >= DEPTH else (*top.path, _label(tag, attributes))
+        ruled = (*top.ruled, found.start()) if word and not inline and not never else top.ruled
+        area = top.area
+        if level > top.level:
+            area = found.start()
+            areas[area] = path, ruled
         stack.append(
-            _Open(tag, path, never, level, top.headings_only or inside_header, top.heading or tag in _HEADINGS, top.link or tag == "a")
-        )
+            _Open(
+                tag, path, never, level, top.headings_only or inside_header, top.heading or tag in _HEADINGS, top.link or tag == "a",
+                ruled, area,
+            )
+        )
     flush()
-    return out
+    return _cleared(out, areas)
 
 
 def _raw_end(page: str, lowered: str, tag: str, position: int) -> int:

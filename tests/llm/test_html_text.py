@@ -74,3 +74,25 @@ def test_table(spark):
     assert texts[20] == texts[21] == "" and texts[22] == "é x" and texts[23] == "deep"
     assert all(r[3] == len(r[2]) for r in got)
     assert main_text(spark.createDataFrame([], schema)).collect() == []
+
+
+LONG = "a story of many words that goes on for a while"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<p>(c) 2026</p><div class='layout sidebar-right'><article>{LONG}</article></div>", LONG),
+        (f"<p>(c)</p><article class='post has-related'><p>{LONG}</p><div class=ad>buy</div><div class=comments>nice</div></article>", LONG),
+        (f"<p>(c)</p><main class=social-news><article class='post has-related'>{LONG}</article><div class=share>x</div></main>", LONG),
+        (f"<p>(c)</p><div class='content with-sidebar'><div class=sidebar>menu</div><p>{LONG}</p></div>", f"(c) {LONG}"),
+        (f"<div class=layout-sidebar-right><div class=ad>buy</div><p>{LONG}</p></div>", LONG),
+        (f"<main><article>{LONG}</article><div class=comments><article class=comment>nice</article></div></main>", LONG),
+        (f"<article><h1>Head</h1><div class='body with-sidebar'>{LONG}<div class=ad>buy</div></div></article>", f"Head {LONG}"),
+        (f"<main><p>{LONG}</p><div class=related><article>next</article></div></main>", LONG),
+        ("".join(f"<article class='post has-related'>{i} {LONG}</article>" for i in range(2)) + "<p>x</p>", f"0 {LONG} 1 {LONG}"),
+        (f"<p>{LONG}</p><div class=comments><div class=comment>{LONG}</div><div class=comment>{LONG}</div></div>", LONG),
+    ],
+)
+def test_class_words_of_the_layout(page, text):
+    assert read(page) == text
