@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rowmark.llm._common import pieces, shuffle_parts, written
 from rowmark.llm.url_filter import host_of
 
-#: Pages on which a node must be the same to be template within an article.
+#: Distinct pages on which a node must be the same to be template within an article.
 TEMPLATE_PAGES = 5
 #: Share of the varying text that the content node of a host without article element must hold.
 CONTENT_SHARE = 0.7
@@ -297,7 +297,10 @@ def _close_implied(stack: list[_Open], tag: str, close) -> None:
 
 @dataclass(slots=True)
 class Node:
-    """A node of a wrapper: pages with text here, smallest and largest text hash, characters."""
+    """A node of a wrapper: pages with text here, smallest and largest text hash, characters.
+
+    seen: the smallest hashes of distinct pages with text here, TEMPLATE_PAGES at most.
+    """
 
     children: dict[str, Node] = field(default_factory=dict)
     pages: int = 0
@@ -307,16 +310,19 @@ class Node:
     linked: int = 0
     level: int = 0
     heading: bool = False
+    seen: list[int] = field(default_factory=list)
 
-    def count(self, low: int, high: int, pages: int, chars: int, linked: int) -> None:
+    def count(self, low: int, high: int, pages: int, chars: int, linked: int, seen: list[int]) -> None:
         self.low = min(self.low, low) if self.pages else low
         self.high = max(self.high, high) if self.pages else high
         self.pages += pages
         self.chars += chars
         self.linked += linked
+        if self.seen != seen:
+            self.seen = sorted({*self.seen, *seen})[:TEMPLATE_PAGES]
 
     def varies(self) -> bool:
-        return self.low != self.high or self.pages == 1
+        return self.low != self.high or len(self.seen) == 1
 
     def size(self) -> int:
         return 1 + sum(c.size() for c in self.children.values())
@@ -326,7 +332,11 @@ def tree_of(found: list[Block]) -> Node:
     """A page as a wrapper of its own."""
     import xxhash
 
+    def hashed(text: str) -> int:
+        return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
     root, texts = Node(), {}
+    page = hashed("\n".join(b.text for b in found))
     for block in found:
         entry = texts.setdefault(block.path, [[], 0, block.level, block.heading])
         entry[0].append(block.text)
@@ -336,8 +346,8 @@ def tree_of(found: list[Block]) -> Node:
         for label in path:
             node = node.children.setdefault(label, Node())
         text = " ".join(parts)
-        key = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
-        node.count(key, key, 1, len(text), linked)
+        key = hashed(text)
+        node.count(key, key, 1, len(text), linked, [page])
         node.level, node.heading = level, heading
     return root
 
@@ -376,7 +386,7 @@ def _likeness(a: Node, b: Node, x: str, y: str) -> float:
 def absorb(wrapper: Node, other: Node) -> Node:
     """Align another tree with the wrapper and add its counts; nodes without a match are added."""
     if other.pages:
-        wrapper.count(other.low, other.high, other.pages, other.chars, other.linked)
+        wrapper.count(other.low, other.high, other.pages, other.chars, other.linked, other.seen)
         wrapper.level, wrapper.heading = max(wrapper.level, other.level), wrapper.heading or other.heading
     matched = {y: x for x, y in matching(wrapper, other)[1]}
     for label, child in other.children.items():
@@ -386,13 +396,13 @@ def absorb(wrapper: Node, other: Node) -> Node:
 
 
 def to_json(node: Node) -> list:
-    numbers = [node.pages, node.low, node.high, node.chars, node.linked, node.level, int(node.heading)]
+    numbers = [node.pages, node.low, node.high, node.chars, node.linked, node.level, int(node.heading), *node.seen]
     return [numbers, {k: to_json(c) for k, c in node.children.items()}]
 
 
 def from_json(value: list) -> Node:
-    pages, low, high, chars, linked, level, heading = value[0]
-    return Node({k: from_json(c) for k, c in value[1].items()}, pages, low, high, chars, linked, level, bool(heading))
+    pages, low, high, chars, linked, level, heading, *seen = value[0]
+    return Node({k: from_json(c) for k, c in value[1].items()}, pages, low, high, chars, linked, level, bool(heading), seen)
 
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,7 +494,7 @@ class Reader:
                 tree = tree or tree_of(found)
                 at = self.places[block.path] = self.place(block.path, tree)
             if level:
-                constant = at and not block.heading and at[0].pages >= TEMPLATE_PAGES and not at[0].varies()
+                constant = at and not block.heading and len(at[0].seen) >= TEMPLATE_PAGES and not at[0].varies()
                 if not (constant and self.region_varies()):
                     out.append(block.text)
             elif at is None or (at[1][: len(self.region)] == self.region and (at[0].varies() or not self.region_varies())):

@@ -96,3 +96,23 @@ LONG = "a story of many words that goes on for a while"
 )
 def test_class_words_of_the_layout(page, text):
     assert read(page) == text
+
+
+def wrapper_of(pages):
+    wrapper = Node()
+    for page in pages:
+        absorb(wrapper, tree_of(blocks(page)))
+    return from_json(to_json(wrapper))
+
+
+def test_copies_of_a_page_are_no_template():
+    plain = [f"<article><p>Story {i}.</p></article>" for i in range(4)]
+    table = "<article><p>Story with a table.</p><table><tr><td>only here</table></article>"
+    assert Reader(wrapper_of(plain + [table] * 7)).text(table) == "Story with a table. only here"
+    same = [p.replace("</article>", "<ul><li>tags</ul></article>") for p in plain]
+    assert Reader(wrapper_of(same * 3)).text(same[0]) == "Story 0. tags"
+    five = [*same, "<article><p>Fifth.</p><ul><li>tags</ul></article>"]
+    assert Reader(wrapper_of(five)).text(five[4]) == "Fifth."
+    bare = [f"<div><p>Story {i}.</p></div>" for i in range(4)]
+    listed = "<div><p>Story with a list.</p><ul><li>only here, and of some length</ul></div>"
+    assert Reader(wrapper_of(bare + [listed] * 2)).text(listed) == "Story with a list. only here, and of some length"
