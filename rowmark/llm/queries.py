@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowmark.llm import bpe, decontamination, exact_dedup, html_text, near_dedup, sharding, substring_dedup, suffix_dedup, toxicity, url_filter
+from rowmark.llm import (
+    bpe, decontamination, exact_dedup, html_text, lexical_search, near_dedup, sharding, spelling_variants,
+    substring_dedup, suffix_dedup, toxicity, url_filter, vector_search,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -19,10 +22,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rendezvous_shards": sharding.op8_rendezvous_shards,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_ranked_search": lexical_search.op11_ranked_search,
+    "op12_vector_search": vector_search.op12_vector_search,
+    "op13_spelling_variants": spelling_variants.op13_spelling_variants,
 }
 
 SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op7_benchmark_decontamination": decontamination.SQL,
     "op9_substring_dedup": substring_dedup.SQL,
+    "op11_ranked_search": lexical_search.SQL,
 }

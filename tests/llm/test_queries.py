@@ -41,7 +41,7 @@ def test_pipeline_against_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     fine = {r.doc_id for r in toxicity(docs, labels).where("predicted = 0").collect()}
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect() if r.doc_id in fine]
-    for judge in (exact, near):
+    for judge in (exact, lambda rows: near(rows, corpus_pipeline.NEAR_PERCENT)):
         stays = {r[0] for r in judge(rows) if r[3]}
         rows = [r for r in rows if r[0] in stays]
     stays = {r[0] for r in contaminated(rows, items) if not r[5]}
@@ -111,11 +111,3 @@ def test_near_copies_from_80_per_cent_go(spark, documents):
     want = {r[0] for r in near(rows, 80) if r[3]}
     assert want < {r[0] for r in near(rows, 85) if r[3]}
     assert {r.doc_id for r in _stage("near_dedup")(spark, documents(rows), "").collect()} == want
-
-
-def test_pipeline_against_brute_force_at_its_own_figure(spark, monkeypatch):
-    monkeypatch.setitem(globals(), "near", lambda rows: near_at(rows, corpus_pipeline.NEAR_PERCENT))
-    test_pipeline_against_brute_force(spark)
-
-
-near_at = near

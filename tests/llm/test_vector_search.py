@@ -1,0 +1,100 @@
+import math
+
+import numpy as np
+import pytest
+from conftest_llm import package_on_workers  # noqa: F401
+from pyspark.sql import functions as F
+
+from rowmark.llm.vector_search import Graph, nearest_neighbours
+
+
+def table(spark, rows):
+    schema = "vec_id long, embedding array<float>, node int, shard int, dim int, ids int, score int, rank int, place int"
+    return spark.createDataFrame([(*r, *[1] * 7) for r in rows], schema)
+
+
+def brute(rows, k=10):
+    single = {(i, None if v is None else tuple(v)) for i, v in rows}
+    fine = [(i, v) for i, v in single if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    out = []
+    for i, v in fine:
+        if i is None or i % 100:
+            continue
+        near = [
+            (math.dist(np.float32(v).tolist(), np.float32(w).tolist()), j is None, j or 0)
+            for j, w in fine if len(w) == len(v) and (j, w) != (i, v)
+        ]
+        out += [(i, rank, None if null else j, d) for rank, (d, null, j) in enumerate(sorted(near)[:k], 1)]
+    return out
+
+
+def told(df):
+    return [(r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect()]
+
+
+def same(got, want):
+    key = lambda r: tuple(map(str, r[:3]))
+    got, want = sorted(got, key=key), sorted(want, key=key)
+    assert [r[:3] for r in got] == [r[:3] for r in want]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in want], rel=1e-12)
+
+
+def search(df, **options):
+    return nearest_neighbours(df, df.where("vec_id % 100 = 0"), **options)
+
+
+def test_small_tables_are_searched_whole(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(60)]
+    rows += [(200, rows[7][1]), (300, rows[7][1]), *((1000 + i, rows[7][1]) for i in range(30)), (200, rows[8][1])]  # copies
+    rows += [(400, None), (500, []), (600, [0.0] * 4), (700, [1.0, None, 0.0, 0.0]), (800, [1.0, float("nan"), 0.0, 0.0])]
+    rows += [(900, [float("inf"), 0.0, 0.0, 0.0]), (None, rows[9][1]), (None, [1.0, 2.0, 3.0, 4.0]), (5, rows[5][1])]
+    rows += [(1100, [1.0, 2.0]), (1101, [1.0, 3.0]), (1200, [5.0, 1.0, 1.0]), (1300, [3e38, -3e38, 0.0, -0.0])]
+    want = brute([(i, v) for i, v in rows])
+    df = table(spark, rows).repartition(4)
+    same(told(search(df)), want)
+    same(told(search(df, shard_nodes=20)), want)
+    same(told(search(table(spark, rows[:4]))), brute(rows[:4]))
+
+
+def test_empty_tables(spark):
+    assert search(table(spark, [])).collect() == []
+    assert search(table(spark, [(0, None), (100, [0.0])])).collect() == []
+    assert search(table(spark, [(0, [1.0])])).collect() == []
+
+
+def test_recall(spark):
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(30, 48))
+    data = (middles[rng.integers(0, 30, 3000)] + 0.4 * rng.normal(size=(3000, 48))).astype(np.float32)
+    df = table(spark, [(i, v.tolist()) for i, v in enumerate(data)])
+    got = told(search(df, shard_nodes=1000))
+    assert len(got) == 300 and {r[1] for r in got} == set(range(1, 11))
+    want = {r[0]: set() for r in got}
+    for q in want:
+        d = np.linalg.norm(data.astype(float) - data[q].astype(float), axis=1)
+        d[q] = np.inf
+        want[q] = set(np.lexsort((np.arange(3000), d))[:10].tolist())
+    assert sum(r[2] in want[r[0]] for r in got) / 300 >= 0.95
+    for q, _, j, score in got:
+        assert score == pytest.approx(math.dist(data[q].tolist(), data[j].tolist()), rel=1e-12)
+
+
+def test_graphs_reach_all_nodes_and_keep_diverse_edges():
+    rng = np.random.default_rng(4)
+    far = np.concatenate([rng.normal(size=(300, 8)), rng.normal(size=(300, 8)) + 1e4, [[1e6] * 8]])
+    graph = Graph(far)
+    assert graph._reached().all()
+    line = np.arange(64.0)[:, None] + 1
+    kept = Graph(line).pruned(np.array([10]), np.arange(64, dtype=np.int32)[None], 1.0)[0]
+    assert sorted(kept[kept >= 0].tolist()) == [9, 11]  # everything behind a neighbour is closer to it
+    for n in (1, 2, 3, 40):
+        graph = Graph(rng.normal(size=(n, 3)))
+        found, _ = graph.beam(graph.points, 64)
+        assert all(set(f[f >= 0].tolist()) == set(range(n)) for f in found)
+
+
+def test_own_names(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0])], "id int, v array<double>")
+    got = nearest_neighbours(rows, rows.where(F.col("id") == 1), id_column="id", vector_column="v").collect()
+    assert [tuple(r) for r in got] == [(1, 1, 2, 1.0)]
