@@ -67,6 +67,7 @@ def test_against_brute_force(documents):
     rows = [*EDGES, *texts(rng, 900)]
     rows += [(i, "corrextion correction") for i in range(5)] + [(i, "correction" * 900) for i in range(6)]
     rows += [(500 + i, "correction") for i in range(40)] + [(700 + i, "correctiom") for i in range(6)]
+    rows += [(800 + i, f"{w} {w}") for w, n in (("lettering", 70), ("letterino", 14), ("lettterino", 3)) for i in range(n)]  # a chain
     got = spelling_variants(documents(rows).repartition(4))
     assert got.columns == ["word", "form", "root", "n", "n_near", "form_n"]
     want = brute(rows)
