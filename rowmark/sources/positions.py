@@ -8,6 +8,7 @@ from rowmark.checkpoints import checkpoint_folder
 from rowmark.functions.identity import POSITION, unused_name
 
 _PIECES_PIN = "spark.sql.files.minPartitionNum"
+_LATER = "_rowmark_placed_later"
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
@@ -18,6 +19,11 @@ def with_row_index(df: DataFrame) -> DataFrame:
     (CSV, JSON) is brought together, once and right here; the rows are not shuffled while the
     offsets are small enough for a broadcast by Spark's size check.
     """
+    later = getattr(df, _LATER, None)
+    if later is not None:
+        rows, place = later
+        piece = {"_file": F.col(place)["file"], "_start": F.col(place)["start"]}
+        return _placed(rows, piece, F.col(place)["record"].cast("long")).drop(place)
     known = df.select("_metadata").schema["_metadata"].dataType.fieldNames()
     if "row_index" not in known:
         return _indexed_splits(df)
@@ -27,6 +33,13 @@ def with_row_index(df: DataFrame) -> DataFrame:
     return _placed(df, {"_file": F.col("_metadata.file_path")}, in_file)
 
 
+def placed_later(df: DataFrame, rows: DataFrame, place: str) -> DataFrame:
+    """`df` as it is; `with_row_index` takes its positions from `rows`, the same rows with a column
+    `place` (struct of file, start, record: the record's number within that range of the file)."""
+    setattr(df, _LATER, (rows, place))
+    return df
+
+
 def _indexed_splits(df: DataFrame) -> DataFrame:
     """CSV and JSON know no row number, so rows are numbered within each scan split.
 
@@ -35,7 +48,7 @@ def _indexed_splits(df: DataFrame) -> DataFrame:
     the same splits, so the cut is pinned for the session, unless it is set already: left alone
     it follows the executor count.
     """
-    _pin_splits(df.sparkSession)
+    pin_splits(df.sparkSession)
     split = {"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}
     return _placed(df, split, F.monotonically_increasing_id())
 
@@ -65,6 +78,6 @@ def _placed(df: DataFrame, piece: dict[str, Column], number: Column) -> DataFram
     )
 
 
-def _pin_splits(spark: SparkSession) -> None:
+def pin_splits(spark: SparkSession) -> None:
     if spark.conf.get(_PIECES_PIN, None) is None:
         spark.conf.set(_PIECES_PIN, str(spark.sparkContext.defaultParallelism))

@@ -7,10 +7,12 @@ from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from rowmark.functions.identity import column, data_columns, row_records
+from rowmark.functions.identity import column, data_columns, row_records, unused_name
 from rowmark.functions.text import trimmed
 from rowmark.operators.view import SAMPLE_SIZE, sample_rows
+from rowmark.sources.csv_records import csv_records, inferred_types
 from rowmark.sources.files import exists, glob
+from rowmark.sources.positions import pin_splits, placed_later
 
 # Accepted source type names.
 SOURCE_TYPES = {
@@ -74,28 +76,46 @@ def read_csv(
     """CSV with a header row.
 
     Inferred types are text, bigint, double and boolean; dates stay text. Inference is a
-    pass of its own over the files, so pass `schema` for large data. Quoted values may
-    span lines, which keeps a file in one task, so files are split only if no value does:
-    left open, `multiline` is found out by a pass over the lines.
+    pass of its own over the files, so pass `schema` for large data. Where quoted values span
+    lines, the records are found in ranges of the files and stored once (see `csv_records`), so
+    that a single file is read by many tasks too; left open, `multiline` is found out by a pass
+    over the lines.
     """
     if multiline is None:
         multiline = _values_span_lines(spark, path)
-    reader = (
-        spark.read.option("header", True)
-        .option("multiLine", multiline)
-        .option("escape", '"')
-        .option("nullValue", _NO_VALUE)
-        .option("mode", "FAILFAST")
-    )
+    options = {"escape": '"', "nullValue": _NO_VALUE, "mode": "FAILFAST"}
+    if multiline:
+        return _read_spanning(spark, path, schema, options)
+    reader = spark.read.option("header", True).options(**options)
     if schema is None:
-        inferred = reader.option("inferSchema", True).option("prefersDate", True).csv(path).schema
-        schema = T.StructType([T.StructField(f.name, _csv_type(f.dataType)) for f in inferred])
+        schema = _narrowed(reader.option("inferSchema", True).option("prefersDate", True).csv(path).schema)
     # A header that differs from the schema is an error, not a silent shift of columns.
     return (
         reader.option("inferSchema", False).option("enforceSchema", False).schema(schema).csv(path)
     )
 
 
+def _read_spanning(
+    spark: SparkSession, path: str, schema: T.StructType | str | None, options: dict[str, str]
+) -> DataFrame:
+    pin_splits(spark)
+    records = csv_records(spark, path)
+    if schema is None:
+        schema = _narrowed(inferred_types(spark, records, {**options, "prefersDate": "true"}))
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    if records.names and [n.lower() for n in records.names] != [n.lower() for n in schema.fieldNames()]:
+        raise ValueError(f"The header of {path} has {records.names}, the schema {schema.fieldNames()}.")
+    rows = records.parsed(schema, options)
+    place = unused_name(rows.drop("place"), "_place")
+    names = [column(n) for n in schema.fieldNames()]
+    return placed_later(rows.select(*names), rows.select(*names, F.col("place").alias(place)), place)
+
+
+def _narrowed(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, _csv_type(f.dataType)) for f in schema])
+
+
 def _values_span_lines(spark: SparkSession, path: str) -> bool:
     """Whether a value may go on in the next line: its first line then has an unpaired quote."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))

@@ -1,10 +1,13 @@
+import csv
 import json
+import random
 
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
 import rowmark as rm
+from rowmark.sources.csv_records import _lines, range_states
 from rowmark.sources.readers import _values_span_lines, source_type
 
 
@@ -236,3 +239,78 @@ def test_part_files_count_by_their_number(spark, tmp_path):
         (tmp_path / f"part-{n}.json").write_text('{"n": %d}\n' % n)
     placed = rm.with_row_index(rm.read_jsonl(spark, str(tmp_path), "n BIGINT"))
     assert values(placed.orderBy(rm.POSITION), "n") == [99999, 100000, 100001]
+
+
+def spanning_csv(folder, files, rows, seed=0):
+    """CSV files with quotes, commas and line breaks in values; the rows as they must be read."""
+    rng, told = random.Random(seed), []
+    folder.mkdir()
+    pieces = ["x", "long text ", '"', '""', ",", "\n", "\n\n", "é", " ", '","', '"\n"', "1"]
+    for f in range(files):
+        with open(folder / f"part-{f:05d}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            writer.writerow(["n", "text", "other"])
+            for n in range(rows):
+                text = "".join(rng.choices(pieces, k=rng.randrange(1, 12))) + "."
+                told.append((f * rows + n, text, rng.choice(["", "plain", "a\nb", '5" pipe'])))
+                writer.writerow(told[-1])
+                if n % 17 == 0:
+                    out.write("\n")
+    return [(n, text, other or None) for n, text, other in told]
+
+
+@pytest.mark.parametrize("size", ["300", "5000", "128m"])
+def test_values_span_lines_and_ranges(spark, tmp_path, small_splits, size):
+    want = spanning_csv(tmp_path / "d", 2, 400)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    df = rm.read_csv(spark, str(tmp_path / "d"))
+    assert dict(df.dtypes) == {"n": "bigint", "text": "string", "other": "string"}
+    placed = rm.with_row_index(df)
+    got = sorted((r[rm.POSITION], r.n, r.text, r.other) for r in placed.collect())
+    assert got == [(n, *row) for n, row in enumerate(want)]
+    assert sorted(map(tuple, df.collect())) == want
+
+
+def test_one_file_with_spanning_values_is_read_by_many_tasks(spark, tmp_path, small_splits):
+    want = spanning_csv(tmp_path / "d", 1, 3000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    lines = spark.read.text(str(tmp_path / "d"))
+    assert lines.rdd.getNumPartitions() > 3
+    states = range_states(_lines(spark, str(tmp_path / "d"))).collect()
+    assert len(states) == lines.rdd.getNumPartitions() and {s.inside for s in states} == {True, False}
+    df = rm.read_csv(spark, str(tmp_path / "d"), "n BIGINT, text STRING, other STRING")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")  # the stored records are several files
+    assert df.rdd.getNumPartitions() > 3 and df.count() == len(want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "csv" not in plan.lower().replace("from_csv", "") and "Python" not in plan
+    assert "Join" not in plan
+
+
+def test_a_value_longer_than_many_ranges(spark, tmp_path, small_splits):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    long = "\n".join(f'line {n} with "quotes", and commas' for n in range(600))
+    (tmp_path / "d").mkdir()
+    with open(tmp_path / "d" / "a.csv", "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([["n", "text"], [0, "x"], [1, long], [2, "y\nz"], [3, long]])
+    placed = rm.with_row_index(rm.read_csv(spark, str(tmp_path / "d")))
+    assert sorted(map(tuple, placed.select(rm.POSITION, "n", "text").collect())) == [
+        (0, 0, "x"), (1, 1, long), (2, 2, "y\nz"), (3, 3, long),
+    ]
+
+
+def test_spanning_csv_errors_and_edges(spark, tmp_path):
+    for name, text in (("a", 'n,t\n1,"x\ny"\n'), ("b", 't,n\n"x\ny",1\n')):
+        (tmp_path / f"{name}.csv").write_text(text)
+    with pytest.raises(ValueError, match="differ in their header"):
+        rm.read_csv(spark, str(tmp_path))
+    with pytest.raises(ValueError, match="header"):
+        rm.read_csv(spark, str(tmp_path / "a.csv"), "t STRING, n BIGINT")
+    (tmp_path / "c.csv").write_text('n,t\nx,"x\ny"\n')
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        rm.read_csv(spark, str(tmp_path / "c.csv"), "n BIGINT, t STRING").collect()
+    (tmp_path / "d.csv").write_text('n,"two\nlines"\n')
+    df = rm.read_csv(spark, str(tmp_path / "d.csv"))
+    assert df.columns == ["n", "two\nlines"] and rm.with_row_index(df).collect() == []
+    (tmp_path / "e.csv").write_bytes(b'n,t\r\n1,"x\r\ny"\r\n2,z\r\n')
+    df = rm.with_row_index(rm.read_csv(spark, str(tmp_path / "e.csv")))
+    assert [(r.n, r.t) for r in df.orderBy(rm.POSITION).collect()] == [(1, "x\ny"), (2, "z")]
