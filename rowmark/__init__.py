@@ -62,9 +62,11 @@ from rowmark.sources.archives import archive_documents, read_bundle_archives
 from rowmark.sources.bundles import (
     annotate_bundle,
     append_annotations,
+    append_new,
     create_bundle,
     export_snapshot,
     import_bundle,
+    known_ids,
     open_bundle,
     read_annotations,
     read_label_set,

@@ -532,6 +532,18 @@ def merge_feed(spark, sf):
     return t.flat(rm.read_annotations(spark, f"{root}/b").withColumn("pos", F.lit(0))).drop("pos")
 
 
+@query
+def known_ids(spark, sf):
+    """Ids of the incoming log that a bundle with two batches of events already holds."""
+    root = shared_folder(spark)
+    rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1"})
+    events = t.full_records(t.event_log(spark, sf)).orderBy("pos")
+    rm.append_annotations(events.where("task_type = 'preference'"), f"{root}/b")
+    rm.append_new(events.where("task_type <> 'preference'").withColumnRenamed("pos", rm.POSITION), f"{root}/b")
+    incoming = t.incoming_log(spark, sf).select(F.coalesce("annotation_id", F.lit("None")).alias("id"))
+    return rm.known_ids(spark, f"{root}/b", incoming)
+
+
 # --- summary ---------------------------------------------------------------------------
 
 

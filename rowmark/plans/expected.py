@@ -317,6 +317,7 @@ SQL: dict[str, str] = {
           (SELECT count(*) FROM (SELECT 1 FROM merged GROUP BY task_type, {_ROW_KEY}, row_hash
              HAVING count(DISTINCT label) > 1)) AS conflict_count,
           (SELECT count(*) FROM merged) AS written_count""",
+    "known_ids": f"WITH {_INCOMING_LOG} SELECT DISTINCT i.annotation_id AS id FROM incoming_log i SEMI JOIN event_log e USING (annotation_id)",
     "merge_feed": f"""
         WITH {_INCOMING_LOG}
         SELECT * EXCLUDE (pos) FROM (

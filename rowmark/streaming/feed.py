@@ -11,8 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rowmark.functions.identity import POSITION
 from rowmark.operators.annotate import ANNOTATION_SCHEMA
-from rowmark.operators.merge import import_new, log_order
-from rowmark.sources.bundles import append_annotations, read_log
+from rowmark.sources.bundles import append_new
 from rowmark.sources.files import read_small_text
 
 
@@ -21,8 +20,8 @@ def annotation_feed(
 ) -> DataFrame:
     """Annotation files as they arrive in a folder; a bad line stops the stream.
 
-    Each micro-batch of `merge_feed` reads the ids of the whole log once, so batches are not
-    cut small unless `files_per_batch` asks for it.
+    One micro-batch of `merge_feed` takes all files that have arrived, unless `files_per_batch`
+    asks for smaller ones.
     """
     reader = spark.readStream.schema(ANNOTATION_SCHEMA).option("mode", "FAILFAST")
     if files_per_batch is not None:
@@ -44,7 +43,10 @@ def recent_repeats_dropped(feed: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def merge_feed(feed: DataFrame, bundle_path: str, checkpoint: str) -> StreamingQuery:
-    """Append the feed's new records to a bundle, checked against its whole log.
+    """Append the feed's new records to a bundle, checked against all ids of its log.
+
+    The ids are looked up in the bundle's index, so a micro-batch reads no log line but those of
+    batches that were appended without being indexed.
 
     Runs over what has arrived, then stops. Of equal ids in a micro-batch the first in file order
     stays. A micro-batch is committed under a token of the files it was read from: run again, it
@@ -72,8 +74,7 @@ def merge_feed(feed: DataFrame, bundle_path: str, checkpoint: str) -> StreamingQ
             else:
                 query = json.loads(read_small_text(spark, f"{checkpoint}/metadata"))["id"]
                 token = hashlib.sha256(f"query {query} {number}".encode()).hexdigest()
-            new = import_new(read_log(spark, bundle_path), placed)
-            append_annotations(new.orderBy(*log_order()), bundle_path, token)
+            append_new(placed, bundle_path, token)
         finally:
             placed.unpersist()
 
