@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rowmark.functions.identity import POSITION
 from rowmark.functions.text import label_key, trimmed
 from rowmark.operators.merge import conflict_count
+from rowmark.sources.positions import rows_at
 
 FACETS = ("label", "annotator", "task_type")
 SAMPLE_SIZE = 5
@@ -34,6 +35,8 @@ def facet_filter(
     annotator: str | None = None,
     task_type: str | None = None,
 ) -> DataFrame:
+    if not any((text or "").strip() for text in (label, annotator, task_type)):
+        return annotations  # still known as a log just read
     return annotations.filter(facet_condition(label, annotator, task_type))
 
 
@@ -88,7 +91,12 @@ def record_counts(
 def sample_annotations(
     annotations: DataFrame, n: int = SAMPLE_SIZE, position: str = POSITION
 ) -> DataFrame:
-    """First n records in log order."""
+    """First n records in log order.
+
+    Of a log as it was read only the files that hold them are read.
+    """
+    if n > 0 and position == POSITION and (held := rows_at(annotations, 0, n)) is not None:
+        return held
     return annotations.orderBy(position).limit(max(n, 0))
 
 

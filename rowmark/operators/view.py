@@ -14,6 +14,7 @@ from rowmark.checkpoints import shared_folder
 from rowmark.functions.identity import POSITION, column, data_columns, unused_name
 from rowmark.functions.jsontext import json_text
 from rowmark.operators.sizes import BROADCAST_ROWS
+from rowmark.sources.positions import rows_at
 
 # Rows on a page and in a sample.
 PAGE_SIZE = 200
@@ -21,6 +22,10 @@ SAMPLE_SIZE = 5
 
 VIEW_RANK = "_view_rank"
 
+#: Pages from here on are narrowed by counting; pivots of a round, and rows sampled for them.
+DEEP_OFFSET = 10_000
+PIVOTS, SAMPLED = 64, 1024
+
 
 def select_visible(
     df: DataFrame, names: Sequence[str] | None, source_order: bool = False
@@ -79,17 +84,25 @@ def page(
 ) -> DataFrame:
     """Rows [offset, offset + limit) of the view.
 
-    A top-k over sort column and position alone finds the rows of the page; only those are then
-    read whole. The narrow top-k grows with the offset: to show many pages from deep inside a
-    large view keep a `ranked_view`, or follow on from a shown row with `page_after`.
+    In source order, a frame just as `with_row_index` returned it gives its page from the files
+    that hold those positions. Any other page is found by a top-k over sort column and position
+    alone; only its rows are then read whole. From DEEP_OFFSET on the view is first narrowed to
+    rows from shortly before the page on, by counting (see `deep_start`), so the top-k does not
+    grow with the offset.
     """
     if limit <= 0:
         return df.limit(0)
     first = max(offset, 0)
     if POSITION not in df.columns:
         return sort_rows(df, sort, descending).offset(first).limit(limit)
+    if sort not in data_columns(df):
+        sort = None
+    if sort is None and (held := rows_at(df, first, limit)) is not None:
+        return held
     wanted = unused_name(df, "_wanted")
-    narrow = df.select(column(POSITION), *([column(sort)] if sort in data_columns(df) else []))
+    narrow = df.select(column(POSITION), *([column(sort)] if sort is not None else []))
+    if first >= DEEP_OFFSET:
+        narrow, first = deep_start(narrow, first, max(limit, PAGE_SIZE), sort, descending)
     places = sort_rows(narrow, sort, descending).offset(first).limit(limit).select(column(POSITION).alias(wanted))
     if limit <= BROADCAST_ROWS:
         places = F.broadcast(places)  # one number per row of the page
@@ -97,6 +110,50 @@ def page(
     return sort_rows(shown, sort, descending).limit(limit)
 
 
+def _not_before(df: DataFrame, sort: str | None, descending: bool, value: Any, position: int) -> Column:
+    """Whether a row is the one with this sort value and position, or comes after it in the view."""
+    later = column(POSITION) >= position
+    if sort is None:
+        return later
+    key = _sort_key(df, sort)
+    if value is None:
+        return key.isNull() & later
+    at = F.lit(value).cast(df.select(key).schema[0].dataType)
+    further = key < at if descending else key > at
+    return F.coalesce(further | ((key == at) & later), F.lit(True))  # nulls come last
+
+
+def deep_start(
+    narrow: DataFrame, offset: int, near: int, sort: str | None = None, descending: bool = False
+) -> tuple[DataFrame, int]:
+    """The rows of a view from a row on that lies less than `near` rows before `offset`, if there
+    is such a pivot, and how many of them come before `offset`.
+
+    Rank selection without a sort: a sample of the range at hand (the rows with the smallest
+    hashes of their positions) gives some pivots, one pass counts the rows before each of them,
+    and the range between the two pivots around the offset is the next one. Every round divides
+    the range by about PIVOTS; nothing is shuffled but counts and the sample.
+    """
+    before, start, end, round_ = 0, None, None, 0
+    while offset - before >= near:
+        here = narrow if start is None else narrow.filter(start)
+        here = here if end is None else here.filter(~end)
+        drawn = here.orderBy(F.xxhash64(F.lit(round_), column(POSITION))).limit(SAMPLED)
+        key = _sort_key(narrow, sort) if sort is not None else F.lit(None)
+        sample = sort_rows(drawn, sort, descending).select(key.alias("key"), column(POSITION).alias("place")).collect()
+        if start is None and len(sample) < SAMPLED:
+            break  # the whole view is hardly more than a page
+        values = [(r.key, r.place) for r in sample[:: max(1, len(sample) // PIVOTS)]]
+        tests = [_not_before(narrow, sort, descending, *v) for v in values]
+        counts = here.agg(*(F.count_if(~test).alias(f"n{i}") for i, test in enumerate(tests))).first() if tests else []
+        fitting = [i for i, n in enumerate(counts) if before + n <= offset]
+        if not fitting or not counts[fitting[-1]]:
+            break  # no pivot lies between the start of the range and the offset
+        start, end = tests[fitting[-1]], tests[fitting[-1] + 1] if fitting[-1] + 1 < len(tests) else end
+        before, round_ = before + counts[fitting[-1]], round_ + 1
+    return (narrow if start is None else narrow.filter(start)), offset - before
+
+
 def page_after(
     df: DataFrame,
     last_position: int,
@@ -106,14 +163,8 @@ def page_after(
     last_value: Any = None,
 ) -> DataFrame:
     """The page that follows the row at `last_position` (with sort value `last_value`)."""
-    behind = column(POSITION) > last_position
-    if sort is not None and sort in data_columns(df):
-        key = _sort_key(df, sort)
-        if last_value is None:
-            behind = key.isNull() & behind
-        else:
-            further = key < F.lit(last_value) if descending else key > F.lit(last_value)
-            behind = further | key.isNull() | ((key == F.lit(last_value)) & behind)
+    known = sort if sort is not None and sort in data_columns(df) else None
+    behind = _not_before(df, known, descending, last_value, last_position + 1)
     return page(df.filter(behind), 0, limit, sort, descending)
 
 

@@ -346,6 +346,22 @@ def page(spark, sf):
     return rm.page(indexed(spark, sf, "orders"), 400, 200, "o_totalprice").drop(rm.POSITION)
 
 
+@query
+def page_deep(spark, sf):
+    """A page behind five sixths of the rows."""
+    rows = indexed(spark, sf, "lineitem")
+    return rm.page(rows, rows.count() * 5 // 6, 200, "l_extendedprice").drop(rm.POSITION)
+
+
+@query
+def page_of_parts(spark, sf):
+    """A page in source order from the middle of 20 files."""
+    folder = shared_folder(spark)
+    t.table(spark, sf, "orders").repartitionByRange(20, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(folder)
+    rows = rm.with_row_index(spark.read.parquet(folder))
+    return rm.page(rows, 777, 200)
+
+
 @query
 def page_after(spark, sf):
     """The page behind the last row of the first page."""

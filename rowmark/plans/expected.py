@@ -232,6 +232,12 @@ SQL: dict[str, str] = {
               FROM customer)""",
     "page": """
         SELECT * FROM orders ORDER BY o_totalprice NULLS LAST, o_orderkey LIMIT 200 OFFSET 400""",
+    "page_deep": """
+        SELECT * FROM lineitem ORDER BY l_extendedprice, l_orderkey, l_linenumber
+        LIMIT 200 OFFSET (SELECT count(*) * 5 // 6 FROM lineitem)""",
+    "page_of_parts": """
+        SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS _row_index, * FROM orders
+        ORDER BY o_orderkey LIMIT 200 OFFSET 777""",
     "page_after": """
         SELECT * FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 200 OFFSET 200""",
     "page_at_row": """

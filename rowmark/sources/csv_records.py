@@ -142,7 +142,9 @@ def csv_records(spark: SparkSession, path: str) -> CsvRecords:
     folder = shared_folder(spark)
     _records(lines, states).write.option("compression", "zstd").parquet(folder)
     stored = spark.read.parquet(folder)
-    records = stored.where("record > 0 AND NOT open").select(*_PLACE, "text").unionByName(_stitched(stored))
+    joined = shared_folder(spark)
+    _stitched(stored).write.parquet(joined)
+    records = stored.where("record > 0 AND NOT open").select(*_PLACE, "text").unionByName(spark.read.parquet(joined))
     header = (F.col("start") == 0) & (F.col("record") == 1)
     headers = [row.text for row in records.where(header).select("text").distinct().limit(2).collect()]
     names = [next(csv.reader([text], doublequote=True)) for text in headers]

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rowmark.checkpoints import checkpoint_folder
-from rowmark.functions.identity import POSITION, unused_name
+from rowmark.functions.identity import POSITION, column, unused_name
 
 _PIECES_PIN = "spark.sql.files.minPartitionNum"
-_LATER = "_rowmark_placed_later"
+#: Kept with frames, so that positions and pages can go back to the files. Frames made from them lack it.
+_LATER, _SOURCE = "_rowmark_placed_later", "_rowmark_source"
 
 
 def with_row_index(df: DataFrame) -> DataFrame:
@@ -23,16 +24,50 @@ def with_row_index(df: DataFrame) -> DataFrame:
     if later is not None:
         rows, place = later
         piece = {"_file": F.col(place)["file"], "_start": F.col(place)["start"]}
+        setattr(rows, _LATER, later)
         return _placed(rows, piece, F.col(place)["record"].cast("long")).drop(place)
     known = df.select("_metadata").schema["_metadata"].dataType.fieldNames()
     if "row_index" not in known:
         return _indexed_splits(df)
     in_file = F.col("_metadata.row_index")
     if len(df.inputFiles()) <= 1:
-        return df.select("*", in_file.alias(POSITION))
+        placed = df.select("*", in_file.alias(POSITION))
+        setattr(placed, _SOURCE, (df, None))
+        return placed
     return _placed(df, {"_file": F.col("_metadata.file_path")}, in_file)
 
 
+def rows_at(placed: DataFrame, first: int, limit: int) -> DataFrame | None:
+    """Rows at positions [first, first + limit) in order, read from the files that hold them alone.
+
+    None if the frame is not just what `with_row_index` returned: rows may then be missing. The
+    counts of rows per file that positions are made of tell the files, at most one for each row.
+    """
+    source = getattr(placed, _SOURCE, None)
+    if source is None:
+        return None
+    df, offsets = source
+    position = column(POSITION)
+    if offsets is None:
+        return placed.filter(position.between(first, first + limit - 1)).orderBy(position).limit(limit)
+    meets = (F.col("_before") < first + limit) & (F.col("_before") + F.col("_rows") > first)
+    names = ("_piece_file", "_before", "_first", "_rows")
+    pieces = offsets.filter(meets).select(*names).orderBy("_before").limit(limit).collect()
+    if not pieces:
+        return placed.limit(0)
+    read = df.filter(F.col("_metadata.file_path").isin(sorted({p["_piece_file"] for p in pieces})))
+    if "row_index" in df.select("_metadata").schema["_metadata"].dataType.fieldNames():
+        shifts = F.create_map(*(F.lit(x) for p in pieces for x in (p["_piece_file"], p["_before"] - p["_first"])))
+        found = read.select("*", (F.col("_metadata.row_index") + shifts[F.col("_metadata.file_path")]).alias(POSITION))
+    else:
+        # Rows are numbered by split: count again, in these files alone, from their first row on.
+        files = [p["_piece_file"] for p in pieces]
+        base = offsets.filter(F.col("_piece_file") == files[0]).agg(F.min("_before")).first()[0]
+        found = with_row_index(read)
+        found = found.withColumn(POSITION, position + base)
+    return found.select(*placed.columns).filter(position.between(first, first + limit - 1)).orderBy(position).limit(limit)
+
+
 def placed_later(df: DataFrame, rows: DataFrame, place: str) -> DataFrame:
     """`df` as it is; `with_row_index` takes its positions from `rows`, the same rows with a column
     `place` (struct of file, start, record: the record's number within that range of the file)."""
@@ -70,12 +105,13 @@ def _placed(df: DataFrame, piece: dict[str, Column], number: Column) -> DataFram
     rows_before = F.sum("_rows").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     # One short row per piece, counted once and kept.
     checkpoint_folder(df.sparkSession)
-    offsets = pieces.select(*keys, (F.coalesce(rows_before, F.lit(0)) - F.col("_first")).alias(shift)).checkpoint()
-    return (
-        placed.join(offsets, keys)
-        .withColumn(POSITION, F.col(shift) + F.col(row))
-        .drop(*keys, row, shift)
-    )
+    before = F.coalesce(rows_before, F.lit(0)).alias("_before")
+    counted = pieces.select(*keys, file.alias("_piece_file"), before, "_first", "_rows").checkpoint()
+    offsets = counted.select(*keys, (F.col("_before") - F.col("_first")).alias(shift))
+    indexed = placed.join(offsets, keys).withColumn(POSITION, F.col(shift) + F.col(row)).drop(*keys, row, shift)
+    if not hasattr(df, _LATER):
+        setattr(indexed, _SOURCE, (df, counted))
+    return indexed
 
 
 def pin_splits(spark: SparkSession) -> None:

@@ -1,8 +1,12 @@
+import random
+import re
+
 import pytest
 from conftest import values
 from pyspark.sql import functions as F
 
 import rowmark as rm
+from rowmark.operators import view
 from rowmark.operators.view import VIEW_RANK, page_start
 
 
@@ -112,3 +116,55 @@ def test_deep_pages_equal_those_of_a_stored_view(spark):
     page = rm.page(df, 101_000, 50, "v", True)
     assert page.columns == df.columns
     assert page.collect() == rm.ranked_view(df, "v", True).page(101_000, 50).collect()
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("sort", ["n", "s", "v", "x", None])
+def test_deep_pages(spark, monkeypatch, sort, descending):
+    monkeypatch.setattr(view, "DEEP_OFFSET", 10)
+    monkeypatch.setattr(view, "PAGE_SIZE", 4)
+    monkeypatch.setattr(view, "PIVOTS", 5)
+    monkeypatch.setattr(view, "SAMPLED", 40)
+    rng = random.Random(5)
+    data = [
+        (i, rng.choice([None, 1, 1, 1, 2, rng.randrange(50)]), rng.choice(["a", "b", "é", None]), rng.choice([float("nan"), 0.5, -1e9, None]))
+        for i in range(700)
+    ]
+    df = spark.createDataFrame(data, f"{rm.POSITION} BIGINT, n BIGINT, s STRING, x DOUBLE").repartition(3)
+    df = df.withColumn("v", F.to_variant_object(F.struct("s", "n")))
+    whole = order(rm.sort_rows(df, sort, descending))
+    for offset in (11, 690, 5000):
+        assert order(rm.page(df, offset, 4, sort, descending)) == whole[offset : offset + 4], offset
+    narrow, left = view.deep_start(df, 600, 4, sort, descending)
+    assert left < 4 and narrow.count() == 700 - 600 + left
+
+
+def test_deep_pages_keep_little_in_one_task(spark):
+    rows = rm.with_row_index(spark.read.parquet("/root/testdata/sf0.1/lineitem.parquet"))
+    page = rm.page(rows, 500_000, 200, "l_extendedprice")
+    kept = [int(n) for n in re.findall(r"TakeOrderedAndProject\(limit=(\d+)", page._jdf.queryExecution().executedPlan().toString())]
+    assert kept and max(kept) < 400
+    assert page.count() == 200
+
+
+@pytest.mark.parametrize("fmt", ["parquet", "json"])
+def test_first_rows_are_read_from_the_files_that_hold_them(spark, tmp_path, fmt):
+    folder = str(tmp_path / "d")
+    rows = spark.range(0, 4000, 1, 20).select("id", F.concat(F.lit("t"), "id").alias("t"))
+    rows.write.format(fmt).save(folder)
+    df = spark.read.parquet(folder) if fmt == "parquet" else rm.read_jsonl(spark, folder, "id BIGINT, t STRING")
+    placed = rm.with_row_index(df)
+    for path in (tmp_path / "d").glob("part-000*"):
+        if not path.name.startswith(("part-00000", "part-00003", "part-00004")):
+            path.write_text("no rows")  # whoever reads these fails
+    for crc in (tmp_path / "d").glob(".*.crc"):
+        crc.unlink()
+    first = rm.sample_rows(placed)
+    assert first.columns == placed.columns and values(first, "id") == [0, 1, 2, 3, 4]
+    assert values(rm.page(placed, 790, 20), "id") == list(range(790, 810))
+    assert values(rm.page(placed, 790, 20), rm.POSITION) == list(range(790, 810))
+    assert rm.page(placed, 5000, 20).collect() == []
+    plan = rm.page(placed, 10, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and (fmt == "json" or "Join" not in plan)
+    with pytest.raises(Exception):
+        rm.page(placed.filter("id >= 0"), 0, 5).collect()  # filtered: rows may lie anywhere
