@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -140,6 +141,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+#: Longer words are hashed by blake2b: sums of powers modulo 2**64 cannot tell long alternating patterns apart.
+LONG_WORD = 48
+
+
 def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of each word's bytes, computed over about PIECE_BYTES at a time."""
     out, i = np.empty(len(begin), np.uint64), 0
@@ -148,6 +153,9 @@ def word_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int
         low, high = begin[i], end[j - 1]
         out[i:j] = range_hashes(data[low:high], begin[i:j] - low, end[i:j] - low, which)
         i = j
+    for i in np.flatnonzero(end - begin > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[begin[i] : end[i]], digest_size=8, salt=bytes([which])).digest()
+        out[i] = int.from_bytes(digest, "little")
     return out
 
 

@@ -64,6 +64,8 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
+#: What swallows the rest of a page without a `>`.
+_UNCLOSED = re.compile(r"<[!?]")
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WHITE = re.compile(r"[\x20\x09-\x0D]+")
@@ -71,6 +73,13 @@ _WHITE = re.compile(r"[\x20\x09-\x0D]+")
 Path = tuple[str, ...]
 
 
+def _cut_short(tag: str) -> bool:
+    """Whether a comment or CDATA section was not closed."""
+    if tag.startswith("<!--"):
+        return len(tag) < 7 or not tag.endswith("-->")
+    return tag.startswith("<![CDATA[") and not tag.endswith("]]>")
+
+
 @dataclass(slots=True)
 class Block:
     """Text of a block element: its path, whether it lies in an article (2) or main (1) element."""
@@ -199,10 +208,15 @@ def _blocks(page: str, inline_classes: bool) -> list[Block]:
                 linked += len(text)
 
     position, lowered = 0, None
+    closed = page.rfind(">") + 1  # no tag ends behind this: nothing there is searched for one
     while True:
-        found = _TAG.search(page, position)
+        found = _TAG.search(page, position, closed) if position < closed else None
         if found is None:
-            add(page[position:])
+            left = _UNCLOSED.search(page, position)
+            add(page[position:] if left is None else page[position : left.start()])
+            break
+        if _cut_short(found[0]):  # a comment that goes on to the end of the page
+            add(page[position : found.start()])
             break
         if found.start() > position:
             add(page[position : found.start()])

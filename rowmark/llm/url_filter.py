@@ -23,7 +23,9 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+#: Comments and scripts, and a link in what follows a `<`.
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1|\z)"
+_LINK = r"""(?is)^a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 
 
 def host_of(url: Column) -> Column:
@@ -48,9 +50,16 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, links) of links between different hosts in the pages' html."""
-    links = F.regexp_extract_all(F.coalesce(F.col("html"), F.lit("")), F.lit(_LINK), F.lit(1))
+    """(src, dst, links) of links between different hosts in the pages' html.
+
+    Links without a scheme (//host/...) count, links in comments and scripts do not. The html is cut
+    at each `<` first, so that every part is searched once, whatever is left unclosed.
+    """
+    shown = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), _HIDDEN, " ")
+    tags = F.filter(F.split(shown, "<"), lambda tag: F.lower(F.substring(tag, 1, 1)) == "a")
+    links = F.filter(F.transform(tags, lambda tag: F.regexp_extract(tag, _LINK, 1)), lambda link: link != "")
     found = pages.select(host_of(F.col("url")).alias("src"), F.explode(links).alias("link"))
+    found = found.withColumn("link", F.when(F.startswith("link", F.lit("//")), F.concat(F.lit("http:"), "link")).otherwise(F.col("link")))
     edges = found.select("src", host_of(F.col("link")).alias("dst"))
     return edges.where("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("links"))
 
