@@ -71,6 +71,7 @@ from rowmark.sources.bundles import (
     read_annotations,
     read_label_set,
     summarize_bundle,
+    update_label_set,
     validate_bundle,
     write_label_set,
 )

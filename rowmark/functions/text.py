@@ -20,11 +20,23 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANKS))
 
 
-def label_key(c: Column) -> Column:
-    """Labels that differ only in case or surrounding blanks share this key."""
+def lowered(c: Column) -> Column:
+    """Text as facets compare it: lower case, without surrounding blanks."""
     return F.lower(trimmed(c))
 
 
+def label_key(c: Column) -> Column:
+    """Labels that differ only in case or surrounding blanks share this key.
+
+    Lower, upper and again lower case bring together what full case folding does (`Straße`,
+    `STRASSE`), but for the dotless i, which folds to itself and is kept apart.
+    """
+    # The replacements stand between the conversions, which would be reduced to the outermost otherwise.
+    dotless, mark = F.lit("\u0131"), F.lit("\uffff")
+    upper = F.upper(F.replace(F.lower(trimmed(c)), dotless, mark))
+    return F.lower(F.replace(upper, mark, dotless))
+
+
 def cell_preview(df: DataFrame, name: str, length: int = PREVIEW_LENGTH) -> Column:
     """One-line cell: empty for null, JSON for nested values, cut with `...` when long."""
     text = F.coalesce(display_text(column(name), df.schema[name].dataType), F.lit(""))

@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rowmark.functions.identity import POSITION
-from rowmark.functions.text import label_key, trimmed
+from rowmark.functions.text import lowered, trimmed
 from rowmark.operators.merge import conflict_count
 from rowmark.sources.positions import rows_at
 
@@ -22,7 +22,7 @@ def facet_condition(
     """Records whose facets equal the given values, ignoring case and outer blanks."""
     asked = {"label": label, "annotator": annotator, "task_type": task_type}
     tests = [
-        label_key(F.coalesce(F.col(name), F.lit(""))) == value.strip().lower()
+        lowered(F.coalesce(F.col(name), F.lit(""))) == value.strip().lower()
         for name, value in asked.items()
         if value is not None
     ]

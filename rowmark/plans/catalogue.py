@@ -168,6 +168,15 @@ def canonical_json_nested(spark, sf):
     return nested.select("vec_id", rm.canonical_json(nested).alias("row_json"))
 
 
+@query
+def canonical_json_vectors(spark, sf):
+    """Whole embeddings, as doubles, rendered and read back number by number."""
+    vectors = t.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    text = vectors.select("vec_id", rm.canonical_json(vectors).alias("row_json"))
+    numbers = F.from_json("row_json", "embedding array<double>, vec_id bigint")
+    return text.select("vec_id", numbers["embedding"].alias("embedding"), F.substring("row_json", 1, 14).alias("head"))
+
+
 @query
 def row_hash(spark, sf):
     parts = []
@@ -430,6 +439,30 @@ def label_vocab(spark, sf):
     return rm.label_vocab(t.spelled_labels(spark, sf))
 
 
+@query
+def label_folding(spark, sf):
+    """Labels that only full case folding brings together."""
+    parts = t.table(spark, sf, "part").select(
+        F.col("p_type").alias("task_type"), F.col("p_partkey").alias("pos"),
+        F.when(F.col("p_size") % 3 == 0, F.concat(F.lit(" STRASSE "), "p_brand"))
+        .when(F.col("p_size") % 3 == 1, F.concat(F.lit("Stra\u00dfe "), "p_brand"))
+        .otherwise(F.concat(F.lit("stra\u1e9ee "), "p_brand")).alias("label"),
+    )
+    return rm.label_vocab(parts)
+
+
+@query
+def label_versions(spark, sf):
+    """Label set of a bundle after three annotation runs, each of which brings labels of its own."""
+    root = shared_folder(spark)
+    rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1"}, labels=["keep"])
+    records = rm.row_records(indexed(spark, sf, "orders"), "o_orderkey")
+    for name in ("o_orderstatus", "o_orderpriority"):
+        chosen = F.concat(F.lit(f"{name} "), F.variant_get("row_data", f"$.{name}", "string"))
+        rm.annotate_bundle(spark, f"{root}/b", records, chosen, annotator="alice")
+    return rm.read_label_set(spark, f"{root}/b").labels.select("task_type", "label")
+
+
 @query
 def labels_by_task(spark, sf):
     return rm.labels_of_task(rm.label_vocab(t.spelled_labels(spark, sf)), " preference ")
@@ -604,6 +637,18 @@ def bundle_summary(spark, sf):
     return rm.summary(t.incoming_log(spark, sf), task_type="PREFERENCE")
 
 
+@query
+def bundle_report(spark, sf):
+    """The whole report of a bundle on storage, but for what differs from run to run."""
+    root = shared_folder(spark)
+    rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1", "source_type": "hf"}, labels=["Click", "view"])
+    rm.append_annotations(t.full_records(t.incoming_log(spark, sf)).orderBy("pos"), f"{root}/b")
+    report = rm.summarize_bundle(spark, f"{root}/b", 3, task_type="PREFERENCE")
+    own = F.col("name").isin("bundle_id", "created_at") & (F.col("section") == "manifest")
+    sample = F.col("section") == "sample_records"
+    return report.where(~own).withColumn("value", F.when(sample, F.get_json_object("value", "$.annotation_id")).otherwise(F.col("value")))
+
+
 # --- text functions --------------------------------------------------------------------
 
 

@@ -174,6 +174,8 @@ SQL: dict[str, str] = {
         SELECT vec_id, CAST(to_json({dims: len(embedding), meta: {"inner": {label: label},
           z: [CAST(label AS BIGINT), vec_id]}, vec_id: vec_id}) AS VARCHAR) AS row_json
         FROM embeddings""",
+    "canonical_json_vectors": """
+        SELECT vec_id, embedding::DOUBLE[] AS embedding, '{"embedding":[' AS head FROM embeddings""",
     "row_hash": f"""
         SELECT 'documents' AS source, doc_id AS id, {_hash(_DOCUMENT_JSON)} AS row_hash FROM documents
         UNION ALL SELECT 'customer', c_custkey, {_hash(_CUSTOMER_JSON)} FROM customer
@@ -267,6 +269,16 @@ SQL: dict[str, str] = {
         WITH {_SPELLED}
         SELECT task_type, pos - 1000000000000 AS pos, label FROM spellings WHERE rank = 1""",
     "label_vocab": f"WITH {_SPELLED} SELECT * FROM vocab",
+    "label_folding": """
+        SELECT task_type, min(pos) AS pos, arg_min(label, pos) AS label FROM (
+          SELECT p_type AS task_type, p_partkey AS pos, p_brand,
+            CASE p_size % 3 WHEN 0 THEN 'STRASSE ' WHEN 1 THEN 'Stra\u00dfe ' ELSE 'stra\u1e9ee ' END || p_brand AS label
+          FROM part)
+        GROUP BY task_type, p_brand""",
+    "label_versions": """
+        SELECT 'preference' AS task_type, label FROM (
+          SELECT 'keep' AS label UNION SELECT 'o_orderstatus ' || o_orderstatus FROM orders
+          UNION SELECT 'o_orderpriority ' || o_orderpriority FROM orders)""",
     "labels_by_task": f"WITH {_SPELLED} SELECT * FROM vocab WHERE task_type = 'preference'",
     "label_codes": f"""
         WITH {_BRANDS}, keyed AS ({_codes(1, 4, "arg_min")}) {_free_codes("brands", "keyed")}
@@ -406,3 +418,18 @@ SQL: dict[str, str] = {
           '_')) AS slug FROM part""",
 }
 SQL["page_at_rank"] = SQL["page_at_row"]
+
+_TOLD = {
+    ("manifest", "schema_version"): "1.0", ("manifest", "dataset.source_type"): "hf", ("manifest", "dataset.source_uri"): "null",
+    ("manifest", "dataset.split"): "null", ("manifest", "dataset.fingerprint"): "sha256:f1", ("manifest", "dataset.row_id_field"): "null",
+    ("manifest", "dataset.key_fields"): "[]", ("filters", "task_type"): "PREFERENCE", ("label_set", "active_task_type"): "preference",
+    ("labels.preference", "0"): "Click", ("labels.preference", "1"): "view",
+    ("hotkeys.preference", "1"): "Click", ("hotkeys.preference", "2"): "view",
+}
+_VALUES = ", ".join(str((*name, value)) for name, value in _TOLD.items())
+SQL["bundle_report"] = f"""{SQL["bundle_summary"]}
+        UNION ALL FROM (VALUES {_VALUES})
+        UNION ALL FROM (
+          SELECT 'sample_records', CAST(place AS VARCHAR), annotation_id FROM (
+            SELECT *, row_number() OVER (ORDER BY pos) - 1 AS place FROM incoming_log)
+          WHERE task_type = 'preference' ORDER BY place LIMIT 3)"""

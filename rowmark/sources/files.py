@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
@@ -59,14 +61,40 @@ def read_small_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first().value
 
 
-def write_small_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file in one step: readers see the old file or the new one."""
-    temporary = f"{path}.writing"
+def write_small_text(spark: SparkSession, path: str, text: str, replace: bool = True) -> bool:
+    """Write a small file in one step: readers see the old file or the new one, whole.
+
+    With `replace` off an existing file stays; of several writers one succeeds.
+    """
+    temporary = f"{path}.{uuid.uuid4().hex}.writing"
     stream = _system(spark, path).create(_path(spark, temporary), True)
     try:
         stream.write(bytearray(text.encode("utf-8")))
     finally:
         stream.close()
-    if exists(spark, path):
-        delete(spark, path)
-    rename(spark, temporary, path)
+    try:
+        _rename_whole(spark, temporary, path, replace)
+    except Py4JJavaError as error:
+        if replace or "AlreadyExists" not in str(error.java_exception.toString()):
+            raise
+        delete(spark, temporary)
+        return False
+    return True
+
+
+def _rename_whole(spark: SparkSession, old: str, new: str, replace: bool) -> None:
+    """Rename a file onto another name, atomically where the storage can do so."""
+    jvm = spark._jvm
+    choice = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(choice, 1)
+    options[0] = choice.OVERWRITE if replace else choice.NONE
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    try:
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(_path(spark, new).toUri(), conf)
+    except Py4JJavaError:  # a storage that knows plain renames only
+        if replace and exists(spark, new):
+            delete(spark, new)
+        if not rename(spark, old, new):
+            raise
+        return
+    context.rename(_path(spark, old), _path(spark, new), options)

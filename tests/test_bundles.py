@@ -1,6 +1,8 @@
 import io
 import json
 import tarfile
+import time
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from conftest import values
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 import rowmark as rm
 from rowmark.operators.annotate import ANNOTATION_SCHEMA
+from rowmark.operators.labels import merge_label_sets, new_label_set
 from rowmark.sources import files
 from rowmark.sources.bundles import annotate_bundle, read_log_lines
 
@@ -327,3 +330,81 @@ def test_spellings_collapse_when_a_merged_set_is_read_again(spark, bundle):
     target = bundle("t", labels=("Good", "bad"))
     rm.import_bundle(spark, target, bundle("s", labels=("good", "new")))
     assert task_labels(rm.read_label_set(spark, target), "preference") == ["Good", "bad", "new"]
+
+
+def _records(spark, tmp_path, n):
+    folder = str(tmp_path / "rows")
+    if not (tmp_path / "rows").exists():
+        spark.range(n).coalesce(1).write.parquet(folder)
+    return rm.row_records(rm.with_row_index(spark.read.parquet(folder)), "id")
+
+
+def test_simultaneous_runs_keep_the_labels_of_both(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rm.create_bundle(spark, path, {"fingerprint": "f"}, labels=["old"])
+    records = _records(spark, tmp_path, 3)
+    with ThreadPoolExecutor(3) as pool:
+        made = list(pool.map(lambda label: rm.annotate_bundle(spark, path, records, label).count(), ["one", "two", "three"]))
+    assert made == [3, 3, 3]
+    after = rm.read_label_set(spark, path)
+    assert sorted(values(after.labels, "label")) == ["old", "one", "three", "two"]
+    assert sorted(values(after.keys, "key")) == ["1", "2", "3", "4"]
+    assert rm.read_annotations(spark, path).count() == 9
+
+
+def test_a_writer_that_was_overtaken_joins_the_later_version(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rm.create_bundle(spark, path, {"fingerprint": "f"}, labels=["old"])
+    tries = []
+
+    def adding(now, label):
+        return merge_label_sets(now, new_label_set(spark, "preference", [label]))
+
+    def slow(now):
+        if not tries:  # another one commits while this one is at work
+            tries.append(rm.update_label_set(spark, path, lambda then: adding(then, "fast")))
+        return adding(now, "slow")
+
+    after = rm.update_label_set(spark, path, slow)
+    assert sorted(values(after.labels, "label")) == ["fast", "old", "slow"]
+    assert sorted(values(rm.read_label_set(spark, path).labels, "label")) == ["fast", "old", "slow"]
+
+
+@pytest.mark.parametrize("left", ["staged", "claim", "version"])
+def test_a_writer_that_died_leaves_a_valid_label_set(spark, tmp_path, left):
+    path = str(tmp_path / "b")
+    rm.create_bundle(spark, path, {"fingerprint": "f"}, labels=["old"])
+    rm.update_label_set(spark, path, lambda now: merge_label_sets(now, new_label_set(spark, "preference", ["new"])))
+    folder = tmp_path / "b" / "_label_sets"
+    number = "000000000002"
+    if left == "staged":
+        (folder / "_staged-x").mkdir()
+        (folder / "_staged-x" / "part-0.json").write_text("half a li")
+    else:
+        (folder / "_commits" / f"{number}.claim").write_text("")
+    if left == "version":
+        (folder / f"version-{number}").mkdir()
+        (folder / f"version-{number}" / "part-0.json").write_text("half a li")
+    assert sorted(values(rm.read_label_set(spark, path).labels, "label")) == ["new", "old"]
+    rm.update_label_set(spark, path, lambda now: merge_label_sets(now, new_label_set(spark, "preference", ["more"])))
+    assert sorted(values(rm.read_label_set(spark, path).labels, "label")) == ["more", "new", "old"]
+    rm.export_snapshot(spark, path, str(tmp_path / "copy"))
+    assert sorted(values(rm.read_label_set(spark, str(tmp_path / "copy")).labels, "label")) == ["more", "new", "old"]
+
+
+def test_small_files_are_replaced_whole(spark, tmp_path):
+    path = str(tmp_path / "f.json")
+    assert files.write_small_text(spark, path, "one", replace=False)
+    assert not files.write_small_text(spark, path, "two", replace=False)
+    assert files.read_small_text(spark, path) == "one"
+    assert files.write_small_text(spark, path, "three") and files.read_small_text(spark, path) == "three"
+    assert files.child_names(spark, str(tmp_path)) == ["f.json"]
+
+
+def test_annotate_bundle_returns_what_was_appended(spark, tmp_path):
+    path = str(tmp_path / "b")
+    rm.create_bundle(spark, path, {"fingerprint": "f"})
+    made = rm.annotate_bundle(spark, path, _records(spark, tmp_path, 4), "skip")
+    time.sleep(1.1)
+    ids = ["annotation_id", "created_at", "label"]
+    assert sorted(map(tuple, made.select(*ids).collect())) == sorted(map(tuple, rm.read_annotations(spark, path).select(*ids).collect()))

@@ -160,3 +160,12 @@ def test_switching_tasks_and_adding_labels(spark, labels):
     assert named(other.labels, "preference") == named(more.labels)
     with pytest.raises(ValueError, match="Task type cannot be empty"):
         rm.with_task(more, " ")
+
+
+def test_label_keys_fold_case(spark):
+    spelt = ["Straße", "STRASSE", "straẞe", " strasse ", "ΌΔΟΣ", "όδος", "ﬁne", "FINE", "ı", "i", "I", "İ", "ŉ", "ʼN", "K", "k"]
+    df = spark.createDataFrame([(s,) for s in spelt], "s string")
+    keys = {r.s: r.key for r in df.select("s", rm.label_key(F.col("s")).alias("key")).collect()}
+    for a in spelt:
+        for b in spelt:
+            assert (keys[a] == keys[b]) == (a.strip().casefold() == b.strip().casefold()), (a, b)
