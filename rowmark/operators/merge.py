@@ -104,6 +104,26 @@ def conflict_count(annotations: DataFrame, key: Column | None = None) -> DataFra
     return conflict_groups(annotations, key).agg(F.count(F.lit(1)).alias("conflict_count"))
 
 
+def narrow_logs(target: DataFrame, source: DataFrame, position: str = POSITION) -> DataFrame:
+    """What counting and choosing need of two logs, in one stored frame; reads each log once, right here."""
+
+    def narrow(df: DataFrame, place: Column, is_source: bool) -> DataFrame:
+        created = F.col("created_at") if "created_at" in df.columns else F.lit(None).cast("string")
+        named = df.select(
+            "annotation_id", "task_type", "label", row_key(df).alias("row_key"), "row_hash", created.alias("created_at"), place.alias("place")
+        )
+        return named.withColumn("is_source", F.lit(is_source))
+
+    checkpoint_folder(target.sparkSession)
+    return narrow(target, F.lit(None).cast("bigint"), False).unionByName(narrow(source, F.col(position), True)).checkpoint()
+
+
+def new_records(both: DataFrame) -> DataFrame:
+    """annotation_id, created_at, place of the source records to import, from `narrow_logs`."""
+    kept = import_new(both.filter("NOT is_source"), both.filter("is_source"), "place")
+    return kept.select("annotation_id", "created_at", "place")
+
+
 def import_report(
     target: DataFrame, source: DataFrame, position: str = POSITION
 ) -> DataFrame:
@@ -111,13 +131,11 @@ def import_report(
 
     Reads both logs right here, once.
     """
-    def narrow(df: DataFrame, place: Column, is_source: bool) -> DataFrame:
-        named = df.select("annotation_id", "task_type", "label", row_key(df).alias("row_key"), "row_hash", place.alias("place"))
-        return named.withColumn("is_source", F.lit(is_source))
+    return report_of(narrow_logs(target, source, position))
 
-    # Each log is read once, into a narrow copy that all counts are taken from.
-    checkpoint_folder(target.sparkSession)
-    both = narrow(target, F.lit(None).cast("bigint"), False).unionByName(narrow(source, F.col(position), True)).checkpoint()
+
+def report_of(both: DataFrame) -> DataFrame:
+    """The counts of a merge, from `narrow_logs`."""
     target, source, position = both.filter("NOT is_source"), both.filter("is_source"), "place"
     merged = target.unionByName(import_new(target, source, position))
 
