@@ -63,6 +63,7 @@ from rowmark.sources.bundles import (
     annotate_bundle,
     append_annotations,
     append_new,
+    bundle_conflicts,
     create_bundle,
     export_snapshot,
     import_bundle,
@@ -75,7 +76,13 @@ from rowmark.sources.bundles import (
     validate_bundle,
     write_label_set,
 )
-from rowmark.sources.fingerprints import dataset_fingerprint, file_fingerprint
+from rowmark.sources.fingerprints import (
+    content_sums,
+    dataset_fingerprint,
+    file_fingerprint,
+    growing_fingerprint,
+    summed_fingerprint,
+)
 from rowmark.sources.positions import with_row_index
 from rowmark.sources.readers import (
     dataset_meta,

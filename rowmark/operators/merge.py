@@ -81,11 +81,10 @@ def row_key(df: DataFrame) -> Column:
     )
 
 
-def conflict_groups(annotations: DataFrame, key: Column | None = None) -> DataFrame:
-    """Groups of task, row and row hash that carry more than one label.
+def label_range(annotations: DataFrame, key: Column | None = None) -> DataFrame:
+    """Lowest and highest label of each group of task, row and row hash.
 
-    Lowest and highest label tell whether there is more than one, and each task sends on
-    one row per group however often a row was labelled.
+    Each task sends on one row per group however often a row was labelled.
     """
     labelled = annotations.filter("task_type <> '' AND label <> ''").select(
         "task_type",
@@ -93,13 +92,17 @@ def conflict_groups(annotations: DataFrame, key: Column | None = None) -> DataFr
         F.coalesce("row_hash", F.lit("")).alias("row_hash"),
         "label",
     )
-    return (
-        labelled.groupBy("task_type", "row_key", "row_hash")
-        .agg(F.min("label").alias("lowest_label"), F.max("label").alias("highest_label"))
-        .filter("lowest_label <> highest_label")
+    return labelled.groupBy("task_type", "row_key", "row_hash").agg(
+        F.min("label").alias("lowest_label"), F.max("label").alias("highest_label")
     )
 
 
+def conflict_groups(annotations: DataFrame, key: Column | None = None) -> DataFrame:
+    """Groups of task, row and row hash that carry more than one label, told by their lowest and
+    highest label."""
+    return label_range(annotations, key).filter("lowest_label <> highest_label")
+
+
 def conflict_count(annotations: DataFrame, key: Column | None = None) -> DataFrame:
     return conflict_groups(annotations, key).agg(F.count(F.lit(1)).alias("conflict_count"))
 

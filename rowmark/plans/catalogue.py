@@ -122,6 +122,18 @@ def dataset_fingerprint(spark, sf):
     return rm.dataset_fingerprint(t.table(spark, sf, "documents"), "documents", split="train")
 
 
+@query
+def growing_fingerprint(spark, sf):
+    """Fingerprint of a folder before and after files are added: of the first half, then of all rows."""
+    root = shared_folder(spark)
+    documents = t.table(spark, sf, "documents")
+    documents.where("doc_id % 2 = 0").repartition(3).write.parquet(f"{root}/d")
+    half = rm.growing_fingerprint(spark, f"{root}/d", f"{root}/sums", "documents", split="train").first().fingerprint
+    documents.where("doc_id % 2 <> 0").repartition(2).write.mode("append").parquet(f"{root}/d")
+    whole = rm.growing_fingerprint(spark, f"{root}/d", f"{root}/sums", "documents", split="train")
+    return whole.select("fingerprint", (F.col("fingerprint") != half).alias("changed"))
+
+
 @query
 def dataset_meta(spark, sf):
     customers = t.table(spark, sf, "customer")
@@ -525,6 +537,19 @@ def label_conflict_count(spark, sf):
     return rm.conflict_count(t.incoming_log(spark, sf))
 
 
+@query
+def growing_conflicts(spark, sf):
+    """Conflicts of a log after each of three appends."""
+    root = shared_folder(spark)
+    rm.create_bundle(spark, f"{root}/b", {"fingerprint": "sha256:f1"})
+    log, after = t.full_records(t.event_log(spark, sf)), None
+    for third in range(3):
+        rm.append_annotations(log.where(F.col("pos") % 3 == third).orderBy("pos"), f"{root}/b")
+        found = rm.bundle_conflicts(spark, f"{root}/b").withColumn("appends", F.lit(third + 1))
+        after = found if after is None else after.unionByName(found)
+    return after
+
+
 @query
 def export_snapshot(spark, sf):
     """Log written to a bundle, exported, and read back from the export in log order."""

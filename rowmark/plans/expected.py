@@ -433,3 +433,10 @@ SQL["bundle_report"] = f"""{SQL["bundle_summary"]}
           SELECT 'sample_records', CAST(place AS VARCHAR), annotation_id FROM (
             SELECT *, row_number() OVER (ORDER BY pos) - 1 AS place FROM incoming_log)
           WHERE task_type = 'preference' ORDER BY place LIMIT 3)"""
+SQL["growing_fingerprint"] = SQL["dataset_fingerprint"].replace(" AS fingerprint FROM", " AS fingerprint, true AS changed FROM")
+SQL["growing_conflicts"] = f"""
+        WITH {_EVENT_LOG}
+        SELECT task_type, {_ROW_KEY} AS row_key, row_hash, min(label) AS lowest_label,
+          max(label) AS highest_label, appends
+        FROM event_log, (VALUES (1), (2), (3)) AS a(appends) WHERE pos % 3 < appends
+        GROUP BY ALL HAVING count(DISTINCT label) > 1"""

@@ -12,28 +12,17 @@ not records. Many segments are merged into one.
 
 from __future__ import annotations
 
-import json
 import uuid
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rowmark.operators.merge import merge_id
-from rowmark.sources import files
+from rowmark.sources.segments import SEGMENTS, Segment, Segments, batches_of
 
 FOLDER = "_ids"
 BUCKETS = 64
 #: Bits of a page, those spent per id, and bits set per id: 6 of 100,000 unknown ids pass.
 PAGE_BITS, BITS_PER_ID, BITS_SET = 32768, 20, 8
-#: Beyond this number segments are merged.
-SEGMENTS = 8
-
-
-@dataclass(frozen=True)
-class Segment:
-    name: str
-    batches: tuple[str, ...]
-    pages: int
 
 
 def _bucket(id_: Column) -> Column:
@@ -53,18 +42,9 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
     return F.getbit(byte, bit % 8) == 1
 
 
-class IdIndex:
+class IdIndex(Segments):
     def __init__(self, spark: SparkSession, bundle_path: str):
-        self.spark, self.folder = spark, f"{bundle_path}/{FOLDER}"
-
-    def segments(self) -> list[Segment]:
-        """Segments with a manifest, without those that a later one has replaced."""
-        if not files.exists(self.spark, f"{self.folder}/manifests"):
-            return []
-        names = [n for n in files.child_names(self.spark, f"{self.folder}/manifests") if n.endswith(".json")]
-        told = [json.loads(files.read_small_text(self.spark, f"{self.folder}/manifests/{n}")) for n in names]
-        replaced = {name for m in told for name in m["replaces"]}
-        return [Segment(m["segment"], tuple(m["batches"]), m["pages"]) for m in told if m["segment"] not in replaced]
+        super().__init__(spark, f"{bundle_path}/{FOLDER}")
 
     def add(self, ids: DataFrame, batches: list[str], replaces: tuple[Segment, ...] = ()) -> None:
         """Index ids (column `id`, repeats allowed) as those of the named batches."""
@@ -79,12 +59,7 @@ class IdIndex:
         pages = max(1, -(-stored.count() * BITS_PER_ID // PAGE_BITS))
         bits = stored.select(_page(F.col("id"), F.lit(pages)).alias("page"), F.explode(_bits(F.col("id"))).alias("bit"))
         bits.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("bitmap")).write.parquet(f"{self.folder}/filters/{name}")
-        return Segment(name, (), pages)
-
-    def register(self, segment: Segment, batches: list[str], replaces: tuple[Segment, ...] = ()) -> None:
-        told = {"segment": segment.name, "batches": sorted(batches), "pages": segment.pages, "replaces": [s.name for s in replaces]}
-        files.make_directory(self.spark, f"{self.folder}/manifests")
-        files.write_small_text(self.spark, f"{self.folder}/manifests/{segment.name}.json", json.dumps(told))
+        return Segment(name, pages)
 
     def known(self, ids: DataFrame) -> DataFrame:
         """Those of the given ids (column `id`) that the index holds."""
@@ -125,7 +100,7 @@ class IdIndex:
         if len(old) <= SEGMENTS:
             return
         ids = self._read(*(self._ids(s.name) for s in old)).select("id")
-        self.add(ids, [b for s in old for b in s.batches], tuple(old))
+        self.add(ids, batches_of(old), tuple(old))
 
     def _ids(self, name: str) -> str:
         return f"{self.folder}/ids/{name}"
