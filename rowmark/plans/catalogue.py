@@ -71,6 +71,21 @@ def scan_split(spark, sf):
     )
 
 
+@query
+def scan_by_suffix(spark, sf):
+    """One table in three formats, each found by the suffix or the name of the source."""
+    root = shared_folder(spark)
+    customers = t.table(spark, sf, "customer")
+    customers.write.option("header", True).option("escape", '"').csv(f"{root}/c.csv")
+    customers.write.json(f"{root}/c.jsonl")
+    customers.write.parquet(f"{root}/c/train")
+    parts = [
+        rm.read_dataset(spark, source, root=root).select(F.lit(kind).alias("kind"), "c_custkey", "c_acctbal", "c_name")
+        for kind, source in (("csv", f"{root}/c.csv"), ("jsonl", f"{root}/c.jsonl"), ("hf", "hf:c"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query
 def row_index(spark, sf):
     return indexed(spark, sf, "documents").select("doc_id", F.col(rm.POSITION).alias("position"))
@@ -345,6 +360,16 @@ def sort_desc(spark, sf):
     )
 
 
+@query
+def sort_mixed(spark, sf):
+    """Places in a view sorted on nested values, which compare by their text."""
+    events = indexed(spark, sf, "events").select(
+        rm.POSITION, "event_id", F.to_variant_object(F.struct("user_id", "event_type")).alias("what")
+    )
+    view = rm.ranked_view(events, "what").with_rank()
+    return view.select("event_id", F.col("_view_rank").alias("place"))
+
+
 @query
 def view_rank(spark, sf):
     """Every row's place in a view sorted on a column with nulls and many ties."""
@@ -411,6 +436,17 @@ def sample_rows(spark, sf):
     return rm.sample_rows(indexed(spark, sf, "documents")).drop(rm.POSITION)
 
 
+@query
+def inspect_rows(spark, sf):
+    """A dataset at a glance: its first rows, with the row count of its meta row."""
+    rows = indexed(spark, sf, "documents")
+    meta = rm.dataset_meta(rows, "hf", "documents", rm.dataset_fingerprint(rows.drop(rm.POSITION), "documents"))
+    report = rm.inspect(rows, meta, id_field="doc_id", key_fields=("lang",))
+    return report["sample_rows"].select(
+        "row_index", "row_id", F.to_json("key_fields").alias("key_fields"), report["meta"].select("row_count").scalar().alias("row_count")
+    )
+
+
 # --- labels and annotations ------------------------------------------------------------
 
 
@@ -578,6 +614,30 @@ def import_bundle(spark, sf):
     )
 
 
+@query
+def import_steps(spark, sf):
+    """A bundle of other data: refused, then tried, then imported, with what the log holds after each."""
+    root = shared_folder(spark)
+    logs = (("a", t.event_log(spark, sf), ["click"]), ("b", t.incoming_log(spark, sf), ["click", "view", "error"]))
+    for name, log, labels in logs:
+        rm.create_bundle(spark, f"{root}/{name}", {"fingerprint": f"sha256:{name}"}, labels=labels)
+        rm.append_annotations(t.full_records(log).orderBy("pos"), f"{root}/{name}")
+
+    def held():
+        return rm.annotation_count(rm.read_annotations(spark, f"{root}/a")).first().annotation_count
+
+    steps = []
+    try:
+        rm.import_bundle(spark, f"{root}/a", f"{root}/b")
+    except ValueError:
+        steps.append(("refused", False, 0, False, held()))
+    for step, dry in (("tried", True), ("imported", False)):
+        report = rm.import_bundle(spark, f"{root}/a", f"{root}/b", allow_fingerprint_mismatch=True, dry_run=dry).first()
+        steps.append((step, report.applied, report.imported_count, report.label_set_changed, held()))
+    steps.append(("labels", True, rm.read_label_set(spark, f"{root}/a").labels.count(), False, held()))
+    return spark.createDataFrame(steps, "step STRING, applied BOOLEAN, records BIGINT, label_set_changed BOOLEAN, held BIGINT")
+
+
 @query
 def annotate_bundle(spark, sf):
     """All orders annotated with their status: the label set and the records that come of it."""

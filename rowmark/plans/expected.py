@@ -440,3 +440,20 @@ SQL["growing_conflicts"] = f"""
           max(label) AS highest_label, appends
         FROM event_log, (VALUES (1), (2), (3)) AS a(appends) WHERE pos % 3 < appends
         GROUP BY ALL HAVING count(DISTINCT label) > 1"""
+SQL["import_steps"] = f"""
+        WITH {_INCOMING_LOG}
+        , sizes AS (SELECT (SELECT count(*) FROM event_log) AS old, (SELECT count(*) FROM new_records) AS new)
+        SELECT 'refused' AS step, false AS applied, 0 AS records, false AS label_set_changed, old AS held FROM sizes
+        UNION ALL SELECT 'tried', false, new, true, old FROM sizes
+        UNION ALL SELECT 'imported', true, new, true, old + new FROM sizes
+        UNION ALL SELECT 'labels', true, 3, false, old + new FROM sizes"""
+SQL["sort_mixed"] = """
+        SELECT event_id, row_number() OVER (
+          ORDER BY '{"event_type":"' || event_type || '","user_id":' || user_id || '}', event_id) - 1 AS place
+        FROM events"""
+SQL["scan_by_suffix"] = """
+        SELECT kind, c_custkey, c_acctbal, c_name FROM customer, (VALUES ('csv'), ('jsonl'), ('hf')) AS k(kind)"""
+SQL["inspect_rows"] = """
+        SELECT doc_id AS row_index, CAST(doc_id AS VARCHAR) AS row_id, '{"lang":"' || lang || '"}' AS key_fields,
+          (SELECT count(*) FROM documents) AS row_count
+        FROM documents ORDER BY doc_id LIMIT 5"""

@@ -12,10 +12,10 @@ SF = "/root/testdata/sf0.001"
 ONE_ROW = {
     "dataset_fingerprint", "dataset_meta", "file_fingerprint", "filtered_count", "annotate_rows",
     "annotation_count", "import_report", "label_conflict_count", "import_bundle", "time_range",
-    "conflicts_filtered", "record_counts", "bundle_summary",
+    "conflicts_filtered", "record_counts", "bundle_summary", "inspect_rows",
 }
 # Written to storage inside the query; their inner plans are covered by the queries they use.
-WRITING = {"import_bundle", "merge_feed", "export_snapshot", "annotate_bundle"}
+WRITING = {"import_bundle", "import_steps", "growing_conflicts", "growing_fingerprint", "label_versions", "bundle_report", "known_ids", "merge_feed", "export_snapshot", "annotate_bundle"}
 PAGES = {"curation_page", "page", "page_after", "page_at_row", "sample_rows", "sample_annotations", "page_working_names", "page_deep", "page_of_parts"}
 
 
