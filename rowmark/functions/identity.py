@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rowmark.functions.jsontext import display_text, object_text
 
 POSITION = "_row_index"
 
+#: Types whose JSON text needs no care.
+_PLAIN = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType, T.StringType)
+
 # Columns tried for the row id after the preferred one.
 ID_COLUMNS = ("id", "row_id", "uuid")
 
@@ -60,6 +63,8 @@ def key_fields(df: DataFrame, fields: Iterable[str]) -> Column:
     names = [n for n in dict.fromkeys(fields) if n in present]
     if not names:
         return F.lit("{}")
+    if all(isinstance(df.schema[n].dataType, _PLAIN) for n in names):
+        return F.to_json(F.struct(*(column(n) for n in names)), {"ignoreNullFields": "true"})
     members = []
     for n in names:
         whole = object_text([(n, column(n), df.schema[n].dataType)], sort_keys=False)
