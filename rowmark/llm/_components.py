@@ -27,15 +27,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: (u, v). Every round is two shuffled star operations; the edges shrink to one per node
     in a number of rounds that grows with the logarithm of the graph. Minima are written before
-    they are joined, so that Spark can split the rows of a node with very many neighbours.
+    they are joined, so that Spark can split the rows of a node with very many neighbours. It ends
+    once the edges are stars around roots, which one count of them tells.
     """
-    edges = written(edges.where("u <> v").select("u", "v").distinct())
-    before = None
-    while True:
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
+    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    edges = written(edges.distinct())
+    while not _are_stars(edges):
         edges = written(_small(_large(edges)).where("u <> v").distinct())
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge down, or edges up only. edges: distinct, u > v."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))
+    sums = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return sums.where("down > 1 OR (down > 0 AND up > 0)").isEmpty()

@@ -37,8 +37,8 @@ BANDS, ROWS = 28, 5
 PLACES = BANDS * ROWS
 #: Pairs are left to the exact check unless the signatures put them this far below the threshold.
 MARGIN = 0.2
-#: Members that meet one hub, or one block of strays, at a time.
-BLOCK = 500
+#: Members of a bucket, and strays, that meet in one block. A larger bucket is a grid of such blocks.
+BLOCK = 4000
 
 
 def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
@@ -311,15 +311,16 @@ class NearDuplicates:
         self.nodes = written(self.described.where("n > 0").groupBy("node").agg(first).select("node", "first.*"))
 
     def buckets(self) -> DataFrame:
-        """(bucket, band, node, hub, size, met) of all nodes that share a bucket with another one."""
-        members = self.nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
+        """(bucket, band, node, n, hub, hub_n, size, met) of all nodes that share a bucket with another one."""
+        members = self.nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("band", "bucket"))
         sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
         shared = written(members.join(written(sizes.where("size > 1")), "bucket"))
         # The node that meets most others is in the middle of its group: the best hub.
         central = written(shared.groupBy("node").agg(F.sum("size").alias("met")))
         ranked = shared.join(central, "node")
-        hubs = written(ranked.groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("hub")))
-        return written(ranked.join(hubs, "bucket").select("bucket", "band", "node", "hub", "size", "met"))
+        hubs = written(ranked.groupBy("bucket").agg(F.max(F.struct("met", "node", "n")).alias("best")))
+        hubs = hubs.select("bucket", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n"))
+        return written(ranked.join(hubs, "bucket").select("bucket", "band", "node", "n", "hub", "hub_n", "size", "met"))
 
     def sets_of(self, buckets: DataFrame) -> DataFrame:
         """(node, members, sketch) of the nodes that share a bucket with another one."""
@@ -346,11 +347,11 @@ class NearDuplicates:
 
     def stars(self, buckets: DataFrame) -> DataFrame:
         """Pairs of members and hubs whose signatures are close."""
-        pairs = buckets.where("node <> hub").select("hub", "node").distinct()
-        mine = self.nodes.select("node", "signature", "n")
-        hubs = self.nodes.select(F.col("node").alias("hub"), F.col("signature").alias("hub_signature"), F.col("n").alias("hub_n"))
-        fits = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * self.percent
-        both = pairs.join(mine, "node").join(hubs, "hub").where(fits)
+        fits = F.least("n", "hub_n").cast("long") * 100 >= F.greatest("n", "hub_n").cast("long") * self.percent
+        pairs = buckets.where("node <> hub").where(fits).select("hub", "node").distinct()
+        mine = self.nodes.select("node", "signature")
+        hubs = self.nodes.select(F.col("node").alias("hub"), F.col("signature").alias("hub_signature"))
+        both = pairs.join(mine, "node").join(hubs, "hub")
         return both.select("hub", "node", "signature", "hub_signature").mapInArrow(_near(self.floor), "hub long, node long")
 
     def apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -361,8 +362,9 @@ class NearDuplicates:
         same = F.col("mine").isNotNull() & (F.col("mine") == F.col("other"))
         return both.where(~F.coalesce(same, F.lit(False))).select("hub", "node")
 
-    def strays(self, buckets: DataFrame, roots: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
-        """Close pairs of different components in buckets whose members are not all connected."""
+    def strays(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+        """Blocks (bucket, block, band, is_stray, node) of the nodes in close pairs of different
+        components, in buckets whose members are not all connected."""
         root = F.coalesce("root", "node")
         rooted = written(buckets.join(roots, "node", "left").select("bucket", "band", "size", "node", root.alias("root"), (F.col("node") == F.col("hub")).alias("is_hub")))
         mixed_ones = written(
@@ -371,25 +373,37 @@ class NearDuplicates:
             .where("low <> high")
             .select("bucket", "main")
         )
+        away = rooted.join(mixed_ones, "bucket").where("root <> main").groupBy("bucket").agg(F.count("*").alias("away"))
+        mixed_ones = written(mixed_ones.join(away, "bucket"))
         members = (
             rooted.join(mixed_ones, "bucket")
             .join(self.nodes.select("node", "n", "signature", "band_keys"), "node")
             .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+            .withColumn("lines", F.ceil(F.col("away") / BLOCK).cast("int"))
         )
         columns = ["bucket", "block", "band", "is_stray", "node", "root", "n", "signature", "band_keys"]
-        held = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("is_stray", F.lit(False))
+        # Blocks are numbered line by line: strays of a line meet the members of each of its blocks.
+        drawn = F.xxhash64("node")
+        in_line, line = F.pmod(drawn, F.col("blocks")).cast("int"), F.pmod(drawn, F.col("lines")).cast("int")
+        held = members.withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("lines") - 1), lambda i: i * F.col("blocks") + in_line)))
+        held = held.withColumn("is_stray", F.lit(False))
         asking = (
             members.where("root <> main")
-            .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            .withColumn("block", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: line * F.col("blocks") + i)))
             .withColumn("is_stray", F.lit(True))
         )
-        needed = written(
+        return written(
             self.by_block(held.select(*columns).unionByName(asking.select(*columns))).mapInArrow(
                 _needed(self.floor, self.percent / 100),
                 "bucket long, block int, band int, is_stray boolean, node long, root long",
             )
         )
-        complete = needed.join(self.nodes.select("node", "n", "signature", "band_keys"), "node").join(sets.select("node", "sketch"), "node")
+
+    def settled(self, needed: DataFrame, roots: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
+        """Close pairs (hub, node) of the blocks that lie in different components by now."""
+        columns = ["bucket", "block", "band", "is_stray", "node", "root", "n", "signature", "band_keys"]
+        rooted = needed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        complete = rooted.join(self.nodes.select("node", "n", "signature", "band_keys"), "node").join(sets.select("node", "sketch"), "node")
         found = self.by_block(complete.select(*columns, "sketch")).mapInArrow(
             _settle(self.floor, self.percent, best_only), "hub long, node long"
         )
@@ -410,8 +424,9 @@ class NearDuplicates:
         links = links.unionByName(self.verified(self.apart(near, components(links)), sets))
         roots = components(links)
         # First the likeliest pairs, which join most components; then all that are left.
+        needed = self.strays(buckets, roots)
         for best_only in (True, False):
-            pairs = written(self.strays(buckets, roots, sets, best_only))
+            pairs = written(self.settled(needed, roots, sets, best_only))
             if pairs.isEmpty():
                 break
             links = links.unionByName(self.verified(pairs, sets))
