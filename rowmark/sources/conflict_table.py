@@ -23,6 +23,8 @@ def _joined(ranges: DataFrame) -> DataFrame:
 
 
 class ConflictTable(Segments):
+    parts = ("ranges",)
+
     def __init__(self, spark: SparkSession, bundle_path: str):
         super().__init__(spark, f"{bundle_path}/{FOLDER}")
 
@@ -40,6 +42,7 @@ class ConflictTable(Segments):
     def merge_segments(self) -> None:
         old = self.segments()
         if len(old) > SEGMENTS:
+            self.drop_replaced()
             self._write(self.ranges(), batches_of(old), tuple(old))
 
     def _write(self, ranges: DataFrame, batches: list[str], replaces: tuple[Segment, ...] = ()) -> None:

@@ -43,6 +43,8 @@ def _is_set(bitmap: Column, bit: Column) -> Column:
 
 
 class IdIndex(Segments):
+    parts = ("ids", "filters")
+
     def __init__(self, spark: SparkSession, bundle_path: str):
         super().__init__(spark, f"{bundle_path}/{FOLDER}")
 
@@ -99,6 +101,7 @@ class IdIndex(Segments):
         old = self.segments()
         if len(old) <= SEGMENTS:
             return
+        self.drop_replaced()
         ids = self._read(*(self._ids(s.name) for s in old)).select("id")
         self.add(ids, batches_of(old), tuple(old))
 

@@ -30,18 +30,32 @@ def batches_of(segments: Iterable[Segment]) -> list[str]:
 
 
 class Segments:
+    #: Folders that hold the data of a segment under its name.
+    parts: tuple[str, ...] = ()
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def segments(self) -> list[Segment]:
-        """Segments with a manifest, without those that a later one has replaced."""
+    def _manifests(self) -> list[dict]:
         if not files.exists(self.spark, f"{self.folder}/manifests"):
             return []
-        names = [n for n in files.child_names(self.spark, f"{self.folder}/manifests") if n.endswith(".json")]
-        told = [json.loads(files.read_small_text(self.spark, f"{self.folder}/manifests/{n}")) for n in names]
+        texts = self.spark.read.text(f"{self.folder}/manifests", wholetext=True, pathGlobFilter="*.json")
+        return [json.loads(row.value) for row in texts.collect()]
+
+    def segments(self) -> list[Segment]:
+        """Segments with a manifest, without those that a later one has replaced."""
+        told = self._manifests()
         replaced = {name for m in told for name in m["replaces"]}
         return [Segment(m["segment"], m["pages"], tuple(m["batches"])) for m in told if m["segment"] not in replaced]
 
+    def drop_replaced(self) -> None:
+        """Delete segments that are replaced by now; called before the next merge, so that readers of
+        the merge before have long moved on."""
+        told = self._manifests()
+        for name in {name for m in told for name in m["replaces"]} & {m["segment"] for m in told}:
+            for path in (f"manifests/{name}.json", *(f"{part}/{name}" for part in self.parts)):
+                files.delete(self.spark, f"{self.folder}/{path}")
+
     def register(self, segment: Segment, batches: list[str], replaces: tuple[Segment, ...] = ()) -> None:
         told = {"segment": segment.name, "batches": sorted(batches), "pages": segment.pages, "replaces": [s.name for s in replaces]}
         files.make_directory(self.spark, f"{self.folder}/manifests")

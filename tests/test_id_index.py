@@ -68,14 +68,16 @@ def test_only_buckets_that_may_hold_an_id_are_read(spark, tmp_path):
 
 
 def test_many_segments_become_one(spark, tmp_path):
-    index = IdIndex(spark, str(tmp_path / "b"))
-    for n in range(SEGMENTS + 1):
+    index, batches = IdIndex(spark, str(tmp_path / "b")), 2 * SEGMENTS + 1
+    for n in range(batches):
         index.add(ids(spark, f"k{n}", "common", ""), [f"batch-{n}"])
         index.merge_segments()
     (segment,) = index.segments()
-    assert len(segment.batches) == SEGMENTS + 1
-    asked = ids(spark, *(f"k{n}" for n in range(20)), "common", "")
-    assert sorted(r.id for r in index.known(asked).collect()) == sorted([*(f"k{n}" for n in range(SEGMENTS + 1)), "common"])
+    assert len(segment.batches) == batches
+    asked = ids(spark, *(f"k{n}" for n in range(30)), "common", "")
+    assert sorted(r.id for r in index.known(asked).collect()) == sorted([*(f"k{n}" for n in range(batches)), "common"])
+    # Those that the first merge replaced are gone, those of the last one still there for readers.
+    assert len(list((tmp_path / "b" / "_ids" / "manifests").glob("*.json"))) == SEGMENTS + 2
 
 
 def test_an_unregistered_segment_does_not_count(spark, tmp_path):
