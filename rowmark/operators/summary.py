@@ -35,7 +35,7 @@ def facet_filter(
     annotator: str | None = None,
     task_type: str | None = None,
 ) -> DataFrame:
-    if not any((text or "").strip() for text in (label, annotator, task_type)):
+    if label is None and annotator is None and task_type is None:
         return annotations  # still known as a log just read
     return annotations.filter(facet_condition(label, annotator, task_type))
 
