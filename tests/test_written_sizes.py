@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from test_bundles import FINGERPRINT
 
 import rowmark as rm
+from rowmark.plans import catalogue, tables
 from rowmark.sources import bundles
 
 RECORDS = 3000
@@ -54,3 +55,24 @@ def test_packed_files_are_bounded_and_in_order(spark, tmp_path, many, monkeypatc
     ids = [int(r.row_id) for r in held]
     assert ids == [*range(RECORDS), *reversed(range(RECORDS))]
     assert len(batch_files(tmp_path / "b")) >= 2 * (RECORDS // 130)
+
+
+def test_feed_has_more_files_for_more_records(spark, tmp_path, monkeypatch):
+    moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    spark.range(900).select(
+        F.col("id").alias("event_id"), moment.alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.when(F.col("id") % 3 == 0, "click").otherwise("view").alias("event_type"), (F.col("id") * 1.0).alias("value"), F.lit("{}").alias("props"),
+    ).write.parquet(str(tmp_path / "events.parquet"))
+    spark.range(600).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 50).alias("o_custkey"), F.lit("O").alias("o_orderstatus"),
+        F.lit(1.0).alias("o_totalprice"), moment.alias("o_orderdate"),
+        F.when(F.col("id") % 4 == 0, "4-NOT SPECIFIED").otherwise("1-URGENT").alias("o_orderpriority"),
+    ).write.parquet(str(tmp_path / "orders.parquet"))
+    results = []
+    for name, most in (("few", 10**6), ("many", 100)):
+        monkeypatch.setattr(tables, "FEED_FILE_RECORDS", most)
+        monkeypatch.setattr(catalogue, "shared_folder", lambda _, name=name: str(tmp_path / name))
+        results.append(sorted(map(str, catalogue.QUERIES["merge_feed"](spark, str(tmp_path)).collect())))
+    assert len(list((tmp_path / "few" / "feed").glob("part-*"))) == 4
+    assert len(list((tmp_path / "many" / "feed").glob("part-*"))) == 15
+    assert results[0] == results[1] and len(results[0]) == 900 + 150 + 50
