@@ -76,3 +76,17 @@ def test_feed_has_more_files_for_more_records(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "few" / "feed").glob("part-*"))) == 4
     assert len(list((tmp_path / "many" / "feed").glob("part-*"))) == 15
     assert results[0] == results[1] and len(results[0]) == 900 + 150 + 50
+
+
+def test_growing_folder_is_written_by_as_many_tasks_as_read_it(spark, tmp_path, monkeypatch):
+    documents = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    documents.repartition(12).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalogue, "shared_folder", lambda _: str(tmp_path / "out"))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        made = catalogue.QUERIES["growing_fingerprint"](spark, str(tmp_path)).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert made.changed and made.fingerprint == rm.dataset_fingerprint(documents, "documents", split="train").first().fingerprint
+    assert len(list((tmp_path / "out" / "d").glob("part-*"))) == 24
