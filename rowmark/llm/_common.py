@@ -47,6 +47,11 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def few(df: DataFrame, rows: int, each: int = 20_000, at_least: int = 1) -> DataFrame:
+    """The frame in no more tasks than `rows` rows are worth; rows of a partition stay together, in order."""
+    return df.coalesce(max(at_least, -(-rows // each)))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """Cut record batches into runs of rows with about PIECE_BYTES of text."""
     for batch in batches:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rowmark.llm._common import (
-    LOWER, WHITE, gram_hashes, joined_bytes, mixed, pieces, shuffle_parts, word_hashes, word_ranges, written,
+    LOWER, WHITE, few, gram_hashes, joined_bytes, mixed, pieces, shuffle_parts, word_hashes, word_ranges, written,
 )
 from rowmark.llm._components import components
 from rowmark.llm._repeats import KEYS, keyed
@@ -37,6 +37,8 @@ BANDS, ROWS = 28, 5
 PLACES = BANDS * ROWS
 #: Pairs are left to the exact check unless the signatures put them this far below the threshold.
 MARGIN = 0.2
+#: Pairs from which on their sets are moved by shuffles, whatever Spark would broadcast: one plan for all sizes.
+SHUFFLED_PAIRS = 1000
 #: Members of a bucket, and strays, that meet in one block. A larger bucket is a grid of such blocks.
 BLOCK = 4000
 
@@ -100,23 +102,25 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         sets = shingle_sets(batch.column("text"))
         signatures = super_minhash(sets)
-        bands = mixed(gram_hashes_rows(signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)))
-        bands += np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        bands = band_hashes(signatures)
         nodes = [int(mixed(mixed(s).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(s)))[0]) if len(s) else 0 for s in sets]
-        small = (signatures ^ (signatures >> np.uint32(16))).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
             [
                 *(batch.column(c) for c in ("doc_id", *KEYS)),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array(np.array(nodes, np.uint64).view(np.int64)),
                 pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())),
-                pa.array([r.tobytes() for r in small], pa.binary()),
-                pa.array([r.tobytes() for r in bands], pa.binary()),
             ],
-            names=["doc_id", *KEYS, "n", "node", "bands", "signature", "band_keys"],
+            names=["doc_id", *KEYS, "n", "node", "bands"],
         )
 
 
+def band_hashes(signatures: np.ndarray) -> np.ndarray:
+    """A hash for each band of each signature; no two bands share one."""
+    bands = mixed(gram_hashes_rows(signatures.astype(np.uint64).reshape(-1, BANDS, ROWS)))
+    return bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+
+
 def gram_hashes_rows(values: np.ndarray) -> np.ndarray:
     """A hash over the last axis."""
     h = np.zeros(values.shape[:-1], np.uint64)
@@ -126,16 +130,21 @@ def gram_hashes_rows(values: np.ndarray) -> np.ndarray:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Full sets, and sketches: the members' upper 16 bits, sorted."""
+    """Sizes, folded signatures, band hashes, full sets, and sketches: the members' upper 16 bits, sorted."""
     for batch in pieces(batches):
         sets = shingle_sets(batch.column("text"))
+        signatures = super_minhash(sets)
+        small = (signatures ^ (signatures >> np.uint32(16))).astype(np.uint16)
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("node"),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([r.tobytes() for r in small], pa.binary()),
+                pa.array([r.tobytes() for r in band_hashes(signatures)], pa.binary()),
                 pa.array([s.tobytes() for s in sets], pa.binary()),
                 pa.array([(s >> np.uint64(48)).astype(np.uint16).tobytes() for s in sets], pa.binary()),
             ],
-            names=["node", "members", "sketch"],
+            names=["node", "n", "signature", "band_keys", "members", "sketch"],
         )
 
 
@@ -304,34 +313,44 @@ class NearDuplicates:
         self.described = written(
             self.rows.mapInArrow(
                 _describe,
-                "doc_id long, doc_key long, text_key long, n long, node long, bands array<long>, signature binary, band_keys binary",
+                "doc_id long, doc_key long, text_key long, n long, node long, bands array<long>",
             )
         )
-        first = F.min(F.struct(*KEYS, "n", "bands", "signature", "band_keys")).alias("first")
+        first = F.min(F.struct(*KEYS, "n", "bands")).alias("first")
         self.nodes = written(self.described.where("n > 0").groupBy("node").agg(first).select("node", "first.*"))
 
-    def buckets(self) -> DataFrame:
-        """(bucket, band, node, n, hub, hub_n, size, met) of all nodes that share a bucket with another one."""
+    def tasks(self, df: DataFrame, rows: int, each: int = 1000) -> DataFrame:
+        """The frame in tasks of so many rows for Python to work on, unless that leaves cores idle."""
+        return few(df, rows, each, 3 * self.spark.sparkContext.defaultParallelism)
+
+    def buckets(self) -> tuple[DataFrame, DataFrame]:
+        """(bucket, band, node, n, hub, hub_n, size) of all nodes that share a bucket with another
+        one, and (node, met) of these nodes: how many rows their buckets have in all."""
         members = self.nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("band", "bucket"))
         sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
-        shared = written(members.join(written(sizes.where("size > 1")), "bucket"))
+        shared = written(members.join(written(sizes.where("size > 1")).hint("merge"), "bucket"))
+        rows = shared.count()
         # The node that meets most others is in the middle of its group: the best hub.
-        central = written(shared.groupBy("node").agg(F.sum("size").alias("met")))
+        central = written(few(shared.groupBy("node").agg(F.sum("size").alias("met")), rows))
         ranked = shared.join(central, "node")
-        hubs = written(ranked.groupBy("bucket").agg(F.max(F.struct("met", "node", "n")).alias("best")))
+        hubs = written(few(ranked.groupBy("bucket").agg(F.max(F.struct("met", "node", "n")).alias("best")), rows))
         hubs = hubs.select("bucket", F.col("best.node").alias("hub"), F.col("best.n").alias("hub_n"))
-        return written(ranked.join(hubs, "bucket").select("bucket", "band", "node", "n", "hub", "hub_n", "size", "met"))
+        return written(few(shared.join(hubs, "bucket").select("bucket", "band", "node", "n", "hub", "hub_n", "size"), rows)), central
 
-    def sets_of(self, buckets: DataFrame) -> DataFrame:
-        """(node, members, sketch) of the nodes that share a bucket with another one."""
-        wanted = self.nodes.select("node", *KEYS).join(buckets.select("node").distinct(), "node")
-        found = wanted.join(self.rows, KEYS).select("node", "text").mapInArrow(_sets, "node long, members binary, sketch binary")
-        return written(found.groupBy("node").agg(F.first("members").alias("members"), F.first("sketch").alias("sketch")))
+    def sets_of(self, nodes: DataFrame, count: int) -> DataFrame:
+        """(node, n, signature, band_keys, members, sketch) of these nodes."""
+        wanted = self.nodes.select("node", *KEYS).join(nodes.select("node"), "node")
+        texts = self.tasks(wanted.join(self.rows, KEYS).select("node", "text"), self.described.count())
+        found = texts.mapInArrow(_sets, "node long, n long, signature binary, band_keys binary, members binary, sketch binary")
+        first = [F.first(c).alias(c) for c in ("n", "signature", "band_keys", "members", "sketch")]
+        return written(self.tasks(found.groupBy("node").agg(*first), count))
 
     def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """(u, v) of those (hub, node) pairs that are similar enough on their full sets."""
+        """(u, v) of those (hub, node) pairs that are similar enough on their full sets. pairs: a written table."""
+        count = pairs.count()
         sets = sets.select("node", "members")
-        pairs = written(pairs)
+        if count >= SHUFFLED_PAIRS:
+            sets = sets.hint("merge")
         salted = pairs.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64)))
         spokes = salted.join(sets, "node").select("hub", "salt", F.lit(False).alias("is_hub"), "node", "members")
         hubs = (
@@ -343,43 +362,48 @@ class NearDuplicates:
             .repartition(shuffle_parts(self.spark), "hub", "salt")
             .sortWithinPartitions("hub", "salt", F.desc("is_hub"))
         )
-        return written(dealt.mapInArrow(_check(self.percent), "u long, v long"))
+        return written(self.tasks(dealt, 2 * count).mapInArrow(_check(self.percent), "u long, v long"))
 
-    def stars(self, buckets: DataFrame) -> DataFrame:
+    def stars(self, buckets: DataFrame, sets: DataFrame) -> DataFrame:
         """Pairs of members and hubs whose signatures are close."""
         fits = F.least("n", "hub_n").cast("long") * 100 >= F.greatest("n", "hub_n").cast("long") * self.percent
         pairs = buckets.where("node <> hub").where(fits).select("hub", "node").distinct()
-        mine = self.nodes.select("node", "signature")
-        hubs = self.nodes.select(F.col("node").alias("hub"), F.col("signature").alias("hub_signature"))
-        both = pairs.join(mine, "node").join(hubs, "hub")
-        return both.select("hub", "node", "signature", "hub_signature").mapInArrow(_near(self.floor), "hub long, node long")
+        mine = sets.select("node", "signature")
+        hubs = sets.select(F.col("node").alias("hub"), F.col("signature").alias("hub_signature"))
+        both = pairs.join(mine, "node").join(hubs, "hub").select("hub", "node", "signature", "hub_signature")
+        return self.tasks(both, buckets.count(), 5000).mapInArrow(_near(self.floor), "hub long, node long")
 
     def apart(self, pairs: DataFrame, roots: DataFrame) -> DataFrame:
         """Pairs whose nodes lie in different components."""
         mine = roots.select("node", F.col("root").alias("mine"))
         other = roots.select(F.col("node").alias("hub"), F.col("root").alias("other"))
-        both = pairs.join(mine, "node", "left").join(other, "hub", "left")
-        same = F.col("mine").isNotNull() & (F.col("mine") == F.col("other"))
-        return both.where(~F.coalesce(same, F.lit(False))).select("hub", "node")
-
-    def strays(self, buckets: DataFrame, roots: DataFrame) -> DataFrame:
+        return pairs.join(mine, "node").join(other, "hub").where("mine <> other").select("hub", "node")
+
+    def linked(self, roots: DataFrame, links: DataFrame, count: int) -> DataFrame:
+        """(node, root) of all nodes, `count` in number, once these links join their components. links: a written table."""
+        if links.isEmpty():
+            return roots
+        ends = links.join(roots.select(F.col("node").alias("u"), F.col("root").alias("low")), "u")
+        ends = ends.join(roots.select(F.col("node").alias("v"), F.col("root").alias("high")), "v")
+        ends = written(few(ends.select(F.col("low").alias("u"), F.col("high").alias("v")), max(count, links.count())))
+        least = components(ends).select(F.col("node").alias("root"), F.col("root").alias("least"))
+        return written(few(roots.join(least, "root", "left").select("node", F.coalesce("least", "root").alias("root")), count))
+
+    def strays(self, buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame | None:
         """Blocks (bucket, block, band, is_stray, node) of the nodes in close pairs of different
-        components, in buckets whose members are not all connected."""
-        root = F.coalesce("root", "node")
-        rooted = written(buckets.join(roots, "node", "left").select("bucket", "band", "size", "node", root.alias("root"), (F.col("node") == F.col("hub")).alias("is_hub")))
-        mixed_ones = written(
-            rooted.groupBy("bucket")
-            .agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max(F.when(F.col("is_hub"), F.col("root"))).alias("main"))
-            .where("low <> high")
-            .select("bucket", "main")
-        )
-        away = rooted.join(mixed_ones, "bucket").where("root <> main").groupBy("bucket").agg(F.count("*").alias("away"))
-        mixed_ones = written(mixed_ones.join(away, "bucket"))
-        members = (
-            rooted.join(mixed_ones, "bucket")
-            .join(self.nodes.select("node", "n", "signature", "band_keys"), "node")
-            .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-            .withColumn("lines", F.ceil(F.col("away") / BLOCK).cast("int"))
+        components, in buckets whose members are not all connected; None without such buckets."""
+        main = roots.select(F.col("node").alias("hub"), F.col("root").alias("main"))
+        rooted = buckets.join(roots, "node").join(main, "hub").select("bucket", "band", "size", "node", "root", "main")
+        rooted = written(few(rooted, buckets.count()))
+        away = F.sum(F.when(F.col("root") != F.col("main"), 1).otherwise(0)).alias("away")
+        blocks, lines = F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("away") / BLOCK).cast("int").alias("lines")
+        apart = rooted.groupBy("bucket").agg(F.max("size").alias("size"), away).where("away > 0")
+        apart = written(few(apart.select("bucket", "size", "away", blocks, lines), buckets.count()))
+        rows = apart.agg(F.sum(F.expr("size * lines + away * blocks"))).first()[0]
+        if rows is None:
+            return None
+        members = rooted.join(apart.select("bucket", "blocks", "lines"), "bucket").join(
+            sets.select("node", "n", "signature", "band_keys"), "node"
         )
         columns = ["bucket", "block", "band", "is_stray", "node", "root", "n", "signature", "band_keys"]
         # Blocks are numbered line by line: strays of a line meet the members of each of its blocks.
@@ -393,7 +417,7 @@ class NearDuplicates:
             .withColumn("is_stray", F.lit(True))
         )
         return written(
-            self.by_block(held.select(*columns).unionByName(asking.select(*columns))).mapInArrow(
+            self.by_block(held.select(*columns).unionByName(asking.select(*columns)), rows).mapInArrow(
                 _needed(self.floor, self.percent / 100),
                 "bucket long, block int, band int, is_stray boolean, node long, root long",
             )
@@ -401,36 +425,40 @@ class NearDuplicates:
 
     def settled(self, needed: DataFrame, roots: DataFrame, sets: DataFrame, best_only: bool) -> DataFrame:
         """Close pairs (hub, node) of the blocks that lie in different components by now."""
-        columns = ["bucket", "block", "band", "is_stray", "node", "root", "n", "signature", "band_keys"]
-        rooted = needed.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        complete = rooted.join(self.nodes.select("node", "n", "signature", "band_keys"), "node").join(sets.select("node", "sketch"), "node")
-        found = self.by_block(complete.select(*columns, "sketch")).mapInArrow(
+        columns = ["bucket", "block", "band", "is_stray", "node", "root", "n", "signature", "band_keys", "sketch"]
+        rows = needed.count()
+        complete = needed.drop("root").join(roots, "node").join(sets.select("node", "n", "signature", "band_keys", "sketch").hint("merge"), "node")
+        found = self.by_block(complete.select(*columns), rows).mapInArrow(
             _settle(self.floor, self.percent, best_only), "hub long, node long"
         )
-        return found.select(F.greatest("hub", "node").alias("node"), F.least("hub", "node").alias("hub")).distinct()
+        pairs = found.select(F.greatest("hub", "node").alias("node"), F.least("hub", "node").alias("hub")).distinct()
+        return written(few(pairs, rows))
 
-    def by_block(self, rows: DataFrame) -> DataFrame:
-        return rows.repartition(shuffle_parts(self.spark), "bucket", "block").sortWithinPartitions("bucket", "block")
+    def by_block(self, rows: DataFrame, count: int) -> DataFrame:
+        dealt = rows.repartition(shuffle_parts(self.spark), "bucket", "block").sortWithinPartitions("bucket", "block")
+        return self.tasks(dealt, count, 2000)
 
     def rooted(self) -> DataFrame:
         """doc_id, text_key, n, root of every row; rows without shingles have no root."""
-        buckets = self.buckets()
-        sets = self.sets_of(buckets)
+        buckets, central = self.buckets()
+        count = central.count()
+        sets = self.sets_of(central, count)
+        roots = central.select("node", F.col("node").alias("root"))
         # First each node with its most central hub; then the hubs it is not connected to by that.
-        near = written(self.stars(buckets))
-        met = buckets.where("node = hub").groupBy("hub").agg(F.max("met").alias("met"))
-        best = near.join(written(met), "hub").groupBy("node").agg(F.max(F.struct("met", "hub"))["hub"].alias("hub"))
-        links = self.verified(best.select("hub", "node"), sets)
-        links = links.unionByName(self.verified(self.apart(near, components(links)), sets))
-        roots = components(links)
+        near = written(self.stars(buckets, sets))
+        met = central.withColumnRenamed("node", "hub")
+        best = near.join(met, "hub").groupBy("node").agg(F.max(F.struct("met", "hub"))["hub"].alias("hub"))
+        first = written(few(best.select("hub", "node"), count))
+        roots = self.linked(roots, self.verified(first, sets), count)
+        rest = written(few(self.apart(near, roots), max(count, near.count())))
+        roots = self.linked(roots, self.verified(rest, sets), count)
         # First the likeliest pairs, which join most components; then all that are left.
-        needed = self.strays(buckets, roots)
-        for best_only in (True, False):
-            pairs = written(self.settled(needed, roots, sets, best_only))
+        needed = self.strays(buckets, roots, sets)
+        for best_only in (True, False) if needed is not None else ():
+            pairs = self.settled(needed, roots, sets, best_only)
             if pairs.isEmpty():
                 break
-            links = links.unionByName(self.verified(pairs, sets))
-            roots = components(links)
+            roots = self.linked(roots, self.verified(pairs, sets), count)
         rows = self.described.select("doc_id", "text_key", "n", "node").join(roots, "node", "left")
         return rows.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
 
