@@ -33,6 +33,8 @@ LENGTH, DECAY, POWER = 3, 0.5, 4
 SHARED_LETTERS = 0.75
 #: Letters of a word compared at a time; longer words are compared in overlapping stretches.
 STRETCH, LONGEST_LANDMARK = 24, 12
+#: Pairs of words and landmarks compared at a time.
+PAIRS = 8192
 THRESHOLD = 0.3
 _REMEMBERED = 300_000
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -53,28 +55,27 @@ def letters_of(word: str) -> str:
 
 
 def _codes(strings: list[str], width: int) -> np.ndarray:
-    out = np.zeros((len(strings), width), np.uint32)
-    for i, s in enumerate(strings):
-        out[i, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return out
+    padded = "".join([s.ljust(width, "\0") for s in strings])
+    return np.frombuffer(padded.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(strings), width)
 
 
 def subsequence_kernel(s: np.ndarray, t: np.ndarray, length: int = LENGTH, decay: float = DECAY) -> np.ndarray:
     """Gap-weighted count of common subsequences of each row pair of two code arrays (0 is padding)."""
-    pairs, m = t.shape
-    prefix = [np.ones((pairs, m + 1), np.float32)] + [np.zeros((pairs, m + 1), np.float32) for _ in range(length - 1)]
-    total = np.zeros(pairs, np.float32)
-    square = np.float32(decay * decay)
-    used = int((s != 0).sum(1).max(initial=0))
+    used, m = (int((x != 0).sum(1).max(initial=0)) for x in (s, t))
+    s, t = np.ascontiguousarray(s[:, :used].T), np.ascontiguousarray(t[:, :m].T)
+    pairs, square, decay = s.shape[1], np.float32(decay * decay), np.float32(decay)
+    # By letter, then by pair: each step runs over all pairs at once.
+    prefix = [np.ones((m + 1, pairs), np.float32)] + [np.zeros((m + 1, pairs), np.float32) for _ in range(length - 1)]
+    total, some = np.zeros(pairs, np.float32), t != 0
     for j in range(used):
-        match = ((s[:, j, None] == t) & (t != 0)).astype(np.float32) * square
-        total += (match * prefix[length - 1][:, :m]).sum(1)
+        match = ((s[j] == t) & some).astype(np.float32) * square
+        total += (match * prefix[length - 1][:m]).sum(0)
         for i in range(length - 1, 0, -1):
-            run = np.zeros(pairs, np.float32)
-            prefix[i] *= np.float32(decay)
-            for k in range(m):
-                run = run * np.float32(decay) + match[:, k] * prefix[i - 1][:, k]
-                prefix[i][:, k + 1] += run
+            step = match * prefix[i - 1][:m]
+            for k in range(1, m):
+                step[k] += step[k - 1] * decay
+            prefix[i] *= decay
+            prefix[i][1:] += step
     return total
 
 
@@ -115,13 +116,16 @@ class Landmarks:
         needs = np.stack([(self.codes == a).sum(1) for a in alphabet], 1)
         least = np.ceil(SHARED_LETTERS * (self.codes != 0).sum(1))
         row, mark = np.nonzero(has.astype(np.float32) @ needs.T.astype(np.float32) >= least)
-        for low in range(0, len(row), 50_000):
-            r, m = row[low : low + 50_000], mark[low : low + 50_000]
+        # Pairs of like lengths together, in arrays that are no wider than they need be.
+        order = np.lexsort(((codes != 0).sum(1)[row], (self.codes != 0).sum(1)[mark]))
+        row, mark = row[order], mark[order]
+        for low in range(0, len(row), PAIRS):
+            r, m = row[low : low + PAIRS], mark[low : low + PAIRS]
             values = np.minimum(1, subsequence_kernel(codes[r], self.codes[m]) / self.own[m]) ** POWER
-            for i, k, v in zip(r.tolist(), m.tolist(), values.tolist(), strict=True):
-                if v > 0.05:
-                    vector = out.setdefault(words[owners[i]], np.zeros(len(self.strings), np.float32))
-                    vector[k] = max(vector[k], v)
+            close = np.flatnonzero(values > 0.05)
+            for i, k, v in zip(r[close].tolist(), m[close].tolist(), values[close].tolist(), strict=True):
+                vector = out.setdefault(words[owners[i]], np.zeros(len(self.strings), np.float32))
+                vector[k] = max(vector[k], v)
         return out
 
 

@@ -1,4 +1,5 @@
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -23,6 +24,28 @@ def test_kernel_against_brute_force():
     assert np.allclose(got, [naive_kernel(a, b) for a, b in pairs], rtol=1e-4)
 
 
+def test_kernel_works_on_the_letters_not_on_the_padding():
+    words = ["idiot", "moron", "ab", "", "idxiot"] * 200
+    narrow = subsequence_kernel(_codes(words, 6), _codes(words[::-1], 6))
+    s, t = _codes(words, 400), _codes(words[::-1], 400)
+    tracemalloc.start()
+    wide = subsequence_kernel(s, t)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.array_equal(narrow, wide) and peak < 1_000_000
+    assert subsequence_kernel(s[:0], t[:0]).shape == (0,) and not subsequence_kernel(s[3:4], t[3:4]).any()
+
+
+def test_words_of_all_lengths_are_compared_alike_one_by_one_and_together():
+    marks = Landmarks(["idiot", "scum", "disgusting"])
+    words = ["idiot", "idiots", "scummy", "sc-um", "disgustingly", "d1sgusting", "idio" * 9, "table", "\U0001F600abc", ""]
+    together = marks.similar(words)
+    for word in words:
+        alone = marks.similar([word])
+        assert alone.keys() == together.keys() & {word}
+        assert all(np.array_equal(alone[w], together[w]) for w in alone)
+
+
 def test_gapped_and_inserted_letters_resemble():
     marks = Landmarks(["idiot"])
     near = marks.similar(["idxiot", "id1ot", "i-d-i-o-t", "idiots", "table", "of"])
