@@ -37,7 +37,7 @@ BANDS, ROWS = 28, 5
 PLACES = BANDS * ROWS
 #: Pairs are left to the exact check unless the signatures put them this far below the threshold.
 MARGIN = 0.2
-#: Pairs from which on their sets are moved by shuffles, whatever Spark would broadcast: one plan for all sizes.
+#: Pairs, or rows of blocks, from which on their sets are moved by shuffles, whatever Spark would broadcast: one plan for all sizes.
 SHUFFLED_PAIRS = 1000
 #: Members of a bucket, and strays, that meet in one block. A larger bucket is a grid of such blocks.
 BLOCK = 4000
@@ -427,7 +427,10 @@ class NearDuplicates:
         """Close pairs (hub, node) of the blocks that lie in different components by now."""
         columns = ["bucket", "block", "band", "is_stray", "node", "root", "n", "signature", "band_keys", "sketch"]
         rows = needed.count()
-        complete = needed.drop("root").join(roots, "node").join(sets.select("node", "n", "signature", "band_keys", "sketch").hint("merge"), "node")
+        sets = sets.select("node", "n", "signature", "band_keys", "sketch")
+        if rows >= SHUFFLED_PAIRS:
+            sets = sets.hint("merge")
+        complete = needed.drop("root").join(roots, "node").join(sets, "node")
         found = self.by_block(complete.select(*columns), rows).mapInArrow(
             _settle(self.floor, self.percent, best_only), "hub long, node long"
         )
